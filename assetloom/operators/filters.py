@@ -29,6 +29,8 @@ class SplitTables:
     assets: DataFrame | None = None
     kpis: DataFrame | None = None
     assets_limit_prices: bool = False
+    # test rows are already new pairs of users known from train
+    test_is_new: bool = False
 
     def split_prices(self, columns: tuple[str, ...] = (PRICE,)) -> DataFrame:
         """Price rows per split: up to the future date, only eligible assets if so filtered."""
@@ -90,7 +92,7 @@ def new_ratings(earlier: DataFrame, later: DataFrame) -> DataFrame:
 
 def ratings_not_in_train(tables: SplitTables) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Test without train pairs (and without validation pairs), validation without train pairs."""
-    test = new_ratings(tables.train, tables.test)
+    test = tables.test if tables.test_is_new else new_ratings(tables.train, tables.test)
     if tables.valid is None:
         return tables.train, None, test
     valid = new_ratings(tables.train, tables.valid)
@@ -131,4 +133,5 @@ class DataFilter:
             assets=assets,
             kpis=tables.kpis,
             assets_limit_prices=self.assets_limit_prices,
+            test_is_new=tables.test_is_new,
         )

@@ -156,7 +156,7 @@ def train_pairs(pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
     )
 
 
-def test_pairs(warm_pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
+def novel_test_pairs(warm_pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
     """New pairs of the test period whose user and asset are both known from train."""
     new = per_split(
         warm_pairs,
@@ -174,7 +174,7 @@ def two_way_split(interactions: DataFrame, splits: Sequence[Split]) -> DataFrame
     """Train [.., rec) and novel warm test [rec, future] of all splits, one row per pair."""
     pairs = pair_history(interactions)
     train = train_pairs(pairs, splits).withColumn("part", F.lit("train"))
-    test = test_pairs(with_warm_dates(pairs), splits).withColumn("part", F.lit("test"))
+    test = novel_test_pairs(with_warm_dates(pairs), splits).withColumn("part", F.lit("test"))
     return train.unionByName(test)
 
 
