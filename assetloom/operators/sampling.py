@@ -102,10 +102,11 @@ def weighted_sample_distinct(
         free = F.floor(uniform(seed, F.col(request), F.lit(j)) * (line.total - used))
         position = F.aggregate(
             F.array_sort(F.col("_taken")),
-            free.cast("long"),
+            F.col("_free"),
             lambda p, t: F.when(p >= t["_start"], p + t["_w"]).otherwise(p),
         )
-        state = line.find(state.withColumn("_p", position), "_p").select(
+        asked = state.withColumn("_free", free.cast("long")).withColumn("_p", position)
+        state = line.find(asked, "_p").select(
             request, F.concat("_taken", F.array(F.struct("_start", "_w", "_key"))).cast(taken_type).alias("_taken")
         )
     return state.select(request, F.posexplode("_taken").alias("draw", "_t")).select(
