@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .hashing import key_bucket
 
 
@@ -29,10 +30,10 @@ def _bucket_offsets(df: DataFrame, groups: list[str], amount: str) -> DataFrame:
 
 
 def dense_index(keys: DataFrame, key: str, out: str) -> DataFrame:
-    """Number the distinct values of ``key`` 0..n-1."""
-    distinct = (
-        keys.select(key).distinct().select(key, key_bucket(F.col(key)).alias("_bucket"), F.lit(1).alias("_one"))
-    )
+    """Number the distinct values of ``key`` 0..n-1. The distinct keys are written once and read twice."""
+    distinct = materialize(
+        keys.select(key).distinct().select(key, key_bucket(F.col(key)).alias("_bucket"))
+    ).withColumn("_one", F.lit(1))
     offsets = _bucket_offsets(distinct, [], "_one")
     inside = Window.partitionBy("_bucket").orderBy(key)
     return distinct.join(F.broadcast(offsets), "_bucket").select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import growth
 from ..functions.numbering import dense_index
 from ..names import ITEM, PRICE, RATING, SEQ, TS, USER
+from ..session import materialize
 
 
 def drop_zero_price_assets(prices: DataFrame) -> DataFrame:
@@ -96,10 +97,11 @@ def reindex(train: DataFrame, *others: DataFrame) -> tuple[list[DataFrame], Data
     """Replace users and assets by dense numbers taken from train.
 
     Returns the mapped tables and the two dimension tables, which also serve as
-    the inverse map. Rows unknown to train are dropped.
+    the inverse map. Rows unknown to train are dropped. ``train`` is read
+    several times, so hand over a written table.
     """
-    users = dense_index(train, USER, "user_idx")
-    items = dense_index(train, ITEM, "item_idx")
+    users = materialize(dense_index(train, USER, "user_idx"))
+    items = materialize(dense_index(train, ITEM, "item_idx"))
     mapped = [df.join(users, USER).join(items, ITEM) for df in (train, *others)]
     return mapped, users, items
 

@@ -31,6 +31,8 @@ class SplitTables:
     assets_limit_prices: bool = False
     # test rows are already new pairs of users known from train
     test_is_new: bool = False
+    # when known: the history of pairs with the dates their users and assets were first seen
+    warm_pairs: DataFrame | None = None
 
     def split_prices(self, columns: tuple[str, ...] = (PRICE,)) -> DataFrame:
         """Price rows per split: up to the future date, only eligible assets if so filtered."""
@@ -53,7 +55,10 @@ def _priced_at_end(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
 
 
 def customers_in_train(tables: SplitTables) -> DataFrame:
-    return tables.train.select(SPLIT, USER).distinct()
+    if tables.warm_pairs is None:
+        return tables.train.select(SPLIT, USER).distinct()
+    users = tables.warm_pairs.groupBy(USER).agg(F.min("first_ts").alias("_first"))
+    return per_split(users, tables.splits, F.col("_first") < F.col(REC)).select(SPLIT, USER)
 
 
 def all_customers(tables: SplitTables) -> DataFrame | None:
@@ -134,4 +139,5 @@ class DataFilter:
             kpis=tables.kpis,
             assets_limit_prices=self.assets_limit_prices,
             test_is_new=tables.test_is_new,
+            warm_pairs=tables.warm_pairs,
         )

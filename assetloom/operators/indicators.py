@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -180,6 +181,23 @@ def smooth(table: DataFrame, rows: int = SMOOTHING, smooth_price: bool = True) -
     )
 
 
+def smooth_complete(table: DataFrame, rows: int = SMOOTHING, smooth_price: bool = True) -> DataFrame:
+    """``smooth`` without its incomplete rows.
+
+    A smoothed row is complete iff the last ``rows`` rows all were, so one
+    counter guards every column.
+    """
+    still = {ITEM, TS} | (set() if smooth_price else {PRICE})
+    frame = _series().rowsBetween(1 - rows, 0)
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in table.columns])
+    flagged = table.withColumn("_complete", F.when(complete, 1))
+    averaged = flagged.select(
+        *[F.col(c) if c in still else F.avg(c).over(frame).alias(c) for c in table.columns],
+        F.count("_complete").over(frame).alias("_rows"),
+    )
+    return averaged.where(F.col("_rows") == rows).drop("_rows")
+
+
 def technical_indicators(
     prices: DataFrame, periods: Sequence[int] = LONG, smoothing: int = SMOOTHING, smooth_price: bool = True
 ) -> DataFrame:
@@ -236,7 +254,7 @@ def technical_indicators(
         *[_sharpe(t) for t in periods],
         *[f"{kind}_{t}d" for t in periods for kind in ("min", "max", "exp_mean")],
     )
-    return smooth(everything, smoothing, smooth_price).na.drop()
+    return smooth_complete(everything, smoothing, smooth_price)
 
 
 def indicator_periods(kind: str) -> Sequence[int]:

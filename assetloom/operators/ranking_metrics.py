@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import over_days
@@ -36,20 +36,32 @@ def eligible_customers(customers: DataFrame, test: DataFrame | None = None, targ
     return out
 
 
-def _long(wide: DataFrame, metric: str, cutoffs: Sequence[int], prefix: str = "v_") -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias(CUTOFF), F.col(f"{prefix}{c}").alias("value")) for c in cutoffs])
-    return wide.select(SPLIT, USER, F.inline(entries)).select(SPLIT, F.lit(metric).alias("metric"), CUTOFF, USER, "value")
+def _long(wide: DataFrame, metrics: Sequence[str], cutoffs: Sequence[int]) -> DataFrame:
+    """Turn columns ``v_<metric number>_<cutoff>`` into rows."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.lit(c).alias(CUTOFF), F.col(f"v_{i}_{c}").alias("value"))
+            for i, m in enumerate(metrics)
+            for c in cutoffs
+        ]
+    )
+    return wide.select(SPLIT, USER, F.inline(entries)).select(SPLIT, "metric", CUTOFF, USER, "value")
 
 
 def _only(recs: DataFrame, eligible: DataFrame | None) -> DataFrame:
     return recs if eligible is None else recs.join(eligible, [SPLIT, USER], "left_semi")
 
 
-def _with_values(recs: DataFrame, values: DataFrame) -> DataFrame:
+def _with_values(recs: DataFrame, values: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Attach asset values: 0 for assets without a row, NULL (skipped by means) for rows without a value."""
-    known = values.select(SPLIT, ITEM, F.struct(F.col("value").cast("double").alias("value")).alias("_known"))
-    return recs.join(known, [SPLIT, ITEM], "left").withColumn(
-        "_v", F.when(F.col("_known").isNull(), 0.0).otherwise(F.col("_known.value"))
+    known = values.select(
+        SPLIT, ITEM, F.struct(*[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)]).alias("_known")
+    )
+    return recs.join(known, [SPLIT, ITEM], "left").withColumns(
+        {
+            f"_v{i}": F.when(F.col("_known").isNull(), 0.0).otherwise(F.col(f"_known.m{i}"))
+            for i in range(len(metrics))
+        }
     )
 
 
@@ -58,14 +70,21 @@ def kpi_at_k(
     values: DataFrame,
     cutoffs: Sequence[int] = CUTOFFS,
     eligible: DataFrame | None = None,
-    metric: str = "profitability",
+    metrics: Sequence[str] = ("value",),
 ) -> DataFrame:
-    """Mean asset value over the first k entries of each list."""
-    kept = _with_values(_only(top_k(recs, max(cutoffs)), eligible), values)
+    """Mean asset value over the first k entries of each list.
+
+    ``values`` is (split_id, col_item) with one column per metric.
+    """
+    kept = _with_values(_only(top_k(recs, max(cutoffs)), eligible), values, metrics)
     wide = kept.groupBy(SPLIT, USER).agg(
-        *[F.avg(F.when(F.col(RANK) <= c, F.col("_v"))).alias(f"v_{c}") for c in cutoffs]
+        *[
+            F.avg(F.when(F.col(RANK) <= c, F.col(f"_v{i}"))).alias(f"v_{i}_{c}")
+            for i in range(len(metrics))
+            for c in cutoffs
+        ]
     )
-    return _long(wide, metric, cutoffs)
+    return _long(wide, metrics, cutoffs)
 
 
 def kpi_at_k_fixed(
@@ -73,20 +92,20 @@ def kpi_at_k_fixed(
     values: DataFrame,
     cutoffs: Sequence[int] = CUTOFFS,
     eligible: DataFrame | None = None,
-    metric: str = "profitability_fixed",
+    metrics: Sequence[str] = ("value",),
 ) -> DataFrame:
     """Sum over the first k entries divided by k, however short the list; a negative k takes whole lists."""
-    kept = _with_values(_only(recs, eligible), values)
+    kept = _with_values(_only(recs, eligible), values, metrics)
 
-    def at(c: int) -> Column:
+    def at(v: str, c: int) -> Column:
         if c < 0:
-            return F.try_divide(F.sum("_v"), F.count(F.lit(1)))
-        return F.try_divide(
-            F.coalesce(F.sum(F.when(F.col(RANK) <= c, F.col("_v"))), F.lit(0.0)), F.lit(float(c))
-        )
+            return F.try_divide(F.sum(v), F.count(F.lit(1)))
+        return F.try_divide(F.coalesce(F.sum(F.when(F.col(RANK) <= c, F.col(v))), F.lit(0.0)), F.lit(float(c)))
 
-    wide = kept.groupBy(SPLIT, USER).agg(*[at(c).alias(f"v_{c}") for c in cutoffs])
-    return _long(wide, metric, cutoffs)
+    wide = kept.groupBy(SPLIT, USER).agg(
+        *[at(f"_v{i}", c).alias(f"v_{i}_{c}") for i in range(len(metrics)) for c in cutoffs]
+    )
+    return _long(wide, metrics, cutoffs)
 
 
 def _scaled(values: DataFrame, splits: Sequence[Split], days: int) -> DataFrame:
@@ -145,11 +164,11 @@ def ndcg_from_hits(
                     F.col(f"d_{c}"), F.element_at(ideal, F.least(F.lit(c), F.col("_n")).cast("int"))
                 ),
                 F.lit(0.0),
-            ).alias(f"v_{c}")
+            ).alias(f"v_0_{c}")
             for c in cutoffs
         ],
     )
-    return _long(wide, metric, cutoffs)
+    return _long(wide, [metric], cutoffs)
 
 
 def ndcg_at_k(
@@ -200,7 +219,7 @@ def kpi_from_ranking(
     values: DataFrame,
     customers: DataFrame,
     cutoffs: Sequence[int] = CUTOFFS,
-    metric: str = "profitability",
+    metrics: Sequence[str] = ("value",),
 ) -> DataFrame:
     """``kpi_at_k`` of the lists that ``ranking`` and the customers' seen assets imply.
 
@@ -209,53 +228,58 @@ def kpi_from_ranking(
     is a running total of the ranking minus the seen values: one row per seen
     asset instead of one per list entry.
     """
-    from pyspark.sql import Window
-
-    valued = _with_values(ranking, values)
+    ms = range(len(metrics))
     upto = Window.partitionBy(SPLIT).orderBy("asset_rank").rowsBetween(Window.unboundedPreceding, 0)
-    totals = valued.select(
+    totals = _with_values(ranking, values, metrics).select(
         SPLIT,
         "asset_rank",
-        "n_assets",
-        F.col("_v"),
-        F.coalesce(F.sum("_v").over(upto), F.lit(0.0)).alias("_sum"),
-        F.count("_v").over(upto).alias("_cnt"),
+        *[F.col(f"_v{i}") for i in ms],
+        *[F.coalesce(F.sum(f"_v{i}").over(upto), F.lit(0.0)).alias(f"_sum{i}") for i in ms],
+        *[F.count(f"_v{i}").over(upto).alias(f"_cnt{i}") for i in ms],
     )
-    mine = gaps.join(totals.select(SPLIT, "asset_rank", "_v"), [SPLIT, "asset_rank"])
+    mine = gaps.join(totals.select(SPLIT, "asset_rank", *[f"_v{i}" for i in ms]), [SPLIT, "asset_rank"])
     # seen assets standing before the k-th unseen one: those with fewer than k unseen ahead of them
+    ahead = {c: F.col("unseen") < c for c in cutoffs}
     per_user = mine.groupBy(SPLIT, USER).agg(
         F.count(F.lit(1)).alias("_seen"),
-        *[F.count(F.when(F.col("unseen") < c, 1)).alias(f"_g_{c}") for c in cutoffs],
-        *[F.sum(F.when(F.col("unseen") < c, F.coalesce(F.col("_v"), F.lit(0.0))).otherwise(0.0)).alias(f"_s_{c}") for c in cutoffs],
-        *[F.count(F.when(F.col("unseen") < c, F.col("_v"))).alias(f"_n_{c}") for c in cutoffs],
+        *[F.count(F.when(ahead[c], 1)).alias(f"_g_{c}") for c in cutoffs],
+        *[F.sum(F.when(ahead[c], F.col(f"_v{i}"))).alias(f"_s{i}_{c}") for i in ms for c in cutoffs],
+        *[F.count(F.when(ahead[c], F.col(f"_v{i}"))).alias(f"_n{i}_{c}") for i in ms for c in cutoffs],
     )
-    sizes = F.broadcast(ranking.select(SPLIT, "n_assets").distinct())
-    wide = customers.select(SPLIT, USER).distinct().join(sizes, SPLIT).join(per_user, [SPLIT, USER], "left")
+    # one row per split
+    sizes = F.broadcast(ranking.groupBy(SPLIT).agg(F.max("n_assets").alias("n_assets")))
+    wide = customers.select(SPLIT, USER).join(sizes, SPLIT).join(per_user, [SPLIT, USER], "left")
     entries = F.array(
         *[
             F.struct(
                 F.lit(c).alias(CUTOFF),
-                F.least(F.col("n_assets"), F.lit(c) + F.coalesce(F.col(f"_g_{c}"), F.lit(0))).cast("int").alias("asset_rank"),
-                F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)).alias("_s"),
-                F.coalesce(F.col(f"_n_{c}"), F.lit(0)).alias("_n"),
+                F.least(F.col("n_assets"), F.lit(c) + F.coalesce(F.col(f"_g_{c}"), F.lit(0)))
+                .cast("int")
+                .alias("asset_rank"),
+                *[F.coalesce(F.col(f"_s{i}_{c}"), F.lit(0.0)).alias(f"_s{i}") for i in ms],
+                *[F.coalesce(F.col(f"_n{i}_{c}"), F.lit(0)).alias(f"_n{i}") for i in ms],
             )
             for c in cutoffs
         ]
     )
     asked = wide.where(F.col("n_assets") > F.coalesce(F.col("_seen"), F.lit(0))).select(SPLIT, USER, F.inline(entries))
-    return asked.join(totals.select(SPLIT, "asset_rank", "_sum", "_cnt"), [SPLIT, "asset_rank"]).select(
-        SPLIT,
-        F.lit(metric).alias("metric"),
-        CUTOFF,
-        USER,
-        F.try_divide(F.col("_sum") - F.col("_s"), F.col("_cnt") - F.col("_n")).alias("value"),
+    at = asked.join(
+        totals.select(SPLIT, "asset_rank", *[f"_sum{i}" for i in ms], *[f"_cnt{i}" for i in ms]), [SPLIT, "asset_rank"]
     )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.try_divide(F.col(f"_sum{i}") - F.col(f"_s{i}"), F.col(f"_cnt{i}") - F.col(f"_n{i}")).alias("value"),
+            )
+            for i, m in enumerate(metrics)
+        ]
+    )
+    return at.select(SPLIT, CUTOFF, USER, F.inline(rows)).select(SPLIT, "metric", CUTOFF, USER, "value")
 
 
 def hits_from_ranking(ranking: DataFrame, gaps: DataFrame, positives: DataFrame) -> DataFrame:
     """List positions of positive assets: their asset rank minus the seen assets before them."""
-    from pyspark.sql import Window
-
     found = positives.join(ranking.select(SPLIT, ITEM, "asset_rank"), [SPLIT, ITEM]).select(
         SPLIT, USER, "asset_rank", F.lit(1).alias("_hit")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_reached, date_array
 from ..names import FUT, ITEM, RATING, REC, SPLIT, TS, USER
+from ..session import materialize
 
 # A grid is a list of literals in the plan; far more splits than any study uses.
 MAX_SPLITS = 2000
@@ -240,12 +241,13 @@ def windowed_split(interactions: DataFrame, windows: Sequence[Window3], repeated
         (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))
     )
     early = F.col("_k") < F.col("_mid")
-    pairs = placed.groupBy(SPLIT, USER, ITEM).agg(
+    # read by train, test and both warm checks
+    pairs = materialize(placed.groupBy(SPLIT, USER, ITEM).agg(
         F.min(F.when(early, F.col("_ts"))).alias("train_ts"),
         F.max(F.when(early, F.col("_buy"))).alias("train_buy"),
         F.min(F.when(~early, F.col("_ts"))).alias("test_ts"),
         F.max(F.when(~early, F.col("_buy"))).alias("test_buy"),
-    )
+    ))
     known = pairs.where(F.col("train_ts").isNotNull())
     train = known.select(
         SPLIT, USER, ITEM, F.col("train_buy").alias(RATING), F.col("train_ts").alias(TS), F.lit("train").alias("part")

@@ -22,6 +22,7 @@ from ..operators.splits import (
     windowed_split,
     with_warm_dates,
 )
+from ..session import materialize
 
 LOOKBACK_DAYS = 36525
 
@@ -33,17 +34,29 @@ def split_dataset(
     data_filter: DataFilter | None = None,
     kpis: DataFrame | None = None,
 ) -> SplitTables:
-    """Train and test of all splits with the filter applied."""
-    pairs = pair_history(interactions)
+    """Train and test of all splits with the filter applied.
+
+    The interactions are read once: the history of pairs is written, and every
+    split is a filter over it. ``prices`` is read several times, so hand over a
+    written table.
+    """
+    pairs = materialize(pair_history(interactions))
+    dated = materialize(with_warm_dates(pairs))
     tables = SplitTables(
         splits=tuple(splits),
         prices=prices,
-        train=train_pairs(pairs, splits),
-        test=novel_test_pairs(with_warm_dates(pairs), splits),
+        train=train_pairs(dated, splits),
+        test=novel_test_pairs(dated, splits),
         kpis=kpis,
         test_is_new=True,
+        warm_pairs=dated,
     )
-    return (data_filter or DataFilter()).apply(tables)
+    return _with_written_assets((data_filter or DataFilter()).apply(tables))
+
+
+def _with_written_assets(tables: SplitTables) -> SplitTables:
+    """The eligible assets (a row per split and asset) take part in many joins."""
+    return replace(tables, assets=materialize(tables.assets))
 
 
 def split_dataset_with_valid(
@@ -69,7 +82,8 @@ def split_dataset_with_valid(
     def part(df: DataFrame, name: str) -> DataFrame:
         return df.where(F.col("part") == name).select(*columns)
 
-    first, second = windowed_split(interactions, early), windowed_split(interactions, late)
+    first = materialize(windowed_split(interactions, early))
+    second = materialize(windowed_split(interactions, late))
     tables = SplitTables(
         splits=tuple(splits),
         prices=prices,
@@ -78,7 +92,7 @@ def split_dataset_with_valid(
         test=part(second, "test"),
         kpis=kpis,
     )
-    return (data_filter or DataFilter()).apply(tables)
+    return _with_written_assets((data_filter or DataFilter()).apply(tables))
 
 
 def split_kpis(tables: SplitTables) -> DataFrame:

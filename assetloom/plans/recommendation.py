@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..names import SPLIT
+from ..names import ITEM, SPLIT, USER
 from ..operators.assets import profitability, window_volatility
 from ..operators.cleaning import positive_assets
 from ..operators.filters import DataFilter, SplitTables, assets_with_test_price
@@ -50,35 +51,40 @@ def priced_at_both_ends() -> DataFilter:
     return DataFilter(assets=assets_with_test_price)
 
 
-def asset_values(prices: DataFrame, tables: SplitTables) -> dict[str, DataFrame]:
-    """Per metric, the value of every eligible asset in every split."""
-    roi = profitability(prices, tables.splits).join(tables.assets, [SPLIT, "col_item"], "left_semi")
-    vol = window_volatility(prices, tables.splits).join(tables.assets, [SPLIT, "col_item"], "left_semi")
-    return {
+def asset_values(prices: DataFrame, tables: SplitTables) -> DataFrame:
+    """Every eligible asset of every split with a column per metric; 0 where an asset has no value."""
+    roi, vol = profitability(prices, tables.splits), window_volatility(prices, tables.splits)
+    parts = {
         "profitability": roi,
         "annualized_prof": annual_values(roi, tables.splits),
         "monthly_prof": monthly_values(roi, tables.splits),
         "volatility": vol,
     }
-
-
-def _combine(parts: list[DataFrame], eligible: DataFrame) -> Evaluation:
-    per_user = parts[0]
-    for p in parts[1:]:
-        per_user = per_user.unionByName(p)
-    return Evaluation(per_user, mean_over_customers(per_user, eligible), eligible)
+    stacked = None
+    for name, part in parts.items():
+        one = part.select(SPLIT, ITEM, F.lit(name).alias("metric"), "value")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    mine = stacked.join(tables.assets, [SPLIT, ITEM], "left_semi")
+    known = mine.groupBy(SPLIT, ITEM).agg(
+        *[
+            # a row without a value stays NULL, no row means 0
+            F.when(F.count(F.when(F.col("metric") == m, 1)) == 0, 0.0)
+            .otherwise(F.max(F.when(F.col("metric") == m, F.col("value"))))
+            .alias(m)
+            for m in parts
+        ]
+    )
+    return known
 
 
 def evaluate_lists(
     recs: DataFrame, prices: DataFrame, tables: SplitTables, cutoffs: Sequence[int] = CUTOFFS
 ) -> Evaluation:
     """All metrics of given ranked lists."""
-    eligible = eligible_customers(tables.customers, tables.test)
-    positives = positive_assets(tables.test, tables.assets, (SPLIT,))
-    parts = [
-        kpi_at_k(recs, values, cutoffs, eligible, name) for name, values in asset_values(prices, tables).items()
-    ]
-    return _combine([*parts, ndcg_at_k(recs, positives, eligible, cutoffs)], eligible)
+    eligible = materialize(eligible_customers(tables.customers, tables.test))
+    positives = materialize(positive_assets(tables.test, tables.assets, (SPLIT,)))
+    kpis = kpi_at_k(recs, asset_values(prices, tables), cutoffs, eligible, METRICS[:-1])
+    return _evaluation(kpis.unionByName(ndcg_at_k(recs, positives, eligible, cutoffs)), eligible)
 
 
 def evaluate_scores(
@@ -87,19 +93,22 @@ def evaluate_scores(
     """The same metrics straight from asset scores; lists are implied, never built.
 
     The work grows with the customers' seen assets and positives instead of
-    with customers x longest cutoff.
+    with customers x longest cutoff. Tables read more than once (the ranking,
+    the eligible customers, the seen assets' ranks, the positives) are written.
     """
-    eligible = eligible_customers(tables.customers, tables.test)
-    positives = positive_assets(tables.test, tables.assets, (SPLIT,))
-    ranking = rank_assets(scores)
-    gaps = seen_ranks(ranking, tables.train, eligible)
-    parts = [
-        kpi_from_ranking(ranking, gaps, values, eligible, cutoffs, name)
-        for name, values in asset_values(prices, tables).items()
-    ]
-    wanted = positives.join(eligible, [SPLIT, "col_user"], "left_semi")
+    eligible = materialize(eligible_customers(tables.customers, tables.test))
+    ranking = materialize(rank_assets(scores))
+    gaps = materialize(seen_ranks(ranking, tables.train, eligible))
+    kpis = kpi_from_ranking(ranking, gaps, asset_values(prices, tables), eligible, cutoffs, METRICS[:-1])
+    wanted = materialize(
+        positive_assets(tables.test, tables.assets, (SPLIT,)).join(eligible, [SPLIT, USER], "left_semi")
+    )
     hits = hits_from_ranking(ranking, gaps, wanted)
-    return _combine([*parts, ndcg_from_hits(hits, wanted, eligible, cutoffs)], eligible)
+    return _evaluation(kpis.unionByName(ndcg_from_hits(hits, wanted, eligible, cutoffs)), eligible)
+
+
+def _evaluation(per_user: DataFrame, eligible: DataFrame) -> Evaluation:
+    return Evaluation(per_user, mean_over_customers(per_user, eligible), eligible)
 
 
 def run_recommendation(
@@ -131,21 +140,21 @@ def run_recommendation(
         write_kpis(technical_indicators(prices, indicator_periods(kpi_kind)), kpi_path)
     kpis = read_kpis(spark, kpi_path)
 
+    prices = materialize(prices)
     tables = split_dataset(interactions, prices, splits, priced_at_both_ends(), kpis)
     columns = features(feature_set)
     scores = materialize(
         learn_scores(
             kpis,
-            materialize(tables.assets),
+            tables.assets,
             splits,
             months,
             columns,
             lambda: ForestScorer(columns, trees=trees, max_depth=max_depth, seed=seed),
         )
     )
-    eligible = eligible_customers(tables.customers, tables.test)
-    write_recommendations(recommend(scores, eligible, tables.train, list_length), f"{out}/recs")
     evaluation = evaluate_scores(scores, prices, tables, cutoffs)
+    write_recommendations(recommend(scores, evaluation.eligible, tables.train, list_length), f"{out}/recs")
     per_user = compute_if_absent(spark, f"{out}/customer_metrics_long", lambda: evaluation.per_user)
     metrics_wide(per_user, METRICS, cutoffs).write.mode("overwrite").partitionBy(SPLIT).parquet(
         f"{out}/customer_metrics"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,34 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+_local_folder: tempfile.TemporaryDirectory | None = None
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
+    global _local_folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="assetloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.TemporaryDirectory(prefix="assetloom-")
+    return _local_folder.name
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reduced table that several later steps read, and continue from the files.
+
+    Cuts lineage (a lost executor costs a re-read, not a recomputation from raw
+    data), keeps column pruning, and gives the planner real sizes, so joins
+    broadcast a side only when it is measured to be small.
+    """
+    path = f"{shared_folder(df.sparkSession)}/assetloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

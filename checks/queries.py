@@ -45,7 +45,8 @@ class Tables:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return retail.prices(self.spark, self.sf_dir, self.profile)
+        """Written once: the grid, the filters and the statistics all read it."""
+        return materialize(retail.prices(self.spark, self.sf_dir, self.profile))
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -73,13 +74,14 @@ class Tables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return R.indicator_scores(
-            D.past_return(self.prices, [21]), self.split_tables.assets, self.splits, "past_profitability_21d"
+        past = D.past_return(self.prices, [21])
+        return materialize(
+            R.indicator_scores(past, self.split_tables.assets, self.splits, "past_profitability_21d")
         )
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return M.eligible_customers(self.split_tables.customers, self.split_tables.test)
+        return materialize(M.eligible_customers(self.split_tables.customers, self.split_tables.test))
 
     def lists(self, k: int | None = None) -> DataFrame:
         return R.recommend(self.scores, self.eligible, self.split_tables.train, k)
@@ -98,9 +100,8 @@ class Tables:
 
     @cached_property
     def indexed(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        pairs = C.collapse_pairs(self.ratings)
-        (mapped,), users, items = C.reindex(pairs)
-        return mapped, users, items
+        (mapped,), users, items = C.reindex(materialize(C.collapse_pairs(self.ratings)))
+        return materialize(mapped), users, items
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -189,7 +190,7 @@ def _lookback_sets(t: Tables, repeated: bool) -> FL.SplitTables:
     windows = [
         S.Window3(s.split_id, S.lookback(s, DS.LOOKBACK_DAYS), s.rec_date, s.future_date) for s in t.splits
     ]
-    both = S.windowed_split(t.ratings, windows, repeated)
+    both = materialize(S.windowed_split(t.ratings, windows, repeated))
     return FL.SplitTables(
         tuple(t.splits),
         t.prices,
@@ -556,8 +557,7 @@ def training_set(t: Tables) -> DataFrame:
 def rf_scores(t: Tables) -> DataFrame:
     kpis = materialize(D.return_and_volatility(t.prices, (21,)))
     names = ["past_profitability_21d", "volatility_21d"]
-    assets = materialize(t.split_tables.assets)
-    return R.learn_scores(kpis, assets, t.splits, 2, names, lambda: R.ForestScorer(names, trees=5, max_depth=5))
+    return R.learn_scores(kpis, t.split_tables.assets, t.splits, 2, names, lambda: R.ForestScorer(names, trees=5, max_depth=5))
 
 
 @query
@@ -584,38 +584,44 @@ def topk(t: Tables) -> DataFrame:
     return M.top_k(t.lists(10), 5).select(SPLIT, USER, ITEM, RANK)
 
 
+def _kpi(t: Tables, values: DataFrame, metric: str) -> DataFrame:
+    named = values.withColumnRenamed("value", metric)
+    return M.kpi_at_k(t.lists(max(CUTOFFS)), named, CUTOFFS, t.eligible, [metric])
+
+
 @query
 def kpi_at_k(t: Tables) -> DataFrame:
-    return rnd(M.kpi_at_k(t.lists(max(CUTOFFS)), t.roi, CUTOFFS, t.eligible), value=6)
+    return rnd(_kpi(t, t.roi, "profitability"), value=6)
 
 
 @query
 def kpi_at_k_mean(t: Tables) -> DataFrame:
-    per_user = M.kpi_at_k(t.lists(max(CUTOFFS)), t.roi, CUTOFFS, t.eligible)
+    per_user = _kpi(t, t.roi, "profitability")
     return rnd(M.mean_over_customers(per_user, t.eligible), value=6)
 
 
 @query
 def kpi_annual_at_k(t: Tables) -> DataFrame:
     values = M.annual_values(t.roi, t.splits)
-    return rnd(M.kpi_at_k(t.lists(max(CUTOFFS)), values, CUTOFFS, t.eligible, "annualized_prof"), value=6)
+    return rnd(_kpi(t, values, "annualized_prof"), value=6)
 
 
 @query
 def kpi_monthly_at_k(t: Tables) -> DataFrame:
     values = M.monthly_values(t.roi, t.splits)
-    return rnd(M.kpi_at_k(t.lists(max(CUTOFFS)), values, CUTOFFS, t.eligible, "monthly_prof"), value=6)
+    return rnd(_kpi(t, values, "monthly_prof"), value=6)
 
 
 @query
 def volatility_at_k(t: Tables) -> DataFrame:
     values = A.window_volatility(t.prices, t.splits)
-    return rnd(M.kpi_at_k(t.lists(max(CUTOFFS)), values, CUTOFFS, t.eligible, "volatility"), value=6)
+    return rnd(_kpi(t, values, "volatility"), value=6)
 
 
 @query
 def kpi_at_k_fixed_denominator(t: Tables) -> DataFrame:
-    return rnd(M.kpi_at_k_fixed(t.lists(), t.roi, (-1, *CUTOFFS), t.eligible), value=6)
+    values = t.roi.withColumnRenamed("value", "profitability_fixed")
+    return rnd(M.kpi_at_k_fixed(t.lists(), values, (-1, *CUTOFFS), t.eligible, ["profitability_fixed"]), value=6)
 
 
 @query
