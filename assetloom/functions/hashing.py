@@ -8,7 +8,9 @@ sees an overflow.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The modulus and the multipliers of the mix.
@@ -22,18 +24,28 @@ def _fifth(x: Column) -> Column:
     return (((square * square) % PRIME) * x) % PRIME
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """Deterministic integer in [0, PRIME) for a tuple of integer keys."""
-    mixed = F.lit(seed % PRIME).cast("long")
-    for key, factor in zip(keys, MULTIPLIERS, strict=False):
-        mixed = mixed + F.pmod(key.cast("long"), F.lit(PRIME).cast("long")) * F.lit(factor).cast("long")
-    mixed = mixed % PRIME
-    return _fifth((_fifth(mixed) * STEP + 1) % PRIME)
+def with_draws(df: DataFrame, seed: int, draws: dict[str, Sequence[Column]]) -> DataFrame:
+    """Add columns of deterministic integers in [0, PRIME), one per tuple of integer keys.
+
+    Each round of the mix is its own projection: its input is used several times
+    and is computed once that way, all inside one generated stage.
+    """
+
+    def mixed(keys: Sequence[Column]) -> Column:
+        total = F.lit(seed % PRIME).cast("long")
+        for key, factor in zip(keys, MULTIPLIERS, strict=False):
+            total = total + F.pmod(key.cast("long"), F.lit(PRIME).cast("long")) * F.lit(factor).cast("long")
+        return total % PRIME
+
+    kept = df.columns
+    first = df.select("*", *[mixed(keys).alias(name) for name, keys in draws.items()])
+    second = first.select(*kept, *[((_fifth(F.col(n)) * STEP + 1) % PRIME).alias(n) for n in draws])
+    return second.select(*kept, *[_fifth(F.col(n)).alias(n) for n in draws])
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """Deterministic double strictly inside (0, 1)."""
-    return (draw(seed, *keys) + 0.5) / float(PRIME)
+def as_uniform(drawn: Column) -> Column:
+    """A draw as a double strictly inside (0, 1)."""
+    return (drawn + 0.5) / float(PRIME)
 
 
 def key_bucket(key: Column) -> Column:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, draw, uniform
+from ..functions.hashing import PRIME, as_uniform, with_draws
 from ..functions.numbering import smallest
 from ..names import RATING
 
@@ -94,7 +94,7 @@ def symmetric_normalized(edges: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def _keep_nodes(nodes: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
-    drawn = nodes.select(key, draw(seed, F.col(key)).alias("_draw"))
+    drawn = with_draws(nodes.select(key), seed, {"_draw": [F.col(key)]})
     return smallest(drawn, "_draw", PRIME, lambda n: n - F.floor(n * F.lit(ratio)), [key]).select(key)
 
 
@@ -109,7 +109,7 @@ def drop_nodes(
 
 def drop_edges(edges: DataFrame, ratio: float, seed: int, row_key: tuple[str, ...] = (U, I)) -> DataFrame:
     """Exactly ``floor((1 - ratio) * rows)`` rows, chosen by a seeded draw on ``row_key``."""
-    drawn = edges.withColumn("_draw", draw(seed, *[F.col(c) for c in row_key]))
+    drawn = with_draws(edges, seed, {"_draw": [F.col(c) for c in row_key]})
     return smallest(
         drawn, "_draw", PRIME, lambda n: F.floor(n * F.lit(1.0 - ratio)), list(row_key)
     ).drop("_draw")
@@ -136,8 +136,11 @@ def user_vector_chunks(edges: DataFrame, chunk: int = 4096) -> DataFrame:
 def random_features(nodes: DataFrame, key: str, dim: int, seed: int) -> DataFrame:
     """A seeded standard normal vector per node."""
 
-    def normal(j: Column) -> Column:
-        radius = F.sqrt(-2.0 * F.ln(uniform(seed, F.col(key), j)))
-        return radius * F.cos(2.0 * math.pi * uniform(seed + 1, F.col(key), j))
+    drawn = with_draws(nodes.select(key), seed, {f"_a{j}": [F.col(key), F.lit(j)] for j in range(dim)})
+    drawn = with_draws(drawn, seed + 1, {f"_b{j}": [F.col(key), F.lit(j)] for j in range(dim)})
 
-    return nodes.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal).alias("features"))
+    def normal(j: int) -> Column:
+        radius = F.sqrt(-2.0 * F.ln(as_uniform(F.col(f"_a{j}"))))
+        return radius * F.cos(2.0 * math.pi * as_uniform(F.col(f"_b{j}")))
+
+    return drawn.select(key, F.array(*[normal(j) for j in range(dim)]).alias("features"))

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
+from ..functions.hashing import as_uniform, with_draws
 from ..names import ITEM, MONTH_DAYS, PRICE, RANK, REC, SCORE, SPLIT, TS, USER
 from .splits import Split, per_split
 
@@ -78,7 +78,8 @@ class HashScorer:
 
     def score(self, candidates: DataFrame) -> DataFrame:
         number = F.conv(F.substring(F.md5(F.col(ITEM).cast("string")), 1, 8), 16, 10).cast("long")
-        return candidates.select(ITEM, uniform(self.seed, number).alias(SCORE))
+        drawn = with_draws(candidates.select(ITEM), self.seed, {"_draw": [number]})
+        return drawn.select(ITEM, as_uniform(F.col("_draw")).alias(SCORE))
 
 
 class ColumnScorer:

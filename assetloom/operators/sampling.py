@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw, uniform
+from ..functions.hashing import as_uniform, with_draws
 from ..functions.numbering import prefix_sum
 from ..names import RATING
 from .graph import I, U, unique_pairs
@@ -77,8 +77,9 @@ def weighted_sample(
 ) -> DataFrame:
     """``count`` keys per request, with replacement, proportional to weight: (request, draw, key)."""
     line = _Intervals(weights, key, weight)
-    points = requests.select(request, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw")).withColumn(
-        "_p", F.floor(uniform(seed, F.col(request), F.col("draw")) * line.total)
+    asked = requests.select(request, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
+    points = with_draws(asked, seed, {"_u": [F.col(request), F.col("draw")]}).withColumn(
+        "_p", F.floor(as_uniform(F.col("_u")) * line.total)
     )
     return line.find(points, "_p").select(request, "draw", F.col("_key").alias(key))
 
@@ -99,13 +100,14 @@ def weighted_sample_distinct(
     state = requests.select(request, F.array().cast(taken_type).alias("_taken"))
     for j in range(count):
         used = F.aggregate(F.col("_taken"), F.lit(0).cast("long"), lambda a, t: a + t["_w"])
-        free = F.floor(uniform(seed, F.col(request), F.lit(j)) * (line.total - used))
+        free = F.floor(as_uniform(F.col("_u")) * (line.total - used))
         position = F.aggregate(
             F.array_sort(F.col("_taken")),
             F.col("_free"),
             lambda p, t: F.when(p >= t["_start"], p + t["_w"]).otherwise(p),
         )
-        asked = state.withColumn("_free", free.cast("long")).withColumn("_p", position)
+        drawn = with_draws(state, seed, {"_u": [F.col(request), F.lit(j)]})
+        asked = drawn.withColumn("_free", free.cast("long")).withColumn("_p", position)
         state = line.find(asked, "_p").select(
             request, F.concat("_taken", F.array(F.struct("_start", "_w", "_key"))).cast(taken_type).alias("_taken")
         )
@@ -117,16 +119,20 @@ def weighted_sample_distinct(
 # ------------------------------------------------------------------- negatives
 
 
-def _positions(n: int, seed: int, m: Column) -> Column:
-    """``min(n, m)`` different positions in [0, m), every subset equally likely (Floyd's sampling)."""
-    size = F.least(F.lit(n).cast("long"), m)
+def _with_positions(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """Add _t0.. _t<n-1>: ``min(n, _m)`` different positions in [0, _m), every subset equally likely.
 
-    def step(taken: Column, k: Column) -> Column:
-        top = m - size + k
-        pick = draw(seed, F.col(U), F.col(I), k) % (top + 1)
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), top).otherwise(pick)))
-
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), F.array().cast("array<bigint>"), step)
+    Floyd's sampling: step k draws from one more position than step k-1 could,
+    and takes that last position when the draw repeats an earlier one.
+    """
+    size = F.least(F.lit(n).cast("long"), F.col("_m"))
+    out = with_draws(rows, seed, {f"_h{k}": [F.col(U), F.col(I), F.lit(k)] for k in range(n)})
+    for k in range(n):
+        top = F.col("_m") - size + k
+        pick = F.col(f"_h{k}") % (top + 1)
+        repeated = F.array_contains(F.array(*[F.col(f"_t{i}") for i in range(k)]), pick) if k else F.lit(False)
+        out = out.withColumn(f"_t{k}", F.when(F.lit(k) < size, F.when(repeated, top).otherwise(pick)))
+    return out.drop(*[f"_h{k}" for k in range(n)])
 
 
 def unseen_items(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
@@ -147,16 +153,12 @@ def unseen_items(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataF
         .withColumn("_m", n_items - F.col("_deg"))
     )
     # each seen asset is a marker; each pair asks for positions
-    entries = F.concat(
-        F.array(F.struct(F.col("_before").cast("long").alias("_p"), F.lit(-1).alias("draw"))),
-        F.when(
-            F.col("_m") > 0,
-            F.transform(
-                _positions(n, seed, F.col("_m")), lambda p, k: F.struct(p.alias("_p"), k.cast("int").alias("draw"))
-            ),
-        ).otherwise(F.array().cast("array<struct<_p:bigint,draw:int>>")),
+    asking = _with_positions(seen, n, seed)
+    entries = F.array(
+        F.struct(F.col("_before").cast("long").alias("_p"), F.lit(-1).alias("draw")),
+        *[F.struct(F.col(f"_t{k}").alias("_p"), F.lit(k).alias("draw")) for k in range(n)],
     )
-    events = seen.select(U, I, F.inline(entries))
+    events = asking.select(U, I, F.inline(entries)).where(F.col("_p").isNotNull())
     # markers sort before questions at the same position
     order = Window.partitionBy(U).orderBy("_p", "draw").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.when(F.col("draw") < 0, 1).otherwise(0)

@@ -7,7 +7,7 @@ operators.
 
 from __future__ import annotations
 
-from checks.queries import CUTOFFS, DROP, EARLY, FIRST, LAST, LATER, LATEST, MIDDLE, NEGATIVES, NUM_FUTURE, NUM_SPLIT, SEED, nudge
+from checks.queries import CUTOFFS, DROP, EARLY, FIRST, HALF_UP, LAST, LATER, LATEST, MIDDLE, NEGATIVES, NUM_FUTURE, NUM_SPLIT, SEED
 
 LONG, SHORT = (21, 63, 126, 189), (21, 63, 126)
 PRIME = 2147483647
@@ -20,7 +20,8 @@ BRANDTYPE = "p_brand || '/' || p_type"
 
 
 def r(expr: str, n: int) -> str:
-    return f"(round(({expr}) + {nudge(n)!r}::DOUBLE, {n}) + 0.0)"
+    scale = f"{10.0**n!r}::DOUBLE"
+    return f"(floor(({expr}) * {scale} + {HALF_UP}::DOUBLE) / {scale})"
 
 
 def prices(item: str = BRANDTYPE, grain: str = WEEK) -> str:

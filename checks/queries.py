@@ -113,20 +113,20 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def nudge(digits: int) -> float:
-    """Moves decimal ties (prices are cents over whole units) off the rounding boundary in both engines."""
-    return 0.003 * 10.0**-digits
+# Added before rounding down: prices are cents over whole units, so exact halves
+# are common, and a plain 0.5 would leave them to the last bit of a sum.
+HALF_UP = 0.503
 
 
 def rnd(df: DataFrame, **digits: int) -> DataFrame:
     """Round named columns; ``_`` gives the digits of every other double column."""
     rest = digits.pop("_", None)
-    out: dict[str, Column] = {}
+    out: list[Column] = []
     for name, kind in df.dtypes:
         n = digits.get(name, rest if kind == "double" else None)
-        if n is not None:
-            out[name] = F.round(F.col(f"`{name}`") + nudge(n), n)
-    return df.withColumns(out)
+        column = F.col(f"`{name}`")
+        out.append(column if n is None else (F.floor(column * 10.0**n + HALF_UP) / 10.0**n).alias(name))
+    return df.select(*out)
 
 
 # ------------------------------------------------------------------ A sources
