@@ -36,7 +36,8 @@ def exact_quantiles(
     """One row per group: the columns in ``groups``, ``n`` and the array ``quantiles``.
 
     ``kind`` follows the usual numbering of sample quantiles: 6 interpolates at
-    p(n+1) and needs two values, 7 at p(n-1)+1. NULL values are ignored.
+    p(n+1) and needs two values, 7 at p(n-1)+1. NULL values are ignored. The
+    input is read twice, so hand over a written table when it is costly.
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
     lower = [max(0.0, p - _MARGIN) for p in probs]

@@ -55,30 +55,33 @@ def rolling(df: DataFrame, specs: Sequence[Rolling], key: str = ITEM, order: str
 
     ordered = Window.partitionBy(key).orderBy(order)
     frame = ordered.rowsBetween(1 - base, 0)
-    short: dict[str, Column] = {}
-
-    def need(name: str, value: Column, column: str) -> str:
-        short[name] = F.when(F.count(column).over(frame) == base, value)
-        return name
-
+    wanted = {
+        "mean": lambda c: [(f"_mean_{c}", F.avg(c))],
+        "std": lambda c: [(f"_mean_{c}", F.avg(c)), (f"_dev_{c}", F.var_pop(c))],
+        "min": lambda c: [(f"_min_{c}", F.min(c))],
+        "max": lambda c: [(f"_max_{c}", F.max(c))],
+    }
     parts: dict[Rolling, list[str]] = {}
+    short: dict[str, tuple[str, Column]] = {}
     for s in specs:
-        c = s.column
-        if s.kind == "mean":
-            parts[s] = [need(f"_mean_{c}", F.avg(c).over(frame), c)]
-        elif s.kind == "std":
-            parts[s] = [
-                need(f"_mean_{c}", F.avg(c).over(frame), c),
-                need(f"_dev_{c}", F.var_pop(c).over(frame) * base, c),
-            ]
-        elif s.kind == "min":
-            parts[s] = [need(f"_min_{c}", F.min(c).over(frame), c)]
-        elif s.kind == "max":
-            parts[s] = [need(f"_max_{c}", F.max(c).over(frame), c)]
-        else:
-            raise ValueError(s.kind)
+        named = wanted[s.kind](s.column)
+        parts[s] = [n for n, _ in named]
+        short.update({n: (s.column, agg) for n, agg in named})
     kept = df.columns
-    with_short = df.select("*", *[v.alias(n) for n, v in short.items()])
+    columns = sorted({s.column for s in specs})
+    slid = df.select(
+        "*",
+        *[F.count(c).over(frame).alias(f"_n_{c}") for c in columns],
+        *[agg.over(frame).alias(n) for n, (_, agg) in short.items()],
+    )
+    # a short frame counts only when all its rows have a value; NULL then spreads to every longer period
+    with_short = slid.select(
+        *kept,
+        *[
+            F.when(F.col(f"_n_{c}") == base, F.col(n)).alias(n)
+            for n, (c, _) in short.items()
+        ],
+    )
 
     depth: dict[str, int] = {}
     for s, names in parts.items():
@@ -106,10 +109,9 @@ def rolling(df: DataFrame, specs: Sequence[Rolling], key: str = ITEM, order: str
             return reduce(Column.__add__, cols[0]) / F.lit(float(m))
         if s.kind == "std":
             mu = F.col(f"_mu_{s.out}")
-            spread = reduce(Column.__add__, cols[1]) + F.lit(float(base)) * reduce(
-                Column.__add__, [(c - mu) * (c - mu) for c in cols[0]]
-            )
-            return F.sqrt(spread / F.lit(float(s.period - 1)))
+            # population variance inside the short frames plus that of their means around the common mean
+            spread = reduce(Column.__add__, cols[1]) + reduce(Column.__add__, [(c - mu) * (c - mu) for c in cols[0]])
+            return F.sqrt(F.lit(float(base)) * spread / F.lit(float(s.period - 1)))
         pick = F.least if s.kind == "min" else F.greatest
         complete = reduce(Column.__and__, [c.isNotNull() for c in cols[0]])
         return F.when(complete, pick(*cols[0]) if m > 1 else cols[0][0])

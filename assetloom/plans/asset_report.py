@@ -10,13 +10,15 @@ from ..names import SPLIT
 from ..operators.assets import asset_stats, asset_summary, split_census
 from ..operators.filters import DataFilter
 from ..operators.splits import Split
+from ..session import materialize
 from ..sources.sinks import write_by_date, write_summary
 from .dataset import split_dataset
 
 
 def asset_report(interactions: DataFrame, prices: DataFrame, splits: Sequence[Split]) -> tuple[DataFrame, DataFrame]:
     """Per-asset statistics and the per-date summary with counts of the split."""
-    stats = asset_stats(prices, splits)
+    prices = materialize(prices)
+    stats = materialize(asset_stats(prices, splits))
     census = split_census(interactions, prices, split_dataset(interactions, prices, splits, DataFilter()))
     return stats, asset_summary(stats).join(census, SPLIT)
 

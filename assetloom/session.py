@@ -19,6 +19,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # generated methods beyond HotSpot's compile limit would run interpreted
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # plan building records a Python call site per column operation unless told not to
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

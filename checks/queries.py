@@ -447,7 +447,7 @@ def volatility_window(t: Tables) -> DataFrame:
 
 @query
 def asset_summary(t: Tables) -> DataFrame:
-    return rnd(A.asset_summary(A.asset_stats(t.prices, t.splits)), _=6)
+    return rnd(A.asset_summary(materialize(A.asset_stats(t.prices, t.splits))), _=6)
 
 
 @query
@@ -516,7 +516,7 @@ def customer_returns(t: Tables) -> DataFrame:
 
 @query
 def customer_summary(t: Tables) -> DataFrame:
-    totals = customer_report(t.trades, t.prices, C.limit_prices(t.prices), t.splits)
+    totals = materialize(customer_report(t.trades, t.prices, C.limit_prices(t.prices), t.splits))
     return rnd(P.customer_summary(totals, t.splits), _=5)
 
 
