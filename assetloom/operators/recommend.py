@@ -161,7 +161,8 @@ def learn_scores(
             rows = rows.where(F.col("final_ts") < F.lit(s.rec_date))
         scorer = make_scorer()
         scorer.fit(rows.join(own, ITEM, "left_semi").select(*features, "target"))
-        today = kpis.where(F.col(TS) == F.lit(s.rec_date)).join(own, ITEM, "left_semi")
+        # an asset whose indicators are not complete yet cannot be scored
+        today = kpis.where(F.col(TS) == F.lit(s.rec_date)).na.drop(subset=list(features)).join(own, ITEM, "left_semi")
         part = scorer.score(today).select(F.lit(s.split_id).alias(SPLIT), ITEM, SCORE)
         scored = part if scored is None else scored.unionByName(part)
     return scored
