@@ -31,13 +31,21 @@ def _positions(n: Column, p: float, kind: int) -> tuple[Column, Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, kind: int, probs: tuple[float, ...] = QUARTILES
+    df: DataFrame,
+    groups: list[str],
+    value: str,
+    kind: int,
+    probs: tuple[float, ...] = QUARTILES,
+    few_groups: bool = False,
 ) -> DataFrame:
     """One row per group: the columns in ``groups``, ``n`` and the array ``quantiles``.
 
     ``kind`` follows the usual numbering of sample quantiles: 6 interpolates at
     p(n+1) and needs two values, 7 at p(n-1)+1. NULL values are ignored. The
     input is read twice, so hand over a written table when it is costly.
+    ``few_groups`` promises a small fixed number of groups (splits x measures):
+    the brackets, one row per group, are then broadcast, and the rows never
+    move by group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
     lower = [max(0.0, p - _MARGIN) for p in probs]
@@ -65,7 +73,7 @@ def exact_quantiles(
     brackets = sketch.select(*groups, "n", F.array(*wanted).alias("_wanted"))
 
     placed = (
-        rows.join(brackets, groups)
+        rows.join(F.broadcast(brackets) if few_groups else brackets, groups)
         .select(*groups, "_v", F.explode("_wanted").alias("w"))
         .where(F.col("_v") <= F.col("w.top"))
         # every value below the bracket folds into one counted row

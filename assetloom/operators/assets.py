@@ -85,7 +85,7 @@ def asset_summary(stats: DataFrame) -> DataFrame:
     moments = long.groupBy(*keys, "measure").agg(
         F.avg("v").alias("mean"), F.avg(F.when(F.col("v") > 0, 0.0).otherwise(1.0)).alias("share")
     )
-    quartiles = exact_quantiles(long, [*keys, "measure"], "v", kind=6)
+    quartiles = exact_quantiles(long, [*keys, "measure"], "v", kind=6, few_groups=True)
     joined = moments.join(quartiles, [*keys, "measure"], "left")
 
     def of(measure: str, value: Column) -> Column:

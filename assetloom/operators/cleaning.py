@@ -76,21 +76,16 @@ def normalize_ratings(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
 
 
 def column_counts(df: DataFrame) -> DataFrame:
-    """Rows with a value and distinct values of every column, one row per column."""
-    frequencies = None
-    for name in df.columns:
-        one = (
-            df.groupBy(F.col(name).cast("string").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_v").isNotNull())
-            .agg(
-                F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("count"),
-                F.count(F.lit(1)).cast("long").alias("nunique"),
-            )
-            .select(F.lit(name).alias("column"), "count", "nunique")
-        )
-        frequencies = one if frequencies is None else frequencies.unionByName(one)
-    return frequencies
+    """Rows with a value and distinct values of every column, one row per column.
+
+    One pass: (column, value) pairs are counted on the map side first.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])
+    frequencies = df.select(F.inline(cells)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    return frequencies.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).cast("long").alias("count"),
+        F.count("v").alias("nunique"),
+    )
 
 
 def reindex(train: DataFrame, *others: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:

@@ -347,9 +347,8 @@ def customer_summary(totals: DataFrame, splits: Sequence[Split]) -> DataFrame:
     overall = totals.groupBy(SPLIT).agg(
         (F.try_divide(F.sum("sell_price"), F.sum("buy_price")) - 1.0).alias("total")
     )
-    joined = moments.join(exact_quantiles(long, [SPLIT, "measure"], "v", kind=7), [SPLIT, "measure"]).join(
-        overall, SPLIT
-    )
+    quartiles = exact_quantiles(long, [SPLIT, "measure"], "v", kind=7, few_groups=True)
+    joined = moments.join(quartiles, [SPLIT, "measure"]).join(overall, SPLIT)
     days = _split_days(splits)
     total = (
         F.when(F.col("measure") == "month_profit", over_days(F.col("total"), MONTH_DAYS, days))

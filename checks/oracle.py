@@ -806,6 +806,34 @@ JOIN line ON start <= p AND p < start + n""",
 )
 
 
+def distinct_draws(count: int) -> str:
+    """Each draw lays the keys a customer has not drawn yet end to end and picks one."""
+    steps = ["taken AS (SELECT user_idx, 0 AS draw, item_idx FROM edges WHERE FALSE)"]
+    before = "taken"
+    for j in range(count):
+        steps.append(draw(f"h{j}", "users", "user_idx", SEED, "user_idx", str(j)))
+        steps.append(
+            f"""left{j} AS (
+  SELECT user_idx, item_idx, n, sum(n) OVER (PARTITION BY user_idx ORDER BY pos) - n AS start,
+         sum(n) OVER (PARTITION BY user_idx) AS total
+  FROM users u JOIN ordered o ON TRUE
+  WHERE NOT EXISTS (SELECT 1 FROM {before} t WHERE t.user_idx = u.user_idx AND t.item_idx = o.item_idx)),
+taken{j} AS (
+  SELECT * FROM {before}
+  UNION ALL SELECT user_idx, {j}, item_idx FROM left{j} JOIN h{j} USING (user_idx)
+  WHERE start <= floor({uniform()} * total) AND floor({uniform()} * total) < start + n)"""
+        )
+        before = f"taken{j}"
+    return f"""{INDEX}, weights AS (SELECT item_idx, count(*) AS n FROM edges GROUP BY 1),
+ordered AS (
+  SELECT item_idx, n, row_number() OVER (ORDER BY substr(md5(CAST(item_idx AS VARCHAR)), 1, 3), item_idx) AS pos
+  FROM weights),
+{', '.join(steps)}"""
+
+
+add("weighted_sample_distinct", distinct_draws(3), "SELECT user_idx, draw, item_idx FROM taken2")
+
+
 def negatives(n: int) -> str:
     """Floyd's sampling, unrolled, and the unseen assets of a customer as an explicit sorted list."""
     steps = []

@@ -10,8 +10,8 @@ from checks.queries import all_queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = all_queries(), all_sql()
-# a forest has no SQL, and sequential draws without repetition are tested against a plain loop
-NO_SQL = {"rf_scores", "weighted_sample_distinct"}
+# a forest has no SQL
+NO_SQL = {"rf_scores"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
