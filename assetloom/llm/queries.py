@@ -6,8 +6,11 @@ operator returns.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,30 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary that the encoding query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@F.pandas_udf("string")
+def _ids_sha256(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.sentencepiece_table import decode_ids, encode_texts
+
+    model = tokenizer_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode_ids(encode_texts(docs, model).drop("text"), model)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _ids_sha256("ids").alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
