@@ -87,3 +87,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ids_sha256("ids").alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.contamination import find_contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        sha256(F.array_join("items", ",")).alias("items_sha256"),
+        "contaminated",
+    )

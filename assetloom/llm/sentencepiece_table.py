@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from assetloom.llm.numtext import slices
+
 SPACE = "▁"
 CACHE_ENTRIES = 200_000  # twice as many words are held
 CACHED_CHARS = 64
@@ -234,16 +236,6 @@ class PieceTable:
         return (text[1:] if first in self.marked else text).decode("utf-8", "one_each")
 
 
-def _slices(batch: pa.RecordBatch, weights: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of a batch, each of at most ``limit`` weight or one row."""
-    start, n = 0, batch.num_rows
-    total = np.concatenate([[0], np.cumsum(weights)])
-    while start < n:
-        stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def _table(shared) -> PieceTable:
     """The table of this worker process; built once for a model."""
     key = hash((tuple(shared.value["pieces"]), tuple(shared.value["scores"])))
@@ -270,7 +262,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", out_c
         for batch in batches:
             at = batch.schema.names.index(text_col)
             sizes = np.array([len(x) if x else 1 for x in batch.column(at).to_pylist()])
-            for part in _slices(batch, sizes, SLICE_BYTES):
+            for part in slices(batch, sizes, SLICE_BYTES):
                 ids = [table.encode(x) for x in part.column(at).to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
@@ -295,7 +287,7 @@ def decode_ids(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col:
         for batch in batches:
             at = batch.schema.names.index(ids_col)
             sizes = np.array([len(x) if x.is_valid else 1 for x in batch.column(at)])
-            for part in _slices(batch, sizes * 4, SLICE_BYTES):
+            for part in slices(batch, sizes * 4, SLICE_BYTES):
                 texts = [table.decode(x.values.to_pylist()) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col]

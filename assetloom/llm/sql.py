@@ -52,3 +52,33 @@ WITH rules(rh, rp, rv) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)
 """
+
+_WORDS = (
+    "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace(
+        "{}", _ASCII_LOWER.format("coalesce(text, '')")
+    )
+)
+
+_SQL["op3_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, w[i : i + least(10, len(w)) - 1] AS win, least(10, len(w)) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT doc_id, n, i, w[i : i + n - 1] AS win
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+), found AS (
+    SELECT doc_id, item_id, i, x.n FROM doc_windows x JOIN item_windows y ON x.n = y.n AND x.win = y.win
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
