@@ -103,3 +103,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.array_join("items", ",")).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.radix_dedup import exact_groups, normal_text
+
+    out = exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "keep_id", "group_size", "kept", sha256(normal_text("text")).alias("text_sha256")
+    )

@@ -82,3 +82,17 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_SQL["op5_exact_dedup"] = rf"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars,
+           regexp_replace(coalesce(text, ''), '{_TRIM}+', '', 'g') AS norm
+    FROM documents
+), ranked AS (
+    SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth
+    FROM d WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
+)
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY norm) AS group_size, nth = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM ranked
+"""
