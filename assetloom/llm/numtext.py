@@ -92,3 +92,26 @@ def words(data: np.ndarray, offsets: np.ndarray, hashes: int = 1) -> tuple[list[
         table = powers(base, int(place.max()) + 1)
         out.append(mix(np.add.reduceat(value * table[place], dense)))
     return out, counts
+
+
+def prefix_hash(data: np.ndarray, base: int) -> np.ndarray:
+    """Running polynomial hash: entry i covers the first i bytes."""
+    out = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum((data.astype(U64) + U64(1)) * powers(base, len(data))[: len(data)], out=out[1:])
+    return out
+
+
+def range_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """Hash of the bytes from start to stop, wherever they lie."""
+    inverse = powers(pow(base, -1, 1 << 64), len(prefix))
+    return mix((prefix[stop] - prefix[start]) * inverse[start])
+
+
+def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of every run of ``width`` values."""
+    span = 1
+    while span * 2 <= width:
+        values = best(values[:-span], values[span:])
+        span *= 2
+    rest = width - span
+    return best(values[:-rest], values[rest:]) if rest else values
