@@ -15,6 +15,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 12 << 20
 
 
+# bytes of an Arrow batch that goes to a Python worker; whole texts make rows wide
+ARROW_BYTES = 8 << 20
+
+
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session, so that a worker's memory does not depend on row width."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def text_of(name: str) -> Column:
     """A text column where NULL counts as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -128,3 +128,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.lsh_forest import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "n_links")
