@@ -136,3 +136,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "class_id", "n_links")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.toxicity import held_out, score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
+    return out.select("doc_id", "held_out", "score", "predicted")
