@@ -146,3 +146,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     out = score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.pii import KINDS, find_personal_data, spans_text
+
+    out = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+    return out.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        sha256(spans_text(F.col("base_spans"))).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
