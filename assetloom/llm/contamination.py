@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetloom.llm.common import narrow_batches
 from assetloom.llm.numtext import U64, text_slices, utf8, words
 
 SHARD_BYTES = 4 << 20
@@ -253,7 +254,7 @@ def find_contamination(
                     [*part.columns[:old], *columns], [*part.schema.names[:old], *names]
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = narrow_batches(out).mapInArrow(run, schema)
     return out.withColumn("contaminated", F.size("hits") > 0)
 
 

@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assetloom.llm.numtext import slices
+from assetloom.llm.common import narrow_batches
+from assetloom.llm.numtext import slices, text_slices
 
 SPACE = "▁"
-CACHE_ENTRIES = 200_000  # twice as many words are held
+CACHE_ENTRIES = 300_000  # twice as many words are held
 CACHED_CHARS = 64
-PAIR_ENTRIES = 1_000_000
-SLICE_BYTES = 8 << 20
+PAIR_ENTRIES = 400_000
+SLICE_BYTES = 2 << 20
 
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 
@@ -79,13 +80,39 @@ def _one_each(error: UnicodeError):
 codecs.register_error("one_each", _one_each)
 
 
+class PieceDecoder:
+    """Surfaces of the pieces of one vocabulary."""
+
+    def __init__(self, model: dict):
+        codecs.register_error("one_each", _one_each)
+        self.surface: list[bytes] = []
+        self.control, self.marked = set(), set()
+        for i, (piece, kind) in enumerate(zip(model["pieces"], model["kinds"], strict=True)):
+            if kind == BYTE:
+                self.surface.append(bytes([int(piece[3:5], 16)]))
+            elif kind == NORMAL:
+                self.surface.append(piece.replace(SPACE, " ").encode())
+                if piece.startswith(SPACE):
+                    self.marked.add(i)
+            elif kind == CONTROL:
+                self.surface.append(b"")
+                self.control.add(i)
+            else:
+                self.surface.append(" ⁇ ".encode())
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids: control ids are silent, the first space mark of the text is dropped."""
+        text = b"".join(map(self.surface.__getitem__, ids))
+        first = next((i for i in ids if i not in self.control), None)
+        return (text[1:] if first in self.marked else text).decode("utf-8", "one_each")
+
+
 class PieceTable:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder of one vocabulary."""
 
     def __init__(self, model: dict):
         import ahocorasick
 
-        codecs.register_error("one_each", _one_each)
         pieces, kinds = model["pieces"], model["kinds"]
         self.begin, self.end = model["begin"], model["end"]
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == NORMAL}
@@ -93,17 +120,9 @@ class PieceTable:
         self.pieces = pieces
         self.scores = model["scores"]
         self.byte_ids = [0] * 256
-        self.surface: list[bytes] = []
         for i, (piece, kind) in enumerate(zip(pieces, kinds, strict=True)):
             if kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.surface.append(bytes([int(piece[3:5], 16)]))
-            elif kind == NORMAL:
-                self.surface.append(piece.replace(SPACE, " ").encode())
-            else:
-                self.surface.append(b"" if kind == CONTROL else " ⁇ ".encode())
-        self.control = {i for i, k in enumerate(kinds) if k == CONTROL}
-        self.marked = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self._merge(piece) == [piece]:  # a piece that merging never makes is never a token
@@ -229,19 +248,13 @@ class PieceTable:
         out.append(array("I", [self.end]).tobytes())
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: control ids are silent, the first space mark of the text is dropped."""
-        text = b"".join(map(self.surface.__getitem__, ids))
-        first = next((i for i in ids if i not in self.control), None)
-        return (text[1:] if first in self.marked else text).decode("utf-8", "one_each")
-
 
-def _table(shared) -> PieceTable:
-    """The table of this worker process; built once for a model."""
-    key = hash((tuple(shared.value["pieces"]), tuple(shared.value["scores"])))
+def _held(kind: type, shared):
+    """The encoder or decoder of this worker process; built once for a model."""
+    key = kind.__name__ + str(hash((tuple(shared.value["pieces"]), tuple(shared.value["scores"]))))
     held = sys.modules.setdefault("_llm_piece_tables", types.ModuleType("_llm_piece_tables")).__dict__
     if key not in held:
-        held[key] = PieceTable(shared.value)
+        held[key] = kind(shared.value)
     return held[key]
 
 
@@ -258,19 +271,16 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", out_c
     schema = T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(shared)
-        for batch in batches:
-            at = batch.schema.names.index(text_col)
-            sizes = np.array([len(x) if x else 1 for x in batch.column(at).to_pylist()])
-            for part in slices(batch, sizes, SLICE_BYTES):
-                ids = [table.encode(x) for x in part.column(at).to_pylist()]
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
-                column = pa.ListArray.from_arrays(pa.array(ends), values)
-                kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != out_col]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), column], [*(n for n, _ in kept), out_col])
+        table = _held(PieceTable, shared)
+        for part in text_slices(batches, text_col, SLICE_BYTES):
+            ids = [table.encode(x) for x in part.column(text_col).to_pylist()]
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            column = pa.ListArray.from_arrays(pa.array(ends), values)
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != out_col]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), column], [*(n for n, _ in kept), out_col])
 
-    return base.mapInArrow(run, schema)
+    return narrow_batches(base).mapInArrow(run, schema)
 
 
 def decode_ids(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -283,14 +293,14 @@ def decode_ids(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col:
     schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(shared)
+        decoder = _held(PieceDecoder, shared)
         for batch in batches:
             at = batch.schema.names.index(ids_col)
-            sizes = np.array([len(x) if x.is_valid else 1 for x in batch.column(at)])
-            for part in slices(batch, sizes * 4, SLICE_BYTES):
-                texts = [table.decode(x.values.to_pylist()) if x.is_valid else "" for x in part.column(at)]
+            sizes = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for part in slices(batch, sizes.astype(np.int64) * 4, SLICE_BYTES):
+                texts = [decoder.decode(x or []) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col]
                 )
 
-    return base.mapInArrow(run, schema)
+    return narrow_batches(base).mapInArrow(run, schema)
