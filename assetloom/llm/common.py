@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,11 @@ def narrow_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(name: str) -> Column:
     """A text column where NULL counts as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import broadcast_if_small, same, text_of
+from assetloom.llm.common import WHITE, broadcast_if_small, let, same, text_of
 from assetloom.session import materialize
 
 # fixed values: the kinds in their order
@@ -38,6 +38,8 @@ FORMATS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT_CHARS = 64
+CHUNK = 64
+BLOCK_CHARS = 4096
 OUTPUTS = ("spans", "base_spans")
 
 
@@ -51,33 +53,56 @@ class Settings:
     instance_reliability: float = 0.8
 
 
+def _prefix_sums(sizes: Column) -> Column:
+    """For every element the sum of those before it; sums of chunks keep long arrays near linear."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda s, x: s + x)
+
+    def offsets(chunks: Column) -> Column:
+        # one more than there are chunks; chunks are few
+        return F.aggregate(
+            chunks, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x))
+        )
+
+    def before(i: Column, chunk_offsets: Column) -> Column:
+        chunk = F.floor(i / CHUNK).cast("int")
+        return F.element_at(chunk_offsets, chunk + 1) + total(F.slice(sizes, chunk * CHUNK + 1, i % CHUNK))
+
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")),
+        lambda c: total(F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK))),
+    )
+    return let(offsets(chunks), lambda o: F.transform(sizes, lambda x, i: before(i, o)))
+
+
 def _located(text: Column, regex: str) -> Column:
     """Matches of a regex as structs (start, end, surface), in code points."""
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex)
-    entry = "array<struct<start:int,end:int,surface:string>>"
-    # walks over gap, match, gap, match, ...
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
-        F.struct(F.array().cast(entry).alias("out"), F.lit(0).alias("at")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.char_length(x["gap"])).alias("start"),
-                            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
-                            x["hit"].alias("surface"),
-                        )
-                    ),
-                ).alias("out"),
-                (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(regex), walked).otherwise(F.array().cast(entry))
+
+    def spans(hits: Column, gaps: Column, starts: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"), starts.alias("at")),
+            lambda x: F.struct(
+                (x["at"] + F.char_length(x["gap"])).alias("start"),
+                (x["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
+                x["hit"].alias("surface"),
+            ),
+        )
+
+    def walk(hits: Column) -> Column:
+        return let(
+            F.split(text, regex),
+            lambda gaps: let(
+                F.zip_with(
+                    hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.char_length(h) + F.char_length(g)
+                ),
+                lambda sizes: spans(hits, gaps, _prefix_sums(sizes)),
+            ),
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,surface:string>>")
+    return let(found, lambda hits: F.when(F.size(hits) > 0, walk(hits)).otherwise(none))
 
 
 def _luhn(digits: Column) -> Column:
@@ -158,29 +183,47 @@ def _candidates(text: Column, base: Column) -> Column:
 def _with_context(text: Column, spans: Column) -> Column:
     """Spans with their lexical patterns: two words before; one before and one after."""
 
-    def context(x: Column) -> Column:
-        low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, low + 1, x["start"] - low))
-        after = F.lower(F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS)))
-        one = F.regexp_extract(before, r"(\S+)\s*$", 1)
-        two = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
-        right = F.regexp_extract(after, r"^\S*\s+(\S+)", 1)
-        return F.struct(
-            x["start"].alias("start"),
-            x["kind"].alias("kind"),
-            x["end"].alias("end"),
-            F.lower(x["surface"]).alias("surface"),
-            F.filter(
-                F.array(
-                    F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))),
-                    F.when(one != "", F.concat(F.lit("1 "), one)),
-                    F.when((one != "") & (right != ""), F.concat_ws(" ", F.lit("a"), one, F.lit("_"), right)),
-                ),
-                lambda p: p.isNotNull(),
-            ).alias("patterns"),
-        )
+    # overlapping blocks: a substring then never walks over more than one block
+    count = F.floor(F.char_length(text) / BLOCK_CHARS).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), count),
+        lambda k: F.substring(text, k * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS + CONTEXT_CHARS)),
+    )
+    return let(blocks, lambda b: F.transform(spans, lambda x: let(_around(b, x), lambda c: _patterns(x, c))))
+
 
-    return F.transform(spans, context)
+def _around(blocks: Column, span: Column) -> Column:
+    """The characters before and after a span."""
+
+    def piece(at: Column, size: Column) -> Column:
+        block = F.floor(at / BLOCK_CHARS).cast("int")
+        return F.lower(F.substring(F.element_at(blocks, block + 1), at % BLOCK_CHARS + 1, size))
+
+    low = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
+    return F.struct(
+        F.split(F.btrim(piece(low, span["start"] - low), F.lit(WHITE)), r"\s++").alias("before"),
+        F.regexp_extract(piece(span["end"], F.lit(CONTEXT_CHARS)), r"^\S*+\s++(\S++)", 1).alias("right"),
+    )
+
+
+def _patterns(x: Column, around: Column) -> Column:
+    before, right = around["before"], around["right"]
+    one = F.element_at(before, -1)
+    two = F.when(F.size(before) > 1, F.array_join(F.slice(before, -2, 2), " "))
+    return F.struct(
+        x["start"].alias("start"),
+        x["kind"].alias("kind"),
+        x["end"].alias("end"),
+        F.lower(x["surface"]).alias("surface"),
+        F.filter(
+            F.array(
+                F.when(two.isNotNull(), F.concat(F.lit("2 "), two)),
+                F.when(one != "", F.concat(F.lit("1 "), one)),
+                F.when((one != "") & (right != ""), F.concat_ws(" ", F.lit("a"), one, F.lit("_"), right)),
+            ),
+            lambda p: p.isNotNull(),
+        ).alias("patterns"),
+    )
 
 
 def bootstrap(occurrences: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -244,12 +287,10 @@ def find_personal_data(
     scanned = docs.select(
         F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), text_of(text_col).alias("text")
     ).where(F.col("text").rlike("[0-9@]"))
-    scanned = scanned.withColumn("base", base_spans(F.col("text")))
-    scanned = scanned.withColumn("all", F.concat("base", _candidates(F.col("text"), F.col("base"))))
+    text = F.col("text")
+    every = let(base_spans(text), lambda base: F.concat(base, _candidates(text, base)))
+    scanned = materialize(scanned.select("id", "digest", _with_context(text, every).alias("all")))
     scanned = scanned.where(F.size("all") > 0)
-    scanned = materialize(
-        scanned.select("id", "digest", _with_context(F.col("text"), F.col("all")).alias("all"))
-    )
     occurrences = scanned.select("id", "digest", F.inline("all"))
     found = bootstrap(occurrences, settings).withColumnRenamed("kind", "told")
     more = (
