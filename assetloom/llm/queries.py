@@ -163,3 +163,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(spans_text(F.col("base_spans"))).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, train_quality(docs))
+    return out.select("doc_id", "score", "weak_label", "predicted", (F.col("predicted") == 1).alias("kept"))
