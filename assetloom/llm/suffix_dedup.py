@@ -21,16 +21,30 @@ different surroundings are counted by a distributed grouped sum instead.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import broadcast_if_small, same, text_of
-from assetloom.llm.numtext import BASES, U64, mix, prefix_hash, range_hash, sliding, text_slices, utf8
+from assetloom.llm.bloom import may_hold
+from assetloom.llm.common import narrow_batches, same, text_of
+from assetloom.llm.numtext import (
+    BASES,
+    U64,
+    mix,
+    powers,
+    prefix_hash,
+    range_hash,
+    slices,
+    sliding,
+    text_slices,
+    tidy,
+    utf8,
+)
 from assetloom.session import materialize
 
 LENGTH = 400
@@ -38,6 +52,8 @@ BATCHES = 4
 SHARD_BYTES = 1 << 20
 # different surroundings of one anchor that a task compares by itself
 GROUP_ROWS = 20_000
+# rows of surroundings that are compared at once, if their anchors allow
+COMPARED_ROWS = 2_000
 OUTPUTS = ("n_bytes", "spans", "kept_bytes")
 
 _INT, _LONG = T.IntegerType(), T.LongType()
@@ -47,21 +63,22 @@ def _fields(**kinds: T.DataType) -> list[T.StructField]:
     return [T.StructField(name, kind) for name, kind in kinds.items()]
 
 
-_ANCHORS = T.ArrayType(T.StructType(_fields(pos=_INT, h=_LONG, c=_LONG)))
+_ANCHORS = T.ArrayType(T.StructType(_fields(pos=_INT, tail=_INT, h=_LONG, c=_LONG)))
 _SPANS = T.ArrayType(T.StructType(_fields(lo=_INT, hi=_INT)))
 
 
 def anchor_bytes(length: int) -> int:
-    return max(1, length // 2)
+    return max(1, length // 4)
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Anchors of consecutive texts: text, place, hash of the anchor, hash of its surroundings."""
+    """Anchors of consecutive texts: text, place, bytes to the end of the surroundings, hash of the
+    anchor, hash of its surroundings."""
     anchor = anchor_bytes(length)
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none
+        return none, none, none, none, none
     first, second = prefix_hash(data, BASES[0]), prefix_hash(data, BASES[1])
     at = np.arange(n - anchor + 1)
     value = range_hash(first, at, at + anchor, BASES[0]) | U64(1)
@@ -80,34 +97,35 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     high = np.minimum(ends[doc], places + length)
     around = range_hash(second, low, high, BASES[1])
     around = mix(around + ((places - low) * 4096 + (high - low)).astype(U64))
-    return doc, places - starts[doc], value[places].astype(np.int64), around.astype(np.int64)
+    return doc, places - starts[doc], high - places, value[places].astype(np.int64), around.astype(np.int64)
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(id, digest, n_bytes, anchors) of documents (id, digest, text)."""
+    """(id, digest, anchors) of documents (id, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("pos", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
+        tidy()
+        kind = pa.struct([("pos", pa.int32()), ("tail", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
         for part in text_slices(batches, "text", SHARD_BYTES):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
-            doc, pos, h, c = find_anchors(data, offsets, length)
+            doc, pos, tail, h, c = find_anchors(data, offsets, length)
             values = pa.StructArray.from_arrays(
-                [pa.array(pos.astype(np.int32)), pa.array(h), pa.array(c)], fields=list(kind)
+                [pa.array(pos.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(c)],
+                fields=list(kind),
             )
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
                     part.column("digest"),
-                    pa.array(np.diff(offsets).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(ends), values),
                 ],
-                ["id", "digest", "n_bytes", "anchors"],
+                ["id", "digest", "anchors"],
             )
 
     kind = docs.schema["id"].dataType
-    schema = T.StructType(_fields(id=kind, digest=_LONG, n_bytes=_INT, anchors=_ANCHORS))
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType(_fields(id=kind, digest=_LONG, anchors=_ANCHORS))
+    return narrow_batches(docs).mapInArrow(run, schema)
 
 
 class SuffixIndex:
@@ -132,203 +150,230 @@ class SuffixIndex:
         return materialize(found)
 
 
-def _windows(part: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, length: int):
-    """All strings of surroundings: row, start within them, place of the anchor, hash."""
-    counts = np.maximum(np.diff(offsets) - length + 1, 0)
-    row = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offsets[row] + start
-    return row, start, part["left"][row] - start, range_hash(prefix_hash(data, BASES[1]), at, at + length, BASES[1])
+_ENTRY = _fields(doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType())
 
 
-def _runs(row: np.ndarray, start: np.ndarray, hit: np.ndarray, length: int):
-    """Hit strings as spans: rows and, within the surroundings, first and past-the-end byte."""
-    row, start = row[hit], start[hit]
-    fresh = np.ones(len(row), dtype=bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(row)) - 1 if len(row) else first
-    return row[first], start[first], start[last] + length
+def _strings(left: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all strings of surroundings, one column per distance from their start to the anchor.
 
-
-_ENTRY = ("id", "digest", "pos", "left", "h", "n", "around")
+    Only hashes of one column can be compared. The second array tells which exist.
+    """
+    reach = length - anchor_bytes(length)
+    data, offsets = utf8(around.cast(pa.large_binary()))
+    sizes = np.diff(offsets)
+    hashes = np.empty((len(left), reach + 1), U64)
+    weights = powers(BASES[1], reach + length)
+    for low in range(0, len(left), COMPARED_ROWS):
+        rows = slice(low, low + COMPARED_ROWS)
+        n = sizes[rows]
+        grid = np.zeros((len(n), reach + length + 1), U64)
+        row = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = inner + np.repeat(reach - left[rows], n)  # the anchor starts at column `reach`
+        flat = data[offsets[low] : offsets[low] + n.sum()].astype(U64) + U64(1)
+        grid[row, at + 1] = flat * weights[at]
+        np.cumsum(grid, axis=1, out=grid)
+        hashes[rows] = grid[:, length : length + reach + 1][:, ::-1] - grid[:, : reach + 1][:, ::-1]
+    distance = np.arange(reach + 1)
+    there = (distance <= left[:, None]) & (length - distance <= (sizes - left)[:, None])
+    return hashes, there
 
 
 def _resolve(entries: pa.Table, length: int) -> pa.RecordBatch:
     """Spans of the surroundings that occur once, from strings they share with others of their anchor."""
-    entries = entries.combine_chunks()
-    data, offsets = utf8(pa.concat_arrays(entries.column("around").cast(pa.large_binary()).chunks))
-    part = {k: entries.column(k).to_numpy().astype(np.int64) for k in ("pos", "left", "h", "n")}
-    row, start, place, value = _windows(part, data, offsets, length)
-    h = part["h"][row]
-    key = mix(value ^ mix(h.astype(U64) + place.astype(U64) * U64(BASES[0])))
-    order = np.argsort(key, kind="stable")
-    key, h, place = key[order], h[order], place[order]
-    equal = (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (place[1:] == place[:-1])
-    hit = np.zeros(len(row), dtype=bool)
-    hit[order[1:][equal]] = True
-    hit[order[:-1][equal]] = True
-    hit &= part["n"][row] == 1
-    rows, low, high = _runs(row, start, hit, length)
-    base = (part["pos"] - part["left"])[rows]
+    left = entries.column("left").to_numpy().astype(np.int64)
+    h = entries.column("h").to_numpy().astype(np.int64)
+    around = pa.concat_arrays([x.cast(pa.large_binary()) for x in entries.column("around").chunks])
+    hashes, there = _strings(left, around, length)
+    salt = mix(h.astype(U64))
+    hit = np.zeros(there.shape, dtype=bool)
+    for distance in range(hashes.shape[1]):
+        rows = np.flatnonzero(there[:, distance])
+        key = mix(hashes[rows, distance] ^ salt[rows])
+        order = np.argsort(key)
+        rows, key = rows[order], key[order]
+        equal = (key[1:] == key[:-1]) & (h[rows[1:]] == h[rows[:-1]])
+        hit[rows[1:][equal], distance] = True
+        hit[rows[:-1][equal], distance] = True
+    hit[~entries.column("once").to_numpy(zero_copy_only=False)] = False
+    # runs of strings, in the order of their starts
+    hit = hit[:, ::-1]
+    step = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(step == 1)
+    _, past = np.nonzero(step == -1)
+    base = entries.column("pos").to_numpy().astype(np.int64)[row] - (hit.shape[1] - 1)
     return pa.RecordBatch.from_arrays(
         [
-            pa.concat_arrays(entries.column("id").take(pa.array(rows)).chunks or [pa.array([], entries.schema.field("id").type)]),
-            pa.array(entries.column("digest").to_numpy()[rows]),
-            pa.array((base + low).astype(np.int32)),
-            pa.array((base + high).astype(np.int32)),
+            pa.array(entries.column("doc").to_numpy()[row]),
+            pa.array((base + first).astype(np.int32)),
+            pa.array((base + past - 1 + length).astype(np.int32)),
         ],
-        ["id", "digest", "lo", "hi"],
+        ["doc", "lo", "hi"],
     )
 
 
+def _name(id_col: str, digest_col: str) -> Column:
+    """A document's 64-bit name, for Bloom filters alone."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{digest_col}`")).alias("name")
+
+
 def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes around anchors; ``wanted`` holds a list ``at`` of (pos, h, n, hot) per document."""
-    reach = length - anchor_bytes(length)
-    wanted = broadcast_if_small(wanted, F.size("at") * 32 + 32)
-    joined = docs.join(wanted, same(docs, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
-    # rows that repeat an id and a text are one document here: their anchors are counted already
-    joined = joined.select("id", "digest", "text", "at").dropDuplicates(["id", "digest"])
+    """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once."""
+    anchor, reach = anchor_bytes(length), length - anchor_bytes(length)
+    # only texts that may be wanted are shuffled
+    maybe = docs.where(may_hold(wanted.select(_name("wanted_id", "wanted_digest")), "name", _name("id", "digest")))
+    joined = maybe.join(wanted, same(maybe, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", SHARD_BYTES):
+        tidy()
+        for part in text_slices(batches, "text", SHARD_BYTES // 4):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
-            at = part.column("at")
-            sizes = at.value_lengths().fill_null(0).to_numpy()
-            doc = np.repeat(np.arange(part.num_rows), sizes)
-            flat = at.flatten()
-            pos = flat.field("pos").to_numpy().astype(np.int64)
-            low = np.maximum(offsets[doc], offsets[doc] + pos - reach)
-            high = np.minimum(offsets[doc + 1], offsets[doc] + pos + length)
-            around = [data[a:b].tobytes() for a, b in zip(low, high, strict=True)]
-            take = pa.array(doc)
+            codes = part.column("codes")
+            doc = np.repeat(np.arange(part.num_rows), codes.value_lengths().to_numpy(zero_copy_only=False))
+            code = codes.flatten().to_numpy()
+            at = offsets[doc] + (code >> 1)
+            low, high = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
+            h = range_hash(prefix_hash(data, BASES[0]), at, at + anchor, BASES[0]) | U64(1)
+            around = pa.array([data[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
             columns = [
-                part.column("id").take(take),
-                part.column("digest").take(take),
-                flat.field("pos"),
-                pa.array((offsets[doc] + pos - low).astype(np.int32)),
-                flat.field("h"),
-                flat.field("n"),
-                pa.array(around, pa.binary()),
-                flat.field("hot"),
+                part.column("doc").take(pa.array(doc)),
+                pa.array((code >> 1).astype(np.int32)),
+                pa.array((at - low).astype(np.int32)),
+                pa.array(h.astype(np.int64)),
+                pa.array((code & 1).astype(bool)),
+                around,
             ]
-            whole = pa.RecordBatch.from_arrays(columns, [*_ENTRY, "hot"])
-            for k in range(0, whole.num_rows, 4096):
-                yield whole.slice(k, 4096)
+            whole = pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
+            for k in range(0, whole.num_rows, COMPARED_ROWS):
+                yield whole.slice(k, COMPARED_ROWS)
 
-    entry = _fields(digest=_LONG, pos=_INT, left=_INT, h=_LONG, n=_LONG, around=T.BinaryType(), hot=T.BooleanType())
-    schema = T.StructType([docs.schema["id"], *entry])
-    return joined.mapInArrow(run, schema)
+    return narrow_batches(joined.select("doc", "text", "codes")).mapInArrow(run, T.StructType(_ENTRY))
 
 
 def _compare(entries: DataFrame, length: int) -> DataFrame:
-    """Spans (id, digest, lo, hi) found by comparing surroundings anchor by anchor."""
-    names = list(_ENTRY)
-    spans = T.StructType([entries.schema["id"], *_fields(digest=_LONG, lo=_INT, hi=_INT)])
+    """Spans (doc, lo, hi) found by comparing surroundings, all of an anchor in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last anchor may go on
-            ready = cut > 0 or (held and len(h) and held[-1].column("h")[-1].as_py() != h[0])
-            if ready:
-                yield _resolve(pa.Table.from_batches([*held, batch.slice(0, cut)]), length)
-                held = []
-            held.append(batch.slice(cut))
+            for part in slices(batch, np.ones(batch.num_rows), COMPARED_ROWS):
+                h = part.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+                before = bool(held) and held[-1].column("h")[-1].as_py() != h[0]
+                if before and rows + cut > COMPARED_ROWS:
+                    yield _resolve(pa.Table.from_batches(held), length)
+                    held, rows = [], 0
+                if cut and rows + cut >= COMPARED_ROWS // 2:
+                    yield _resolve(pa.Table.from_batches([*held, part.slice(0, cut)]), length)
+                    held, rows, part = [], 0, part.slice(cut)
+                held.append(part)
+                rows += part.num_rows
         if held:
             yield _resolve(pa.Table.from_batches(held), length)
 
-    mild = (
-        entries.where(~F.col("hot"))
-        .select(*names)
-        .repartition("h")
-        .sortWithinPartitions("h")
-        .mapInArrow(run, spans)
-    )
+    sorted_ = entries.repartition("h").sortWithinPartitions("h")
+    return narrow_batches(sorted_).mapInArrow(run, T.StructType(_fields(doc=_LONG, lo=_INT, hi=_INT)))
+
+
+def _count(entries: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with too many surroundings for one task: all strings, counted by Spark."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("around").cast(pa.large_binary()))
-            part = {k: batch.column(k).to_numpy().astype(np.int64) for k in ("pos", "left", "h", "n")}
-            row, start, place, value = _windows(part, data, offsets, length)
-            lo = (part["pos"] - part["left"])[row] + start
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(take),
-                    batch.column("digest").take(take),
-                    pa.array(lo.astype(np.int32)),
-                    pa.array(part["h"][row]),
-                    pa.array(place.astype(np.int32)),
-                    pa.array(value.astype(np.int64)),
-                ],
-                ["id", "digest", "lo", "h", "place", "value"],
-            )
-
-    windows = T.StructType([entries.schema["id"], *_fields(digest=_LONG, lo=_INT, h=_LONG, place=_INT, value=_LONG)])
-    hot = entries.where("hot").select(*names).mapInArrow(explode, windows)
-    key = ["h", "place", "value"]
-    twice = hot.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*key)
-    hot = hot.join(twice, key, "left_semi").select(
-        "id", "digest", "lo", (F.col("lo") + F.lit(length)).alias("hi")
-    )
-    return mild.unionByName(hot)
+            for part in slices(batch, np.ones(batch.num_rows), COMPARED_ROWS):
+                left = part.column("left").to_numpy().astype(np.int64)
+                hashes, there = _strings(left, part.column("around"), length)
+                row, distance = np.nonzero(there)
+                lo = part.column("pos").to_numpy().astype(np.int64)[row] - distance
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc").take(take),
+                        pa.array(lo.astype(np.int32)),
+                        part.column("h").take(take),
+                        pa.array(distance.astype(np.int32)),
+                        pa.array(hashes[row, distance].astype(np.int64)),
+                    ],
+                    ["doc", "lo", "h", "distance", "string"],
+                )
+
+    schema = T.StructType(_fields(doc=_LONG, lo=_INT, h=_LONG, distance=_INT, string=_LONG))
+    strings = narrow_batches(entries).mapInArrow(explode, schema)
+    key = ["h", "distance", "string"]
+    twice = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*key)
+    return strings.join(twice, key, "left_semi").select("doc", "lo", (F.col("lo") + F.lit(length)).alias("hi"))
+
+
+@F.pandas_udf(_SPANS)
+def _joined(spans: pd.Series) -> pd.Series:
+    """Spans of a document as maximal runs."""
+    out = []
+    for items in spans:
+        merged: list[dict] = []
+        for lo, hi in sorted((int(x["lo"]), int(x["hi"])) for x in items):
+            if merged and lo <= merged[-1]["hi"]:
+                merged[-1]["hi"] = max(merged[-1]["hi"], hi)
+            else:
+                merged.append({"lo": lo, "hi": hi})
+        out.append(merged)
+    return pd.Series(out)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """Removed spans (id, digest, spans) of documents (id, digest, text); documents without any are left out."""
     anchors = materialize(
-        _anchors(docs, length).withColumn("batch", F.pmod(F.xxhash64("id", "digest"), F.lit(batches)))
+        _anchors(docs, length)
+        .where(F.size("anchors") > 0)
+        .withColumn("batch", F.pmod(F.xxhash64("id", "digest"), F.lit(batches)))
+        .withColumn("doc", F.monotonically_increasing_id())
     )
-    flat = anchors.select("id", "digest", "n_bytes", "batch", F.inline("anchors"))
+    flat = anchors.select("doc", "batch", F.inline("anchors"))
     index, scans = SuffixIndex(), []
     for k in range(batches):
         scans.append(index.add(flat.where(F.col("batch") == k).select("h")))
-    matched = scans[0]
-    for scan in scans[1:]:
-        matched = matched.unionByName(scan)
-    matched = broadcast_if_small(materialize(matched.distinct()), 16)
+    matched = materialize(reduce(DataFrame.unionByName, scans).distinct())
     places = materialize(flat.drop("batch").join(matched, "h", "left_semi"))
 
     # equal surroundings: every string that holds the anchor repeats
     kinds = materialize(
-        places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "pos")).alias("one"))
+        places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("one"))
     )
-    whole = places.join(kinds.where(F.col("n") > 1).select("h", "c"), ["h", "c"], "left_semi")
     reach = length - anchor_bytes(length)
-    whole = whole.select(
-        "id",
-        "digest",
+    whole = places.join(kinds.where(F.col("n") > 1).select("h", "c"), ["h", "c"], "left_semi").select(
+        "doc",
         F.greatest(F.col("pos") - reach, F.lit(0)).alias("lo"),
-        (F.least(F.col("pos"), F.col("n_bytes") - length) + length).alias("hi"),
+        (F.col("pos") + F.col("tail")).alias("hi"),
     )
     # different ones: compared through one place each
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    several = several.where((F.col("kinds") > 1) & (F.col("least") == 1))
-    wanted = (
-        kinds.join(several.select("h", (F.col("kinds") > GROUP_ROWS).alias("hot")), "h")
-        .groupBy(F.col("one.id").alias("wanted_id"), F.col("one.digest").alias("wanted_digest"))
-        .agg(F.collect_list(F.struct(F.col("one.pos").alias("pos"), "h", "n", "hot")).alias("at"))
+    several = (
+        kinds.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+        .where((F.col("kinds") > 1) & (F.col("least") == 1))
+    )
+    wanted = materialize(
+        kinds.join(several.select("h", (F.col("kinds") > GROUP_ROWS).alias("hot")), "h").select(
+            "one.doc",
+            "hot",
+            (F.col("one.pos").cast("long") * 2 + F.when(F.col("n") == 1, 1).otherwise(0)).alias("code"),
+        )
     )
-    entries = _surroundings(docs, materialize(wanted), length)
-    partly = _compare(materialize(entries), length)
-
-    @F.pandas_udf(_SPANS)
-    def joined(spans: pd.Series) -> pd.Series:
-        out = []
-        for items in spans:
-            merged: list[dict] = []
-            for x in sorted(items, key=lambda x: (x["lo"], x["hi"])):
-                if merged and x["lo"] <= merged[-1]["hi"]:
-                    merged[-1]["hi"] = max(merged[-1]["hi"], x["hi"])
-                else:
-                    merged.append({"lo": int(x["lo"]), "hi": int(x["hi"])})
-            out.append(merged)
-        return pd.Series(out)
-
-    spans = whole.unionByName(partly).groupBy("id", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("all"))
-    return materialize(spans.select("id", "digest", joined("all").alias("spans")))
+    names = anchors.select("doc", F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"))
+
+    def surroundings(codes: DataFrame) -> DataFrame:
+        by_doc = codes.groupBy("doc").agg(F.collect_list("code").alias("codes"))
+        return _surroundings(docs, materialize(by_doc.join(names, "doc")), length)
+
+    partly = _compare(surroundings(wanted.where(~F.col("hot"))), length)
+    if not wanted.where("hot").isEmpty():
+        partly = partly.unionByName(_count(surroundings(wanted.where("hot")), length))
+    spans = whole.unionByName(partly).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("all"))
+    spans = spans.join(names, "doc").select(
+        F.col("wanted_id").alias("id"), F.col("wanted_digest").alias("digest"), _joined("all").alias("spans")
+    )
+    # rows that repeat an id and a text have the same spans
+    return materialize(spans.dropDuplicates(["id", "digest"]))
 
 
 def remove_repeats(
@@ -353,14 +398,20 @@ def remove_repeats(
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), text_of(text_col).alias("text"))
     spans = repeated_spans(plain, length, batches)
     spans = spans.select(F.col("id").alias("_llm_id"), F.col("digest").alias("_llm_digest"), "spans")
-    spans = broadcast_if_small(spans, F.size("spans") * 8 + 48)
     base = docs.drop(*[c for c in OUTPUTS if c not in (text_col, id_col)])
-    names = base.columns
-    base = base.withColumn("_llm_own", digest)
-    joined = base.join(spans, same(base, spans, {id_col: "_llm_id", "_llm_own": "_llm_digest"}), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    names = [F.col(f"`{c}`") for c in base.columns]
+    hit = may_hold(spans.select(_name("_llm_id", "_llm_digest")), "name", _name(id_col, "_llm_own"))
+    base = base.withColumn("_llm_own", digest).withColumn("_llm_hit", hit)
+    none = F.array().cast(_SPANS).alias("spans")
+    some = base.where("_llm_hit")
+    some = some.join(spans, same(some, spans, {id_col: "_llm_id", "_llm_own": "_llm_digest"}), "left")
+    # a document that surely has no span is not shuffled
+    joined = some.select(*names, F.coalesce("spans", none).alias("spans")).unionByName(
+        base.where(~F.col("_llm_hit")).select(*names, none)
+    )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for part in text_slices(parts, text_col, 8 << 20):
             data, offsets = utf8(part.column(part.schema.names.index(text_col)).cast(pa.large_string()))
             kept = []
@@ -377,4 +428,4 @@ def remove_repeats(
             )
 
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("kept_bytes", T.BinaryType())]
-    return joined.mapInArrow(run, T.StructType([*joined.schema.fields, *more]))
+    return narrow_batches(joined).mapInArrow(run, T.StructType([*joined.schema.fields, *more]))

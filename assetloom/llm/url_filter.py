@@ -14,11 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.llm.bloom import build_filter, passes
 from assetloom.llm.common import LOWER, UPPER
 
-WORDS = 8  # 64-bit words of a block
-BITS_PER_KEY = 16
-MAX_FILTER_BYTES = 32 << 20  # a longer list gets fewer bits a key: more passes, same result
 OUTPUTS = ("host", "path", "rule", "verdict")
 
 
@@ -31,45 +29,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _block(digest: Column, blocks: int) -> Column:
-    return F.pmod(digest, F.lit(blocks))
-
-
-def build_filter(keys: DataFrame, column: str = "key") -> np.ndarray:
-    """Blocked Bloom filter of a column of strings, as an array (blocks, WORDS).
-
-    The blocks are OR-ed together by Spark; the driver receives at most
-    ``MAX_FILTER_BYTES``, whatever the length of the list.
-    """
-    n = keys.count()
-    blocks = int(min(max(1, n * BITS_PER_KEY // (64 * WORDS) + 1), MAX_FILTER_BYTES // (8 * WORDS)))
-    digest = F.xxhash64(F.col(column))
-    bits = F.xxhash64(digest)
-    masks = [
-        F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(bits, {6 * i}) & 63 as int)))").alias(f"w{i}")
-        for i in range(WORDS)
-    ]
-    table = (
-        keys.select(_block(digest, blocks).alias("block"), bits.alias("bits"))
-        .groupBy("block")
-        .agg(*masks)
-        .toPandas()
-    )
-    words = np.zeros((blocks, WORDS), dtype=np.int64)
-    words[table["block"].to_numpy(dtype=np.int64)] = table[[f"w{i}" for i in range(WORDS)]].to_numpy(np.int64)
-    return words
-
-
-def _passes(words: np.ndarray, digest: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    block = words[digest % len(words)]  # the sign of % is the divisor's, as pmod
-    at = bits.astype(np.uint64)
-    hit = np.ones(len(digest), dtype=bool)
-    for i in range(WORDS):
-        bit = (at >> np.uint64(6 * i)) & np.uint64(63)
-        hit &= ((block[:, i].astype(np.uint64) >> bit) & np.uint64(1)).astype(bool)
-    return hit
-
-
 def judge_urls(
     pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
@@ -100,7 +59,7 @@ def judge_urls(
         F.max(F.size(F.split("host", r"\."))).alias("labels"),
         F.sort_array(F.collect_set(F.length("path"))).alias("lengths"),
     ).first()
-    words = spark.sparkContext.broadcast(build_filter(listed))
+    words = spark.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("digest"))))
 
     @F.pandas_udf("array<int>")
     def possible(digests: pd.Series, bits: pd.Series) -> pd.Series:
@@ -108,7 +67,7 @@ def judge_urls(
         total = int(sizes.sum())
         flat = np.concatenate(digests.to_list()).astype(np.int64) if total else np.zeros(0, np.int64)
         more = np.concatenate(bits.to_list()).astype(np.int64) if total else flat
-        hit = _passes(words.value, flat, more)
+        hit = passes(words.value, flat, more)
         ends = np.cumsum(sizes)
         return pd.Series(
             [np.flatnonzero(hit[e - s : e]).astype(np.int32) for s, e in zip(sizes, ends, strict=True)]
@@ -118,7 +77,7 @@ def judge_urls(
     host, path = host_and_path(F.col("_llm_url"))
     labels = F.split("_llm_host", r"\.")
     last = F.slice(
-        labels, F.greatest(F.size(labels) - F.lit((shape["labels"] or 0) - 1), F.lit(1)), F.size(labels)
+        labels, F.greatest(F.size(labels) - F.lit((shape["labels"] or 1) - 1), F.lit(1)), F.size(labels)
     )
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size("_llm_last")),
