@@ -161,7 +161,8 @@ def test_bytes(docs, length):
 def test_bytes_of_long_texts(docs):
     got = {r["doc_id"]: (r["n_bytes"], len(r["kept_bytes"])) for r in remove_repeats(docs.where("doc_id in (6, 7)")).collect()}
     assert got[6][0] == len(LONG) and got[6][1] == 0
-    assert got[7] == (len(LONG) + 5, 5)
+    # the words of LONG come round again, so the space after them is not new either
+    assert got[7] == (len(LONG) + 5, 4)
 
 
 def test_personal(docs, spark):
