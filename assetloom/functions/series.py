@@ -137,19 +137,37 @@ class Ewm:
         return 2.0 / (self.span + 1.0)
 
 
+def _block_rows(span: int) -> int:
+    """Rows of a block for a span; it depends on the span alone, so other spans of a call change nothing.
+
+    Decay rates are put into classes a factor of 20 wide (12 to 189 is one class). A
+    block's length is the longest for which the fastest rate of the class stays
+    finite (e^500), so two blocks back the slowest one has decayed to e^-50, which
+    is below the precision of a double.
+    """
+    rate = -math.log(1.0 - 2.0 / (span + 1.0))
+    return int(500.0 / (0.2 * 20.0 ** math.ceil(math.log(rate / 0.2, 20.0))))
+
+
 def ewm(df: DataFrame, specs: Sequence[Ewm], key: str = ITEM, order: str = TS) -> DataFrame:
     """Add exponentially weighted columns without walking the series row by row.
 
     With q = 1-a the recursion is q^j * sum(w x q^-i): a running sum. It is cut
     into blocks short enough for q^-i to stay finite, and a block starts from
-    the end values of the two blocks before it; weights from further back are
-    below the smallest double for the span that sets the block length.
+    the end values of the two blocks before it, which hold all the weight that
+    counts (see ``_block_rows``). Spans with the same block length share windows.
     """
     kept = df.columns
     if any(s.span < 2 for s in specs):
         raise ValueError("span must be at least 2")
-    length = min(int(500.0 / -math.log(1.0 - s.alpha)) for s in specs)
+    out = df
+    for length in sorted({_block_rows(s.span) for s in specs}):
+        out = _ewm_blocks(out, [s for s in specs if _block_rows(s.span) == length], length, key, order)
+    return out.select(*kept, *[F.col(s.out) for s in specs])
+
 
+def _ewm_blocks(df: DataFrame, specs: Sequence[Ewm], length: int, key: str, order: str) -> DataFrame:
+    kept = df.columns
     numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     blocked = numbered.withColumn("_blk", F.floor(F.col("_rn") / length).cast("int")).withColumn(
         "_j", F.col("_rn") - F.col("_blk") * length

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, as_uniform, with_draws
+from ..functions.hashing import SPACE, as_uniform, with_draws
 from ..functions.numbering import smallest
 from ..names import RATING
 
@@ -95,7 +95,7 @@ def symmetric_normalized(edges: DataFrame, users: DataFrame) -> DataFrame:
 
 def _keep_nodes(nodes: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     drawn = with_draws(nodes.select(key), seed, {"_draw": [F.col(key)]})
-    return smallest(drawn, "_draw", PRIME, lambda n: n - F.floor(n * F.lit(ratio)), [key]).select(key)
+    return smallest(drawn, "_draw", SPACE, lambda n: n - F.floor(n * F.lit(ratio)), [key]).select(key)
 
 
 def drop_nodes(
@@ -111,7 +111,7 @@ def drop_edges(edges: DataFrame, ratio: float, seed: int, row_key: tuple[str, ..
     """Exactly ``floor((1 - ratio) * rows)`` rows, chosen by a seeded draw on ``row_key``."""
     drawn = with_draws(edges, seed, {"_draw": [F.col(c) for c in row_key]})
     return smallest(
-        drawn, "_draw", PRIME, lambda n: F.floor(n * F.lit(1.0 - ratio)), list(row_key)
+        drawn, "_draw", SPACE, lambda n: F.floor(n * F.lit(1.0 - ratio)), list(row_key)
     ).drop("_draw")
 
 

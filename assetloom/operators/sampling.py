@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import as_uniform, with_draws
+from ..functions.hashing import below, with_draws
 from ..functions.numbering import prefix_sum
 from ..names import RATING
 from .graph import I, U, unique_pairs
@@ -18,7 +18,7 @@ from .graph import I, U, unique_pairs
 def popularity(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, share): how often each key occurs."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(key, "n", (F.col("n") / total).alias("share"))
 
 
@@ -79,7 +79,7 @@ def weighted_sample(
     line = _Intervals(weights, key, weight)
     asked = requests.select(request, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
     points = with_draws(asked, seed, {"_u": [F.col(request), F.col("draw")]}).withColumn(
-        "_p", F.floor(as_uniform(F.col("_u")) * line.total)
+        "_p", below(F.col("_u"), line.total)
     )
     return line.find(points, "_p").select(request, "draw", F.col("_key").alias(key))
 
@@ -100,7 +100,7 @@ def weighted_sample_distinct(
     state = requests.select(request, F.array().cast(taken_type).alias("_taken"))
     for j in range(count):
         used = F.aggregate(F.col("_taken"), F.lit(0).cast("long"), lambda a, t: a + t["_w"])
-        free = F.floor(as_uniform(F.col("_u")) * (line.total - used))
+        free = below(F.col("_u"), line.total - used)
         position = F.aggregate(
             F.array_sort(F.col("_taken")),
             F.col("_free"),
@@ -129,7 +129,7 @@ def _with_positions(rows: DataFrame, n: int, seed: int) -> DataFrame:
     out = with_draws(rows, seed, {f"_h{k}": [F.col(U), F.col(I), F.lit(k)] for k in range(n)})
     for k in range(n):
         top = F.col("_m") - size + k
-        pick = F.col(f"_h{k}") % (top + 1)
+        pick = below(F.col(f"_h{k}"), top + 1)
         repeated = F.array_contains(F.array(*[F.col(f"_t{i}") for i in range(k)]), pick) if k else F.lit(False)
         out = out.withColumn(f"_t{k}", F.when(F.lit(k) < size, F.when(repeated, top).otherwise(pick)))
     return out.drop(*[f"_h{k}" for k in range(n)])

@@ -357,6 +357,22 @@ def ema(x: str, span: int, adjust: bool = False) -> str:
 
 
 add("ind_ema", f"{DAILY}, {RETURNS1}", table([f"{r(ema('price', s), 4)} AS ema_{s}" for s in (12, 26)], "returns"))
+SPANS = (2, 12, 189, 500)
+add(
+    "ind_ema_spans",
+    f"""{DAILY}, numbered AS (SELECT *, row_number() OVER ({SERIES}) - 1 AS i FROM prices),
+walked AS (
+  SELECT col_item, col_timestamp, price, i, {', '.join(f'price AS y{s}, price AS n{s}, 1.0::DOUBLE AS d{s}' for s in SPANS)}
+  FROM numbered WHERE i = 0
+  UNION ALL
+  SELECT n.col_item, n.col_timestamp, n.price, n.i, {', '.join(
+      f"(1 - {2.0 / (s + 1)!r}) * y{s} + {2.0 / (s + 1)!r} * n.price, {1 - 2.0 / (s + 1)!r} * n{s} + n.price, {1 - 2.0 / (s + 1)!r} * d{s} + 1"
+      for s in SPANS)}
+  FROM walked w JOIN numbered n ON n.col_item = w.col_item AND n.i = w.i + 1)""",
+    table(
+        [f"{r(f'y{s}', 4)} AS ema_{s}" for s in SPANS] + [f"{r(f'n{s} / d{s}', 4)} AS adj_{s}" for s in SPANS], "walked"
+    ),
+)
 MACD = f"{ema('price', 12)} - {ema('price', 26)}"
 add("ind_macd", f"{DAILY}, {RETURNS1}", table([f"{r(MACD, 4)} AS MACD"], "returns"))
 add("ind_momentum", DAILY, table([f"{r(f'price - {lag(t)}', 4)} AS m_{t}d" for t in LONG]))
@@ -772,23 +788,37 @@ add(
     f"""SELECT col_item, count(*) AS n, {r('count(*) / CAST((SELECT count(*) FROM trades) AS DOUBLE)', 6)} AS share
 FROM trades GROUP BY 1""",
 )
-MULT = (73856093, 19349663, 83492791, 15485863)
+MULT = ((73856093, 19349663, 83492791, 15485863), (49979687, 32452843, 67867967, 86028121))
+FAR = ((15485867, 22801763, 32452867, 41161739), (53982895, 61169369, 71838043, 79190629))
+SPACE = PRIME * PRIME
 
 
 def draw(name: str, source: str, columns: str, seed: int, *keys: str) -> str:
-    """CTEs ending in ``name`` with an extra column ``h`` in [0, PRIME)."""
-    mixed = " + ".join([str(seed), *[f"({k}) % {PRIME} * {m}" for k, m in zip(keys, MULT, strict=False)]])
+    """CTEs ending in ``name`` with an extra column ``h`` in [0, SPACE); keys are not negative."""
+
+    def mixed(word: int) -> str:
+        terms = [
+            f"(({k})::BIGINT % {PRIME}) * {a} + (({k})::BIGINT // {PRIME} % {PRIME}) * {b}"
+            for k, a, b in zip(keys, MULT[word], FAR[word], strict=False)
+        ]
+        return f"({' + '.join([str(seed), *terms])}) % {PRIME}"
 
     def fifth(x: str) -> str:
         return f"((({x} * {x}) % {PRIME}) * (({x} * {x}) % {PRIME}) % {PRIME}) * {x} % {PRIME}"
 
-    return f"""{name}_0 AS (SELECT {columns}, ({mixed}) % {PRIME} AS x FROM {source}),
-{name}_1 AS (SELECT * EXCLUDE (x), (({fifth('x')}) * 48271 + 1) % {PRIME} AS y FROM {name}_0),
-{name} AS (SELECT * EXCLUDE (y), {fifth('y')} AS h FROM {name}_1)"""
+    return f"""{name}_0 AS (SELECT {columns}, {mixed(0)} AS x0, {mixed(1)} AS x1 FROM {source}),
+{name}_1 AS (SELECT * EXCLUDE (x0, x1), (({fifth('x0')}) * 48271 + 1) % {PRIME} AS y0,
+  (({fifth('x1')}) * 48271 + 1) % {PRIME} AS y1 FROM {name}_0),
+{name} AS (SELECT * EXCLUDE (y0, y1), ({fifth('y0')}) * {PRIME} + {fifth('y1')} AS h FROM {name}_1)"""
 
 
 def uniform() -> str:
-    return f"((h + 0.5) / {PRIME}.0::DOUBLE)"
+    return f"((h::DOUBLE + 0.5) / {float(SPACE)!r}::DOUBLE)"
+
+
+def below(n: str) -> str:
+    """floor(h * n / SPACE), exactly."""
+    return f"CAST(h::HUGEINT * ({n})::HUGEINT // {SPACE}::HUGEINT AS BIGINT)"
 
 
 add(
@@ -801,7 +831,7 @@ line AS (
 asked AS (SELECT user_idx, CAST(d AS INTEGER) AS draw FROM users JOIN range(0, 4) t(d) ON TRUE),
 {draw('drawn', 'asked', '*', SEED, 'user_idx', 'draw')}""",
     f"""SELECT user_idx, draw, item_idx FROM (
-  SELECT *, CAST(floor({uniform()} * (SELECT sum(n) FROM weights)) AS BIGINT) AS p FROM drawn) q
+  SELECT *, {below('SELECT sum(n) FROM weights')} AS p FROM drawn) q
 JOIN line ON start <= p AND p < start + n""",
 )
 
@@ -821,7 +851,7 @@ def distinct_draws(count: int) -> str:
 taken{j} AS (
   SELECT * FROM {before}
   UNION ALL SELECT user_idx, {j}, item_idx FROM left{j} JOIN h{j} USING (user_idx)
-  WHERE start <= floor({uniform()} * total) AND floor({uniform()} * total) < start + n)"""
+  WHERE start <= {below('total')} AND {below('total')} < start + n)"""
         )
         before = f"taken{j}"
     return f"""{INDEX}, weights AS (SELECT item_idx, count(*) AS n FROM edges GROUP BY 1),
@@ -846,7 +876,7 @@ def negatives(n: int) -> str:
             f"""g{k} AS (
   SELECT * EXCLUDE (h, pick, top), CASE WHEN {k} >= size THEN NULL WHEN {taken} THEN top ELSE pick END AS t{k}
   FROM (SELECT *, m - size + {k} AS top,
-          h % greatest(m - size + {k} + 1, 1) AS pick FROM f{k}))"""
+          {below(f'greatest(m - size + {k} + 1, 1)')} AS pick FROM f{k}))"""
         )
         source = f"g{k}"
     return f"""{INDEX},

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.functions.series import Ewm, ewm
 from assetloom.names import FUT, ITEM, PRICE, RANK, RATING, REC, SPLIT, TS, UNITS, USER
 from assetloom.operators import assets as A
 from assetloom.operators import cleaning as C
@@ -351,6 +352,13 @@ def ind_ema(t: Tables) -> DataFrame:
     return rnd(D.exponential_mean(t.daily, [12, 26], False, "ema_{}"), _=4)
 
 
+@query
+def ind_ema_spans(t: Tables) -> DataFrame:
+    """Spans far apart, both forms, in one call."""
+    specs = [Ewm(PRICE, s, a, f"{'adj' if a else 'ema'}_{s}") for a in (False, True) for s in (2, 12, 189, 500)]
+    return rnd(ewm(t.daily, specs), _=4)
+
+
 @query
 def ind_macd(t: Tables) -> DataFrame:
     return rnd(D.macd(t.daily), _=4)

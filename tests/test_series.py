@@ -62,6 +62,17 @@ def test_ewm_matches_pandas_over_many_blocks(spark, adjust):
         np.testing.assert_allclose(out[f"e{s}"], want, rtol=1e-9, atol=1e-200)
 
 
+@pytest.mark.parametrize("adjust", [True, False])
+def test_ewm_does_not_depend_on_other_spans(spark, adjust):
+    x = walk(10_000, 8)
+    spans = (2, 12, 189, 500, 3000)
+    together = by_item(ewm(series(spark, a=x), [Ewm("price", s, adjust, f"e{s}") for s in spans]), "a")
+    for s in spans:
+        alone = by_item(ewm(series(spark, a=x), [Ewm("price", s, adjust, f"e{s}")]), "a")
+        np.testing.assert_array_equal(together[f"e{s}"], alone[f"e{s}"])
+        np.testing.assert_allclose(alone[f"e{s}"], pd.Series(x).ewm(span=s, adjust=adjust).mean(), rtol=1e-9)
+
+
 def test_rsi_edges(spark):
     rising = D.relative_strength(series(spark, up=range(1, 31), flat=[3] * 30, down=range(60, 30, -1)))
     assert by_item(rising, "up")["rsi_14"].iloc[1:].eq(100.0).all()
