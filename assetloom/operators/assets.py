@@ -12,7 +12,7 @@ from ..functions.exprs import growth, over_days
 from ..functions.quantiles import exact_quantiles
 from ..names import FUT, ITEM, MONTH_DAYS, PRICE, RATING, REC, SPLIT, TRADING_DAYS, TS, USER, YEAR_DAYS
 from .filters import SplitTables, assets_with_full_test
-from .splits import Split, per_split
+from .splits import Split, per_split, split_array
 
 # Summary names of the measured columns.
 MEASURES = ("ROI", "AnnROI", "MonthROI", "Volatility")
@@ -161,8 +161,10 @@ def window_volatility(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
 def split_census(interactions: DataFrame, prices: DataFrame, tables: SplitTables) -> DataFrame:
     """Counts of assets, users, ratings and transactions per split.
 
-    Transactions are folded to (user, asset, date) counts on the map side first;
-    counts before the recommendation date come from a histogram over dates.
+    Users are ``tables.customers``, or all customers with a trade when that is None.
+    Transactions are folded to (user, asset, date) counts on the map side first, and
+    meet the splits of their user; rows are summed per split and asset where they
+    arise, so nothing is shuffled once per split.
     """
     splits = tables.splits
     buys = F.sum(F.when(F.col(RATING) > 0, 1).otherwise(0))
@@ -173,22 +175,34 @@ def split_census(interactions: DataFrame, prices: DataFrame, tables: SplitTables
 
     rows = F.count(F.lit(1))
     positive = F.count(F.when(F.col(RATING) > 0, 1))
-    histogram = by_day.groupBy(TS).agg(F.sum("tx").alias("tx"), F.sum("buys").alias("buys"))
-    before = per_split(histogram, splits, F.col(TS) < F.col(REC))
-    first_seen = by_day.groupBy(USER).agg(F.min(TS).alias("first_ts"))
-    users = per_split(first_seen, splits, F.col("first_ts") < F.col(REC))
+    if tables.customers is None:
+        everyone = interactions.select(USER).distinct()
+        users = per_split(everyone, splits)
+        mine = by_day.withColumn("_in", F.array(*[F.lit(s.split_id) for s in splits]))
+    else:
+        users = tables.customers
+        in_splits = users.groupBy(USER).agg(F.collect_set(SPLIT).alias("_in"))
+        mine = by_day.join(in_splits, USER)
 
     eligible = tables.assets if tables.assets is not None else assets_with_full_test(tables)
-    first, last = min(s.rec_date for s in splits), max(s.future_date for s in splits)
-    active = (
-        by_day.where((F.col(TS) >= F.lit(first)) & (F.col(TS) < F.lit(last)))
-        .join(first_seen, USER)
-        .groupBy(ITEM, TS, "first_ts")
-        .agg(F.sum("tx").alias("tx"), F.sum("buys").alias("buys"))
+    wanted = F.filter(
+        split_array(splits), lambda s: F.array_contains(F.col("_in"), s[SPLIT]) & (F.col(TS) < s[FUT])
     )
-    during = per_split(
-        active, splits, (F.col(TS) >= F.col(REC)) & (F.col(TS) < F.col(FUT)) & (F.col("first_ts") < F.col(REC))
-    ).join(eligible, [SPLIT, ITEM], "left_semi")
+    early = F.col(TS) < F.col(REC)
+    counted = (
+        mine.select(ITEM, TS, "tx", "buys", F.inline(wanted))
+        .groupBy(SPLIT, ITEM)
+        .agg(
+            F.sum(F.when(early, F.col("tx"))).alias("tx_before"),
+            F.sum(F.when(early, F.col("buys"))).alias("buys_before"),
+            F.sum(F.when(~early, F.col("tx"))).alias("tx_during"),
+            F.sum(F.when(~early, F.col("buys"))).alias("buys_during"),
+        )
+        .join(eligible.select(SPLIT, ITEM, F.lit(True).alias("_eligible")), [SPLIT, ITEM], "left")
+    )
+
+    def during(name: str) -> Column:
+        return F.sum(F.when(F.col("_eligible"), F.col(name)))
 
     parts = [
         per_id(asset_returns(prices, splits), num_assets=rows),
@@ -196,8 +210,13 @@ def split_census(interactions: DataFrame, prices: DataFrame, tables: SplitTables
         per_id(eligible, num_assets_rec=rows),
         per_id(tables.train, train_ratings=rows, positive_train_ratings=positive),
         per_id(tables.test, test_ratings=rows, positive_test_ratings=positive),
-        per_id(before, train_transactions=F.sum("tx"), training_buys=F.sum("buys")),
-        per_id(during, test_transactions=F.sum("tx"), test_buys=F.sum("buys")),
+        per_id(
+            counted,
+            train_transactions=F.sum("tx_before"),
+            training_buys=F.sum("buys_before"),
+            test_transactions=during("tx_during"),
+            test_buys=during("buys_during"),
+        ),
     ]
     # one row per split in every part: stack them and take the one value of each column
     stacked = parts[0]

@@ -536,15 +536,20 @@ add(
   {r('pow(1 + avg(roi), 30 / any_value(days)) - 1', 6)} AS index_month_roi,
   {r('pow(1 + avg(roi), 365 / any_value(days)) - 1', 6)} AS index_annual_roi FROM roi GROUP BY 1""",
 )
-add(
-    "split_census",
-    f"""{FULL}, {ROI},
-u AS (SELECT DISTINCT split_id, col_user FROM train),
+CENSUS_USERS = {
+    "split_census": "SELECT DISTINCT split_id, col_user FROM train",
+    "split_census_all": "SELECT DISTINCT split_id, col_user FROM trades JOIN splits ON TRUE",
+}
+for _name, _users in CENSUS_USERS.items():
+    add(
+        _name,
+        f"""{FULL}, {ROI},
+u AS ({_users}),
 tx AS (SELECT s.split_id, t.*, rec_date FROM trades t JOIN splits s ON col_timestamp < future_date
        JOIN u ON u.split_id = s.split_id AND u.col_user = t.col_user),
 during AS (SELECT tx.* FROM tx JOIN full_test f ON f.split_id = tx.split_id AND f.col_item = tx.col_item
            WHERE col_timestamp >= rec_date)""",
-    """SELECT split_id,
+        """SELECT split_id,
   (SELECT count(*) FROM roi x WHERE x.split_id = s.split_id) AS num_assets,
   (SELECT count(*) FROM u x WHERE x.split_id = s.split_id) AS num_users,
   (SELECT count(*) FROM full_test x WHERE x.split_id = s.split_id) AS num_assets_rec,
@@ -558,7 +563,7 @@ during AS (SELECT tx.* FROM tx JOIN full_test f ON f.split_id = tx.split_id AND
   (SELECT count(*) FROM during x WHERE x.split_id = s.split_id) AS test_transactions,
   (SELECT count(*) FROM during x WHERE x.split_id = s.split_id AND col_rating > 0) AS test_buys
 FROM splits s""",
-)
+    )
 
 # ---------------------------------------------------------------- F customers
 SIGNED = "CASE WHEN col_rating > 0 THEN abs(units) ELSE -abs(units) END"
@@ -836,6 +841,22 @@ JOIN line ON start <= p AND p < start + n""",
 )
 
 
+add(
+    "weighted_choice_excluding",
+    f"""{INDEX}, counted AS (SELECT item_idx, count(*) AS n FROM edges GROUP BY 1),
+weights AS (SELECT * FROM counted WHERE item_idx <> (SELECT item_idx FROM counted ORDER BY n DESC, item_idx LIMIT 1)),
+line AS (
+  SELECT item_idx, n,
+    coalesce(sum(n) OVER (ORDER BY substr(md5(CAST(item_idx AS VARCHAR)), 1, 3), item_idx
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM weights),
+asked AS (SELECT user_idx, CAST(d AS INTEGER) AS draw FROM users JOIN range(0, 4) t(d) ON TRUE),
+{draw('drawn', 'asked', '*', SEED, 'user_idx', 'draw')}""",
+    f"""SELECT user_idx, draw, item_idx FROM (
+  SELECT *, {below('SELECT sum(n) FROM weights')} AS p FROM drawn) q
+JOIN line ON start <= p AND p < start + n""",
+)
+
+
 def distinct_draws(count: int) -> str:
     """Each draw lays the keys a customer has not drawn yet end to end and picks one."""
     steps = ["taken AS (SELECT user_idx, 0 AS draw, item_idx FROM edges WHERE FALSE)"]

@@ -468,6 +468,22 @@ def split_census(t: Tables) -> DataFrame:
     return A.split_census(t.ratings, t.prices, DS.split_dataset(t.ratings, t.prices, t.splits))
 
 
+@query
+def split_census_all(t: Tables) -> DataFrame:
+    """The census without a customer filter."""
+    tables = DS.split_dataset(t.ratings, t.prices, t.splits, FL.DataFilter(customers=FL.all_customers))
+    return A.split_census(t.ratings, t.prices, tables)
+
+
+@query
+def weighted_choice_excluding(t: Tables) -> DataFrame:
+    """Draws by popularity per customer, the most traded asset left out."""
+    edges, users, _ = t.indexed
+    weights = edges.groupBy("item_idx").agg(F.count(F.lit(1)).alias("n"))
+    top = weights.agg(F.max_by("item_idx", F.struct("n", -F.col("item_idx"))).alias("item_idx"))
+    return N.weighted_sample(N.excluding(weights, top, "item_idx"), users.select("user_idx"), 4, SEED, "item_idx", "user_idx")
+
+
 @query
 def asset_stats(t: Tables) -> DataFrame:
     return rnd(A.asset_stats(t.prices, t.splits), price_current=4, price_future=4, _=6)
