@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import as_uniform, with_draws
 from ..names import ITEM, MONTH_DAYS, PRICE, RANK, REC, SCORE, SPLIT, TS, USER
+from ..session import materialize
 from .splits import Split, per_split
 
 ROWS_PER_MONTH = 21
@@ -139,6 +143,10 @@ class ForestScorer:
         return self.model.transform(self._vectors(candidates)).select(ITEM, SCORE)
 
 
+# models fitted at the same time; each fit is a distributed job of its own
+PARALLEL_FITS = 4
+
+
 def learn_scores(
     kpis: DataFrame,
     assets: DataFrame,
@@ -150,11 +158,12 @@ def learn_scores(
 ) -> DataFrame:
     """(split_id, col_item, score): fit one model per split and score the assets of its date.
 
-    ``kpis`` is read once per split, so hand over a written table.
+    ``kpis`` is read once per split, so hand over a written table. The labelled rows are
+    written once for all splits; the fits are independent jobs and run side by side.
     """
-    labelled = forward_target(kpis, months).select(ITEM, TS, "final_ts", *features, "target").na.drop()
-    scored = None
-    for s in splits:
+    labelled = materialize(forward_target(kpis, months).select(ITEM, TS, "final_ts", *features, "target").na.drop())
+
+    def one(s: Split) -> DataFrame:
         own = assets.where(F.col(SPLIT) == s.split_id).select(ITEM)
         rows = labelled.where(F.col(TS) < F.lit(s.rec_date - timedelta(days=MONTH_DAYS * months)))
         if strict:
@@ -163,9 +172,10 @@ def learn_scores(
         scorer.fit(rows.join(own, ITEM, "left_semi").select(*features, "target"))
         # an asset whose indicators are not complete yet cannot be scored
         today = kpis.where(F.col(TS) == F.lit(s.rec_date)).na.drop(subset=list(features)).join(own, ITEM, "left_semi")
-        part = scorer.score(today).select(F.lit(s.split_id).alias(SPLIT), ITEM, SCORE)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+        return scorer.score(today).select(F.lit(s.split_id).alias(SPLIT), ITEM, SCORE)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, splits))
 
 
 def indicator_scores(kpis: DataFrame, assets: DataFrame, splits: Sequence[Split], column: str) -> DataFrame:
@@ -270,7 +280,7 @@ def recommend_by_pairs(scores: DataFrame, customers: DataFrame, seen: DataFrame
     return recommend(scores, customers, seen).drop(RANK)
 
 
-def run_name(trees: int, feature_set: str, day: Column | None = None) -> Column:
-    """``rfr_<trees>_<features>`` and, with a date, ``_<yyyy-MM-dd>``."""
-    name = F.lit(f"rfr_{trees}_{feature_set}")
-    return name if day is None else F.concat_ws("_", name, F.date_format(day, "yyyy-MM-dd"))
+def run_name(trees: int, feature_set: str, **parameters: object) -> str:
+    """``rfr_<trees>_<features>_<key>``; the key stands for all other parameters."""
+    text = repr(sorted(parameters.items())).encode()
+    return f"rfr_{trees}_{feature_set}_{hashlib.sha256(text).hexdigest()[:10]}"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..names import ITEM, SPLIT, USER
+from ..names import FUT, ITEM, PRICE, REC, SPLIT, TS, USER
 from ..operators.assets import profitability, window_volatility
 from ..operators.cleaning import positive_assets
 from ..operators.filters import DataFilter, SplitTables, assets_with_test_price
@@ -26,10 +26,10 @@ from ..operators.ranking_metrics import (
     ndcg_at_k,
     ndcg_from_hits,
 )
-from ..operators.recommend import ForestScorer, learn_scores, rank_assets, recommend, seen_ranks
+from ..operators.recommend import ForestScorer, learn_scores, rank_assets, recommend, run_name, seen_ranks
 from ..operators.splits import Split
 from ..session import materialize
-from ..sources.sinks import compute_if_absent, path_exists, read_kpis, write_kpis, write_metrics, write_recommendations
+from ..sources.sinks import path_exists, read_kpis, write_kpis, write_metrics
 from .dataset import split_dataset
 
 # The evaluated metrics.
@@ -128,36 +128,64 @@ def run_recommendation(
 ) -> str | None:
     """Fit, recommend, evaluate and write everything under ``folder/<run>``.
 
-    Indicators are computed once and reused from disk; a finished run is
-    skipped. Returns the run's folder, or None when it was there already.
+    The run's name holds all parameters. Dates that the run has finished are skipped
+    and only the others are computed; outputs are partitioned by split, and the table
+    ``done`` tells the dates. Indicators are kept by kind and by the prices they come
+    from. Returns the run's folder, or None when all its dates were there already.
     """
-    name = f"rfr_{trees}_{feature_set}"
-    out = f"{folder}/{name}"
-    if path_exists(spark, f"{out}/metrics"):
+    name = run_name(
+        trees,
+        feature_set,
+        months=months,
+        kpi_kind=kpi_kind,
+        list_length=list_length,
+        cutoffs=tuple(cutoffs),
+        max_depth=max_depth,
+        seed=seed,
+    )
+    prices = materialize(prices)
+    data = prices.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(ITEM, TS, PRICE))).first()
+    source = f"{data[0]:x}_{(data[1] or 0) % 2**64:x}"
+    out = f"{folder}/{name}_{source}"
+    done = f"{out}/done"
+    finished = {(r[REC], r[FUT]) for r in spark.read.parquet(done).collect()} if path_exists(spark, done) else set()
+    todo = [s for s in splits if (s.rec_date, s.future_date) not in finished]
+    if not todo:
         return None
-    kpi_path = f"{folder}/kpis"
+    kpi_path = f"{folder}/kpis_{kpi_kind}_{source}"
     if not path_exists(spark, kpi_path):
         write_kpis(technical_indicators(prices, indicator_periods(kpi_kind)), kpi_path)
     kpis = read_kpis(spark, kpi_path)
 
-    prices = materialize(prices)
-    tables = split_dataset(interactions, prices, splits, priced_at_both_ends(), kpis)
+    tables = split_dataset(interactions, prices, todo, priced_at_both_ends(), kpis)
     columns = features(feature_set)
     scores = materialize(
         learn_scores(
             kpis,
             tables.assets,
-            splits,
+            todo,
             months,
             columns,
             lambda: ForestScorer(columns, trees=trees, max_depth=max_depth, seed=seed),
         )
     )
     evaluation = evaluate_scores(scores, prices, tables, cutoffs)
-    write_recommendations(recommend(scores, evaluation.eligible, tables.train, list_length), f"{out}/recs")
-    per_user = compute_if_absent(spark, f"{out}/customer_metrics_long", lambda: evaluation.per_user)
-    metrics_wide(per_user, METRICS, cutoffs).write.mode("overwrite").partitionBy(SPLIT).parquet(
-        f"{out}/customer_metrics"
-    )
-    write_metrics(mean_over_customers(per_user, evaluation.eligible), f"{out}/metrics")
+    days = {s.split_id: s.rec_date.isoformat() for s in todo}
+
+    def dated(df: DataFrame) -> DataFrame:
+        day = F.coalesce(*[F.when(F.col(SPLIT) == k, F.lit(d)) for k, d in days.items()])
+        return df.withColumn(REC, day)
+
+    # a date that was broken off is written again; the others stay
+    def write(df: DataFrame, path: str) -> None:
+        writer = dated(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(REC, SPLIT).parquet(f"{out}/{path}")
+
+    write(recommend(scores, evaluation.eligible, tables.train, list_length).hint("rebalance", SPLIT), "recs")
+    per_user = materialize(evaluation.per_user)
+    write(metrics_wide(per_user, METRICS, cutoffs), "customer_metrics")
+    write(mean_over_customers(per_user, evaluation.eligible), "metrics")
+    write_metrics(spark.read.parquet(f"{out}/metrics"), f"{out}/metrics_text")
+    rows = [(s.split_id, s.rec_date, s.future_date) for s in todo]
+    spark.createDataFrame(rows, f"{SPLIT} int, {REC} date, {FUT} date").coalesce(1).write.mode("append").parquet(done)
     return out

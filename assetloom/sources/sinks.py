@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,11 @@ from ..names import CUTOFF, ITEM, REC, SCORE, SPLIT, TS, USER
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished output is there (works for any file system Spark can reach)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS"))
+    try:
+        spark.read.text(f"{path}/_SUCCESS").schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def compute_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -45,14 +47,16 @@ def read_kpis(spark: SparkSession, path: str) -> DataFrame:
 def write_recommendations(recs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Lists partitioned by split, users descending, best score first."""
     (
-        recs.sortWithinPartitions(SPLIT, F.col(USER).desc(), F.col(SCORE).desc(), ITEM)
+        # one file and more per split: rows meet their split, large splits are cut by AQE
+        recs.hint("rebalance", SPLIT)
+        .sortWithinPartitions(SPLIT, F.col(USER).desc(), F.col(SCORE).desc(), ITEM)
         .write.mode(mode)
         .partitionBy(SPLIT)
         .parquet(path)
     )
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
+def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tab-separated ``metric@k`` and value, one folder per split."""
     (
         metrics.select(
@@ -60,7 +64,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
             F.concat(F.col("metric"), F.lit("@"), F.col(CUTOFF).cast("string")).alias("metric"),
             F.col("value").cast("string").alias("value"),
         )
-        .write.mode("overwrite")
+        .write.mode(mode)
         .partitionBy(SPLIT)
         .option("sep", "\t")
         .csv(path)

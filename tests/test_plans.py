@@ -88,10 +88,12 @@ def test_recommendation_run(spark, folder, tmp_path):
     splits = S.collect_splits(S.date_grid(prices, d(250), d(325), 1, 1))
     args = dict(months=1, trees=3, feature_set="basic_short", kpi_kind="short", cutoffs=(1, 5), max_depth=3)
     out = RUN.run_recommendation(spark, trades, prices, splits, str(tmp_path), **args)
-    assert out.endswith("rfr_3_basic_short")
+    assert "/rfr_3_basic_short_" in out
     recs = spark.read.parquet(f"{out}/recs")
     assert recs.where("rank = 1").count() == recs.select("split_id", "col_user").distinct().count() > 0
-    lines = [r[0] for r in spark.read.text(f"{out}/metrics").collect()]
+    metrics = spark.read.parquet(f"{out}/metrics")
+    assert metrics.count() == 2 * 5 * 2 and metrics.where("metric = 'ndcg' and cutoff = 5").count() == 2
+    lines = [r[0] for r in spark.read.text(f"{out}/metrics_text").collect()]
     assert len(lines) == 2 * 5 * 2 and any(line.startswith("ndcg@5\t") for line in lines)
     wide = spark.read.parquet(f"{out}/customer_metrics")
     assert "annualized_prof@1" in wide.columns and wide.count() > 0
@@ -99,6 +101,22 @@ def test_recommendation_run(spark, folder, tmp_path):
     assert RUN.run_recommendation(spark, trades, prices, splits, str(tmp_path), **args) is None
 
 
+def test_runs_resume_by_date_and_differ_by_parameters(spark, folder, tmp_path):
+    prices = clean_prices(csvfiles.read_close_prices(spark, f"{folder}/close_prices.csv"))
+    trades = csvfiles.read_transactions(spark, f"{folder}/transactions.csv")
+    splits = S.collect_splits(S.date_grid(prices, d(250), d(325), 1, 1))
+    args = dict(months=1, trees=2, feature_set="basic_short", kpi_kind="short", cutoffs=(1,), max_depth=2)
+    first = RUN.run_recommendation(spark, trades, prices, splits[:1], str(tmp_path), **args)
+    # the other date is added to the same run, and the first one stays
+    assert RUN.run_recommendation(spark, trades, prices, splits, str(tmp_path), **args) == first
+    assert spark.read.parquet(f"{first}/metrics").select("split_id").distinct().count() == 2
+    assert spark.read.parquet(f"{first}/done").count() == 2
+    # other parameters or indicators never reuse its results
+    other = RUN.run_recommendation(spark, trades, prices, splits[:1], str(tmp_path), **(args | {"seed": 5}))
+    kind = RUN.run_recommendation(spark, trades, prices, splits[:1], str(tmp_path), **(args | {"kpi_kind": "long"}))
+    assert len({first, other, kind}) == 3
+
+
 def test_evaluation_with_and_without_lists_agrees(spark, folder):
     prices = clean_prices(csvfiles.read_close_prices(spark, f"{folder}/close_prices.csv"))
     trades = csvfiles.read_transactions(spark, f"{folder}/transactions.csv")
