@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm.common import narrow_batches
-from assetloom.llm.numtext import U64, text_slices, utf8, words
+from assetloom.llm.numtext import U64, text_slices, tidy, utf8, words
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 OUTPUTS = ("n_words", "hits", "items", "longest", "contaminated")
 
@@ -235,6 +235,7 @@ def find_contamination(
         shared = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
+            tidy()
             suffixes = Suffixes(shared.value, window)
             for part in text_slices(batches, text_col, SHARD_BYTES):
                 found = _shard(part, text_col, suffixes)

@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 
 from assetloom.llm.common import broadcast_if_small, id_order, narrow_batches, same, text_of
 from assetloom.llm.components import components
-from assetloom.llm.numtext import BASES, U64, mix, powers, text_slices, utf8, words
+from assetloom.llm.numtext import BASES, U64, mix, powers, text_slices, tidy, utf8, words
 from assetloom.session import materialize
 
 TREES, DEPTH = 24, 6
 RECALL = 0.99999
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK = 512  # members of a trie node that meet another such block in one task
 OUTPUTS = ("class_id", "n_links")
 
@@ -102,6 +102,7 @@ def _digests(docs: DataFrame, n: int, depth: int) -> DataFrame:
     more = _fields(size=_INT, f1=_LONG, f2=_LONG, sig=_BINARY, keys=T.ArrayType(_LONG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         family = _family(TREES * DEPTH)
         for part in text_slices(batches, "text", SHARD_BYTES):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
@@ -189,6 +190,7 @@ def _pairs(group: dict, depth: int, lowest: float) -> np.ndarray:
 
 
 def _prune(batches: Iterator[pa.RecordBatch], depth: int, lowest: float) -> Iterator[pa.RecordBatch]:
+    tidy()
     for group in _groups(batches):
         wanted = _pairs(group, depth, lowest)
         rows = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
@@ -220,6 +222,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], depth: int, lowest: float, threshold: float):
+    tidy()
     for group in _groups(batches):
         wanted = _pairs(group, depth, lowest)
         sizes = np.array([len(x) for x in group["shingles"]])

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +38,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=U64)
 
 
-def held() -> dict:
-    """What operators keep in a worker process from one task to the next."""
-    return sys.modules.setdefault("_llm_held", types.ModuleType("_llm_held")).__dict__.setdefault("objects", {})
-
-
 def tidy() -> None:
     """Give memory back at the start of a task: the pool reuses workers, and another operator may have filled this one."""
-    held().clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

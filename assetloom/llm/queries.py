@@ -76,11 +76,10 @@ def _ids_sha256(ids: pd.Series) -> pd.Series:
 
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from assetloom.llm.sentencepiece_table import decode_ids, encode_texts
+    from assetloom.llm.sentencepiece_table import encode_texts
 
-    model = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_ids(encode_texts(docs, model).drop("text"), model)
+    out = encode_texts(docs, tokenizer_path(), decoded_col="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -17,8 +17,6 @@ from __future__ import annotations
 import codecs
 import math
 import re
-import sys
-import types
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -28,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from assetloom.llm.common import narrow_batches
-from assetloom.llm.numtext import slices, text_slices
+from assetloom.llm.numtext import slices, text_slices, tidy
 
 SPACE = "▁"
-CACHE_ENTRIES = 300_000  # twice as many words are held
+CACHE_ENTRIES = 200_000  # twice as many words are held, by a task while it runs
 CACHED_CHARS = 64
-PAIR_ENTRIES = 400_000
+PAIR_ENTRIES = 300_000
 SLICE_BYTES = 2 << 20
 
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
@@ -63,13 +61,17 @@ def load_pieces(model_path: str) -> dict:
         else NORMAL
         for i in range(size)
     ]
-    return {
+    found = {
         "pieces": [model.id_to_piece(i) for i in range(size)],
         "scores": [model.get_score(i) for i in range(size)],
         "kinds": kinds,
         "begin": model.bos_id(),
         "end": model.eos_id(),
+        "made": [],
     }
+    # a piece that merging never makes is never a token
+    table = PieceTable(found)
+    return found | {"made": [i for p, i in table.ids.items() if table._merge(p) == [p]]}
 
 
 def _one_each(error: UnicodeError):
@@ -123,16 +125,20 @@ class PieceTable:
         for i, (piece, kind) in enumerate(zip(pieces, kinds, strict=True)):
             if kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = i
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if self._merge(piece) == [piece]:  # a piece that merging never makes is never a token
-                self.automaton.add_word(piece, (i, len(piece)))
+        self.lengths = [len(p) for p in pieces]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in model["made"]:
+            self.automaton.add_word(pieces[i], i)
         self.automaton.make_automaton()
         longer = [p for p in self.ids if len(p) > 1]
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in longer))
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer)
         one = f"[{alone}]|" if alone else ""
-        self.words = re.compile(f"{one}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        # words of the text before its spaces are marked: plain strings are smaller
+        self.words = re.compile(f"{one}[ {SPACE}]*[^ {SPACE}{alone}]+|[ {SPACE}]+")
+        # characters that no piece has right after a letter
+        after = {b for p in longer for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.tails = "".join(c for c in self.letters - after if not c.isalpha() and c != SPACE and c != " ")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -202,11 +208,11 @@ class PieceTable:
             for i, c in enumerate(text):
                 if c not in self.letters:
                     last[i + 1] = -1
-        pairs, size = self.pairs, len(self.pieces)
-        for stop, (token, length) in self.automaton.iter(text):
+        pairs, size, lengths = self.pairs, len(self.pieces), self.lengths
+        for stop, token in self.automaton.iter(text):
             stop += 1
             if last[stop] is None:
-                start = stop - length
+                start = stop - lengths[token]
                 if start:
                     before = last[start]
                     if before is None:
@@ -231,7 +237,17 @@ class PieceTable:
 
     def _encode_word(self, word: str) -> bytes:
         """Ids of a word that the cache does not hold; words used lately survive when it is full."""
-        ids = self.older.get(word) or array("I", self.encode_span(word)).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            stem = word.rstrip(self.tails)
+            if stem and stem != word and stem[-1].isalpha():
+                # no piece spans this place either
+                tail = word[len(stem) :]
+                ids = (self.cache.get(stem) or self._encode_word(stem)) + (
+                    self.cache.get(tail) or self._encode_word(tail)
+                )
+            else:
+                ids = array("I", self.encode_span(word.replace(" ", SPACE))).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.older, self.cache = self.cache, {}
@@ -242,43 +258,47 @@ class PieceTable:
         """Ids of a text with begin and end ids, as little-endian unsigned 32-bit integers."""
         out = [array("I", [self.begin]).tobytes()]
         if text:
-            marked = SPACE + text.replace(" ", SPACE)
-            for word in self.words.findall(marked) if self.splits else [marked]:
+            text = " " + text  # the dummy prefix
+            for word in self.words.findall(text) if self.splits else [text]:
                 out.append(self.cache.get(word) or self._encode_word(word))
         out.append(array("I", [self.end]).tobytes())
         return b"".join(out)
 
 
-def _held(kind: type, shared):
-    """The encoder or decoder of this worker process; built once for a model."""
-    key = kind.__name__ + str(hash((tuple(shared.value["pieces"]), tuple(shared.value["scores"]))))
-    held = sys.modules.setdefault("_llm_piece_tables", types.ModuleType("_llm_piece_tables")).__dict__
-    if key not in held:
-        held[key] = kind(shared.value)
-    return held[key]
-
-
-def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
     """All rows of ``docs`` with the ids of their text, an array of integers.
 
+    With ``decoded_col`` the ids are decoded again in the same pass, as by ``decode_ids``.
     NULL and empty texts give the begin and end ids alone. Rows are independent:
     repeated rows and ids are kept as they are; an empty table stays empty. A column
     named ``out_col`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
-    base = docs.drop(out_col) if out_col != text_col else docs
-    fields = [f for f in base.schema.fields if f.name != out_col]
+    new = [out_col, decoded_col] if decoded_col else [out_col]
+    base = docs.drop(*[c for c in new if c != text_col])
+    fields = [f for f in base.schema.fields if f.name not in new]
     schema = T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
+    if decoded_col:
+        schema = schema.add(decoded_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _held(PieceTable, shared)
+        tidy()
+        table, decoder = PieceTable(shared.value), PieceDecoder(shared.value)
         for part in text_slices(batches, text_col, SLICE_BYTES):
             ids = [table.encode(x) for x in part.column(text_col).to_pylist()]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-            column = pa.ListArray.from_arrays(pa.array(ends), values)
-            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != out_col]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), column], [*(n for n, _ in kept), out_col])
+            columns = [pa.ListArray.from_arrays(pa.array(ends), values)]
+            if decoded_col:
+                texts = [decoder.decode(array("I", x).tolist()) for x in ids]
+                columns.append(pa.array(texts, pa.string()))
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in new]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *columns], [*(n for n, _ in kept), *new])
+        # idle workers stay in the pool for a while: they should not hold the table and its caches
+        del table
+        tidy()
 
     return narrow_batches(base).mapInArrow(run, schema)
 
@@ -293,7 +313,8 @@ def decode_ids(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col:
     schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _held(PieceDecoder, shared)
+        tidy()
+        decoder = PieceDecoder(shared.value)
         for batch in batches:
             at = batch.schema.names.index(ids_col)
             sizes = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

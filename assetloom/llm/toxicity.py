@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm.common import narrow_batches, text_of
-from assetloom.llm.numtext import text_slices
+from assetloom.llm.numtext import text_slices, tidy
 
 WORD = re.compile(r"[^\W_]+")
 SLICE_BYTES = 4 << 20
@@ -114,6 +114,7 @@ def _features(docs: DataFrame, bits: int) -> list[np.ndarray]:
     """Features of the few documents of a sample (a column text), on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         featurize = _Featurizer(bits)
         for part in text_slices(batches, "text", SLICE_BYTES):
             found = [featurize(x) for x in part.column("text").to_pylist()]
@@ -263,6 +264,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_lea
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         m = Model(**shared.value)
         featurize = _Featurizer(m.bits, m.features)
         weights, squares = (m.rarity * m.weights).tolist(), (m.rarity**2).tolist()

@@ -18,7 +18,7 @@ from assetloom.llm.contamination import decontaminate
 from assetloom.llm.line_dedup import dedup_lines
 from assetloom.llm.lsh_forest import near_duplicates
 from assetloom.llm.queries import tokenizer_path
-from assetloom.llm.sentencepiece_table import decode_ids, encode_texts
+from assetloom.llm.sentencepiece_table import encode_texts
 from assetloom.llm.toxicity import score_toxicity, train_toxicity
 from assetloom.session import materialize
 
@@ -58,8 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``ids`` and the text ``decoded`` from them."""
-    model = tokenizer_path()
-    return decode_ids(encode_texts(docs, model), model)
+    return encode_texts(docs, tokenizer_path(), decoded_col="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
