@@ -17,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -30,7 +29,7 @@ from assetloom.llm.common import narrow_batches, text_of
 from assetloom.llm.numtext import text_slices, tidy
 
 SLICE_BYTES = 2 << 20
-CACHED_TOKENS = 150_000
+CACHED_TOKENS = 200_000
 OUTPUTS = ("weak_label", "score", "predicted")
 GOOD, BAD, NONE = "1", "0", "-"
 LABELLERS = (
@@ -61,58 +60,103 @@ class Model:
     bits: int
 
 
+_PUNCTUATION = ".,;:!?\"'()"
+_KINDS = 3  # features of a token: its shape, its word, its length
+
+
+def _shape(token: str) -> str:
+    """Runs of capitals, letters, digits and equal marks: 'A', 'a', '9' or the mark."""
+    if token.isalpha():
+        if token.islower():
+            return "a"
+        if token.isupper():
+            return "A"
+        if token[0].isupper() and token[1:].islower():
+            return "Aa"
+    out: list[str] = []
+    for c in token[:40]:
+        kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        if not out or out[-1] != kind:
+            out.append(kind)
+    return "".join(out)
+
+
 class _Reader:
-    """Votes and features of texts; tokens seen lately are remembered."""
-
-    def __init__(self, bits: int):
-        self.mask, self.cache = (1 << bits) - 1, {}
-
-    def _token(self, token: str) -> tuple:
-        letters = sum(map(str.isalpha, token))
-        upper, digits = sum(map(str.isupper, token)), sum(map(str.isdigit, token))
-        core = token.strip(".,;:!?\"'()")
-        shape = []
-        for c in token[:40]:
-            kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-            if not shape or shape[-1] != kind:
-                shape.append(kind)
-        names = ("s" + "".join(shape), "w" + core[:40].lower(), f"l{min(len(token), 20)}")
-        found = (
-            len(token), letters, upper, digits, not letters and not digits, core != token and token[-1] in ".!?",
-            len(token) > 2 and not token[-1].isalnum() and not token[-2].isalnum(),
-            tuple(zlib.crc32(n.encode()) & self.mask for n in names),
-        )
-        if len(self.cache) >= CACHED_TOKENS:
-            self.cache.clear()
-        self.cache[token] = found
-        return found
-
-    def __call__(self, text: str | None) -> tuple[str, Counter]:
-        """The pattern of votes, and the counted features."""
+    """Votes and token counts of texts; what is known of tokens seen lately is kept in tables."""
+
+    def __init__(self, bits: int | None = None, weights: np.ndarray | None = None):
+        self.mask, self.weights = bits and (1 << bits) - 1, weights  # without bits: votes alone
+        self.ids: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
+        self._room(CACHED_TOKENS)
+
+    def _room(self, size: int) -> None:
+        self.ids.clear()
+        self.fresh: list[tuple] = []  # of tokens that are not in the tables yet
+        self.named: list[tuple] = []
+        self.stats = np.zeros((size, 7))
+        self.features = np.zeros((size, _KINDS), np.int32)
+        self.weight = np.zeros(size)
+
+    def _add(self, token: str) -> int:
+        core = token.strip(_PUNCTUATION)
+        n = len(token)
+        if core.isalpha():
+            letters, digits = len(core), 0
+            upper = 0 if core.islower() else sum(map(str.isupper, core))
+        else:
+            letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+            upper = sum(map(str.isupper, token))
+        row = self.ids[token] = len(self.ids)
+        last = token[-1]
+        self.fresh.append((
+            n, letters, upper, digits, not letters and not digits, len(core) < n and last in ".!?",
+            n > 2 and not last.isalnum() and not token[-2].isalnum(),
+        ))
+        if not self.mask:
+            return row
+        shape = _shape(token)
+        place = self.shapes.get(shape)
+        if place is None:
+            if len(self.shapes) >= CACHED_TOKENS:
+                self.shapes.clear()
+            place = self.shapes[shape] = zlib.crc32(b"s" + shape.encode()) & self.mask
+        self.named.append((place, zlib.crc32(core[:40].lower().encode()) & self.mask, min(n, 20)))
+        return row
+
+    def _flush(self) -> None:
+        """Enter the new tokens into the tables."""
+        stop = len(self.ids)
+        if self.fresh:
+            self.stats[stop - len(self.fresh) : stop] = self.fresh
+            self.fresh = []
+        if self.named:
+            new = slice(stop - len(self.named), stop)
+            self.features[new] = self.named
+            if self.weights is not None:
+                self.weight[new] = self.weights[self.features[new]].sum(axis=1)
+            self.named = []
+
+    def __call__(self, text: str | None) -> tuple[str, np.ndarray, np.ndarray]:
+        """The pattern of votes; the rows of the distinct tokens and how often each occurs."""
         text = text or ""
         tokens = text.split()
         counts = Counter(tokens)
         n = len(tokens)
-        chars = letters = upper = digits = marks = ends = tails = 0
-        features: Counter = Counter()
-        for token, k in counts.items():
-            found = self.cache.get(token) or self._token(token)
-            chars += found[0] * k
-            letters += found[1] * k
-            upper += found[2] * k
-            digits += found[3] * k
-            marks += found[4] * k
-            ends += found[5] * k
-            tails += found[6] * k
-            for f in found[7]:
-                features[f] += k
-        echo = sum(map(eq, tokens, tokens[1:]))
-        run = max(len(list(g)) for _, g in groupby(tokens)) if echo else 1
-        features[zlib.crc32(b"echo") & self.mask] += echo
+        if len(self.ids) + len(counts) > len(self.weight):
+            self._room(max(CACHED_TOKENS, len(counts)))
+        get, add = self.ids.get, self._add
+        rows = np.array([r if (r := get(t)) is not None else add(t) for t in counts], dtype=np.int64)
+        self._flush()
+        count = np.fromiter(counts.values(), float, len(counts))
+        if not n:
+            return BAD + NONE * (len(LABELLERS) - 1), rows, count
+        chars, letters, upper, digits, marks, ends, tails = (count @ self.stats[rows]).tolist()
+        repeats = bytes(map(eq, tokens, tokens[1:]))
+        echo = repeats.count(1)
+        run = 5 if b"\1" * 4 in repeats else 3 if b"\1\1" in repeats else 2  # at most, or from 5 on
         lines = [x for x in text.split("\n") if x.strip()]
         short = sum(len(x) < 20 for x in lines)
-        if not n:
-            return BAD + NONE * (len(LABELLERS) - 1), features
 
         def vote(value: float, good: float, bad: float) -> str:
             """Small values are good."""
@@ -125,7 +169,7 @@ class _Reader:
             vote(upper / max(letters, 1), 0.12, 0.4),
             vote(digits / chars, 0.05, 0.25),
             GOOD if 3 <= mean <= 9 else BAD if mean > 14 or mean < 2 else NONE,
-            NONE if n < 20 else vote(max(counts.values()) / n, 0.12, 0.25),
+            NONE if n < 20 else vote(count.max() / n, 0.12, 0.25),
             NONE if n < 5 else vote(echo / n, 0.03, 0.2),
             NONE if n < 20 else vote(abs(ends / n - 0.08), 0.07, 0.25),
             vote(marks / n, 0.02, 0.15),
@@ -133,7 +177,17 @@ class _Reader:
             vote(tails / n, 0.02, 0.2),
             NONE if n < 5 else vote(run, 2, 5),
         )
-        return "".join(votes), features
+        return "".join(votes), rows, count
+
+    def vector(self, rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a text and their values: square roots of token counts, summed, over that of the length."""
+        at, inverse = np.unique(self.features[rows].ravel(), return_inverse=True)
+        value = np.bincount(inverse, np.repeat(np.sqrt(count), _KINDS), len(at))
+        return at, value / np.sqrt(max(count.sum(), 1.0))
+
+    def margin(self, rows: np.ndarray, count: np.ndarray) -> float:
+        """Weights times the vector, without making it."""
+        return float(self.weight[rows] @ np.sqrt(count) / np.sqrt(max(count.sum(), 1.0)))
 
 
 def fit_votes(patterns: dict[str, int], rounds: int) -> tuple[dict[str, float], np.ndarray, float]:
@@ -166,12 +220,12 @@ def fit_votes(patterns: dict[str, int], rounds: int) -> tuple[dict[str, float],
     return dict(zip(names, post.tolist(), strict=True)), rates, share
 
 
-def vote_patterns(docs: DataFrame, text_col: str = "text", bits: int = 18) -> DataFrame:
+def vote_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """How many documents have each pattern of votes (pattern, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        read = _Reader(bits)
+        read = _Reader()
         for part in text_slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([read(x)[0] for x in part.column("text").to_pylist()], pa.string())], ["pattern"]
@@ -181,19 +235,13 @@ def vote_patterns(docs: DataFrame, text_col: str = "text", bits: int = 18) -> Da
     return texts.mapInArrow(run, "pattern string").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _vector(features: Counter) -> tuple[np.ndarray, np.ndarray]:
-    at = np.fromiter(features, np.int64, len(features))
-    value = np.sqrt(np.fromiter(features.values(), float, len(features)))
-    return at, value / max(np.sqrt((value * value).sum()), 1e-9)
-
-
 def train_quality(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", settings: Settings = Settings()
 ) -> Model:
     """Fit the label model on all documents and the scorer on a sample drawn by a hash of the text."""
     s = settings
     posterior, _, share = fit_votes(
-        {r["pattern"]: r["n"] for r in vote_patterns(docs, text_col, s.bits).collect()}, s.em_rounds
+        {r["pattern"]: r["n"] for r in vote_patterns(docs, text_col).collect()}, s.em_rounds
     )
     text = text_of(text_col)
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
@@ -205,11 +253,14 @@ def train_quality(
         tidy()
         read = _Reader(s.bits)
         for part in text_slices(batches, "text", SLICE_BYTES):
-            rows = [read(x) for x in part.column("text").to_pylist()]
-            vectors = [_vector(f) for _, f in rows]
+            patterns, vectors = [], []
+            for text_ in part.column("text").to_pylist():
+                pattern, rows, count = read(text_)
+                patterns.append(pattern)
+                vectors.append(read.vector(rows, count))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([p for p, _ in rows], pa.string()),
+                    pa.array(patterns, pa.string()),
                     pa.array([at.astype(np.int32) for at, _ in vectors], pa.list_(pa.int32())),
                     pa.array([v.astype(np.float32) for _, v in vectors], pa.list_(pa.float32())),
                 ],
@@ -256,14 +307,13 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", at_leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         m = Model(**shared.value)
-        read = _Reader(m.bits)
+        read = _Reader(m.bits, m.weights)
         for part in text_slices(batches, text_col, SLICE_BYTES):
             weak, z = [], []
             for text in part.column(part.schema.names.index(text_col)).to_pylist():
-                pattern, features = read(text)
-                at, value = _vector(features)
+                pattern, rows, count = read(text)
                 weak.append(m.posterior.get(pattern))
-                z.append(float((m.weights[at] * value).sum()) + m.bias)
+                z.append(read.margin(rows, count) + m.bias)
             score = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(weak, pa.float64()), pa.array(score)],
