@@ -8,14 +8,18 @@ is unlabelled. With the class prior p and a loss l, the risk of a classifier g i
 where the second part estimates the risk on clean text from unlabelled text. Where
 it falls below zero the positives among the unlabelled are being fitted, and the
 step goes the other way. Several linear classifiers are trained in numpy on bounded
-random samples and their scores averaged.
+random samples and their scores averaged. Only this fit is sampled.
 
 A document is the set of hashed features of its words: the word and its beginnings,
 so that forms never seen share features with known ones. Features are kept that are
 significantly more frequent among the positives than among the unlabelled; they are
-weighted by rarity and a document's vector has length one. As unlabelled positives
-pull scores down, the border is laid where the share of unlabelled documents above
-it is the class prior.
+weighted by rarity and a document's vector has length one. Frequencies are counted
+over all documents that are not held out. A feature kept that no sampled positive
+holds gets the weight that the fitted ones have on average for its frequencies. As
+unlabelled positives pull scores down, the border is laid where the share of
+unlabelled documents above it is the class prior, again over all of them. Counts and
+margins are added up per task in arrays of fixed size, so neither the driver nor a
+task holds more as documents are added.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import narrow_batches, text_of
+from assetloom.llm.common import broadcast_if_small, narrow_batches, text_of
 from assetloom.llm.numtext import text_slices, tidy
 
 WORD = re.compile(r"[^\W_]+")
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 200_000
 BEGINNINGS = (4, 5, 6)
+MARGIN_BITS = 20  # the border is exact to this many bits of the range of margins
 OUTPUTS = ("score", "predicted")
 
 
@@ -50,7 +56,7 @@ class Settings:
     sample_bytes: int = 96 << 20
     bits: int = 18
     significance: float = 5.0  # standard deviations above the unlabelled frequency
-    documents: int = 5  # sampled documents that must hold a feature
+    documents: int = 5  # documents that must hold a feature
     models: int = 3
     epochs: int = 12
     batch: int = 256
@@ -77,37 +83,47 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 def word_features(word: str, bits: int) -> list[int]:
     """Hashed features of a word: the whole word and its beginnings."""
-    marked = f"<{word[:64]}>"
-    grams = {marked, *(marked[: n + 1] for n in BEGINNINGS if len(word) >= n)}
-    return [zlib.crc32(g.encode()) & ((1 << bits) - 1) for g in grams]
+    mask, found, done = (1 << bits) - 1, [], 0
+    value = zlib.crc32(b"<")
+    for n in BEGINNINGS:
+        if len(word) < n:
+            break
+        value = zlib.crc32(word[done:n].encode(), value)
+        found.append(value & mask)
+        done = n
+    return [*found, zlib.crc32(f"{word[done:64]}>".encode(), value) & mask]
 
 
-class _Featurizer:
-    """Features of texts; words seen lately are remembered."""
+class _Words(dict):
+    """Features of words, kept ones alone where they are given; words seen lately are remembered."""
 
     def __init__(self, bits: int, kept: np.ndarray | None = None):
-        self.bits, self.cache = bits, {}
+        self.bits = bits
         self.place = None if kept is None else {int(f): i for i, f in enumerate(kept)}
 
-    def _word(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> list[int]:
         found = word_features(word, self.bits)
         if self.place is not None:
             found = [self.place[f] for f in found if f in self.place]
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        self.cache[word] = found
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = found
         return found
 
+
+class _Featurizer:
+    """Features of texts."""
+
+    def __init__(self, bits: int, kept: np.ndarray | None = None):
+        self.of_word = _Words(bits, kept)
+
+    def each(self, text: str | None) -> Iterator[int]:
+        """Features of the different words; words that begin alike repeat theirs."""
+        words = set(WORD.findall((text or "").lower()))
+        return chain.from_iterable(map(self.of_word.__getitem__, words))
+
     def __call__(self, text: str | None) -> list[int]:
-        out: set[int] = set()
-        get = self.cache.get
-        for word in set(WORD.findall((text or "").lower())):
-            found = get(word)
-            if found is None:
-                found = self._word(word)
-            if found:
-                out.update(found)
-        return sorted(out)
+        return sorted(set(self.each(text)))
 
 
 def _features(docs: DataFrame, bits: int) -> list[np.ndarray]:
@@ -125,6 +141,42 @@ def _features(docs: DataFrame, bits: int) -> list[np.ndarray]:
     return [np.asarray(x.values.to_numpy(), dtype=np.int64) for x in table.column("features")]
 
 
+def _frequencies(docs: DataFrame, bits: int) -> np.ndarray:
+    """Number of documents (a column text) that hold each feature; the last entry is that of all documents."""
+    size = 1 << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        featurize = _Featurizer(bits)
+        total = np.zeros(size + 1, np.int64)
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            found, ends = [], [0]
+            for text in part.column("text").to_pylist():
+                found.extend(featurize.each(text))
+                ends.append(len(found))
+            rows = np.repeat(np.arange(part.num_rows) << bits, np.diff(ends))
+            pairs = np.sort(rows + np.array(found, np.int64))
+            first = np.diff(pairs, prepend=-1) != 0
+            total[:size] += np.bincount(pairs[first] & (size - 1), minlength=size)
+            total[size] += part.num_rows
+        yield _counted(np.flatnonzero(total), total[total > 0])
+
+    return _total(docs, run, size + 1)
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
+
+
+def _total(docs: DataFrame, run, size: int) -> np.ndarray:
+    """Sum over all tasks of what ``run`` counts, for keys below ``size``."""
+    parts = narrow_batches(docs).mapInArrow(run, "key bigint, n bigint")
+    table = parts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[table.column("key").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -186,6 +238,52 @@ def train_nnpu(
     return w, b
 
 
+def _margins(texts: list[str | None], featurize: _Featurizer, weights: list[float], squares: list[float]) -> np.ndarray:
+    """Weights times vector, for each text."""
+    margins = []
+    for text in texts:
+        found = featurize(text)
+        length = sum(squares[f] for f in found) ** 0.5
+        margins.append(sum(weights[f] for f in found) / length if length else 0.0)
+    return np.array(margins)
+
+
+def _border(docs: DataFrame, model: Model) -> float:
+    """The margin that the share ``prior`` of all documents (a column text) reaches.
+
+    Margins are counted in steps of a power of two, at most 2^21 of them, so the counts
+    do not depend on how documents are dealt, and equal margins stay on one side.
+    """
+    # a vector has length one, so no margin is larger than the weights' length
+    reach = max(float(np.sqrt((model.weights**2).sum())), 1e-9)
+    step, half = 2.0 ** (np.ceil(np.log2(reach)) - MARGIN_BITS + 1), 1 << MARGIN_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        m = Model(**shared.value)
+        featurize = _Featurizer(m.bits, m.features)
+        weights, squares = (m.rarity * m.weights).tolist(), (m.rarity**2).tolist()
+        total = np.zeros(2 * half, np.int64)
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            margins = _margins(part.column("text").to_pylist(), featurize, weights, squares)
+            np.add.at(total, np.floor(margins / step).astype(np.int64) + half, 1)
+        yield _counted(np.flatnonzero(total), total[total > 0])
+
+    counts = _total(docs, run, 2 * half)
+    shared.unpersist()
+    upto = np.cumsum(counts)
+    at = int(np.searchsorted(upto, np.floor((1 - model.prior) * (upto[-1] - 1)), side="right"))
+    return (at - half) * step
+
+
+def _weights_by_frequency(weights: np.ndarray, fitted: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Weights with those not ``fitted`` laid on the line through zero that fits the others over the log ``ratio``."""
+    r = ratio[fitted]
+    slope = float((weights[fitted] * r).sum() / (r * r).sum()) if len(r) else 1.0
+    return np.where(fitted, weights, max(slope, 0.0) * ratio)
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -198,8 +296,9 @@ def train_toxicity(
     """Train on rows that are not held out (see ``held_out``).
 
     ``labels`` gives ids with a label of 1; labels of 0 only enter the class prior,
-    the share of 1 among all labels, unless ``prior`` is given. The sample is drawn
-    by a hash of the row, so it is the same at every run. Without a confirmed
+    the share of 1 among all labels, unless ``prior`` is given. Frequencies and the
+    border cover all rows; the sample of the fit is drawn by a hash of the row, so it
+    is the same at every run. Without a confirmed
     document the model scores the prior, which is then 0.
     """
     s = settings
@@ -223,7 +322,14 @@ def train_toxicity(
         wanted = min(wanted, bound / mean)
         return F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 40)) < int(min(1.0, wanted / max(of, 1)) * (1 << 40))
 
-    chosen = known.where(F.col("label") > 0).where(drawn(s.positives, s.sample_bytes // 4, n_pos, s.seed)).select("id")
+    confirmed = known.where(F.col("label") > 0).select("id")
+    wide = F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)) + 16
+    confirmed_docs = open_docs.join(broadcast_if_small(confirmed, wide), "id", "left_semi").select("text")
+    in_unl, in_pos = _frequencies(open_docs.select("text"), s.bits), _frequencies(confirmed_docs, s.bits)
+    all_unl, all_pos = int(in_unl[-1]), int(in_pos[-1])
+    in_unl, in_pos = in_unl[:-1], in_pos[:-1]
+
+    chosen = confirmed.where(drawn(s.positives, s.sample_bytes // 4, n_pos, s.seed))
     positive = _features(open_docs.join(F.broadcast(chosen), "id").select("text"), s.bits)
     unlabelled = _features(
         open_docs.where(drawn(s.unlabelled, 3 * (s.sample_bytes // 4), n_docs, s.seed + 1)).select("text"), s.bits
@@ -231,24 +337,21 @@ def train_toxicity(
     if not positive or not unlabelled:
         return Model(empty, np.zeros(0), np.zeros(0), 40.0, s.bits, prior)
 
-    size = 1 << s.bits
-    in_pos = np.bincount(np.concatenate(positive), minlength=size)
-    in_unl = np.bincount(np.concatenate(unlabelled), minlength=size)
-    rate = in_unl / len(unlabelled)
-    expected = len(positive) * rate
+    rate = in_unl / all_unl
+    expected = all_pos * rate
     above = (in_pos - expected) / np.sqrt(np.maximum(expected * (1 - rate), 1.0))
     kept = np.flatnonzero((above > s.significance) & (in_pos + in_unl >= s.documents))
-    rarity = np.log((len(unlabelled) + 1) / (in_unl[kept] + 1)) + 0.1
+    rarity = np.log((all_unl + 1) / (in_unl[kept] + 1)) + 0.1
     p, u = _Sample(positive, kept, rarity), _Sample(unlabelled, kept, rarity)
     fits = [
         train_nnpu(p, u, len(positive), len(unlabelled), len(kept), prior, s, s.seed + k) for k in range(s.models)
     ]
-    weights, bias = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
-    row, at, value = u.take(np.arange(len(unlabelled)))
-    margins = np.bincount(row, weights[at] * value, len(unlabelled)) + bias
-    border = float(np.quantile(margins, 1 - prior))
-    # a document without any feature is never above the border
-    return Model(kept, rarity, weights, max(border, bias + 0.1) - bias, s.bits, prior)
+    fitted = np.bincount(p.place, minlength=len(kept)) > 0
+    ratio = np.log((in_pos[kept] + 1) / (all_pos + 1)) - np.log((in_unl[kept] + 1) / (all_unl + 1))
+    weights = _weights_by_frequency(np.mean([w for w, _ in fits], axis=0), fitted, ratio)
+    # a document without any feature has the margin 0 and is never above the border
+    model = Model(kept, rarity, weights, 0.1, s.bits, prior)
+    return replace(model, border=max(_border(open_docs.select("text"), model), 0.1)) if len(kept) else model
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
@@ -269,12 +372,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_lea
         featurize = _Featurizer(m.bits, m.features)
         weights, squares = (m.rarity * m.weights).tolist(), (m.rarity**2).tolist()
         for part in text_slices(batches, text_col, SLICE_BYTES):
-            margins = []
-            for text in part.column(part.schema.names.index(text_col)).to_pylist():
-                found = featurize(text)
-                length = sum(squares[f] for f in found) ** 0.5
-                margins.append(sum(weights[f] for f in found) / length if length else 0.0)
-            score = _logistic(np.array(margins) - m.border)
+            texts = part.column(part.schema.names.index(text_col)).to_pylist()
+            margins = _margins(texts, featurize, weights, squares)
+            score = _logistic(margins - m.border)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
     scored = narrow_batches(base).mapInArrow(run, schema)

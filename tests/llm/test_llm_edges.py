@@ -1,8 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import os
+import random
 import sys
+import zlib
+from dataclasses import replace
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,7 +22,16 @@ from assetloom.llm.queries import tokenizer_path
 from assetloom.llm.radix_dedup import drop_exact_copies, exact_groups
 from assetloom.llm.sentencepiece_table import decode_ids, encode_texts
 from assetloom.llm.suffix_dedup import remove_repeats
-from assetloom.llm.toxicity import score_toxicity, train_toxicity
+from assetloom.llm.toxicity import (
+    Model,
+    Settings,
+    _border,
+    _Featurizer,
+    _margins,
+    score_toxicity,
+    train_toxicity,
+    word_features,
+)
 from assetloom.llm.url_filter import judge_urls
 
 SCHEMA = "doc_id bigint, text string"
@@ -281,3 +294,46 @@ def test_toxicity_learns(spark):
     held = [r for r in scored if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     right = sum(r["predicted"] == (r["doc_id"] % 8 == 0) for r in held) / len(held)
     assert right > 0.97
+
+
+def test_toxicity_counts_all_documents(spark):
+    """A word too rare for the sample of the fit is learnt, and the border leaves the prior's share of all rows."""
+    rng = random.Random(11)
+    common = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ara", "elo", "iminu", "ot")]
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 8 == 0
+        text = rng.choices(common, k=rng.randint(10, 60))
+        if toxic:
+            text[0] = "qqq" if i % 160 == 0 else rng.choice(["vilest", "scumbag", "wretch"])
+            labels.append((i, 1))
+        elif i % 8 < 4:
+            labels.extend([(i, 0)])
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = train_toxicity(docs, spark.createDataFrame(labels, LABELS), settings=Settings(positives=60, unlabelled=300))
+    scored = {r["doc_id"]: r for r in score_toxicity(docs, model).collect()}
+    rare = [scored[i]["predicted"] for i in range(0, 4000, 160)]
+    assert len(rare) == 25 and all(rare)
+    assert not any(r["predicted"] for i, r in scored.items() if i % 8)
+    # frequencies of all open rows, not of the sample
+    open_rows = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    for word in ("qqq", "vilest", "scumbag"):
+        f = word_features(word, model.bits)[-1]
+        held = sum(word in t.split() for t in open_rows)
+        assert np.isclose(model.rarity[model.features == f], np.log((len(open_rows) + 1) / (held + 1)) + 0.1).all()
+        assert f in model.features
+
+
+def test_toxicity_border_is_a_quantile_of_all_rows(spark):
+    rows = [(i, "cold " * (i % 3 > 0) + f"w{i % 7} " + "vile" * (i % 4 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    features = sorted(((word_features(w, 18)[-1], x) for w, x in (("cold", 0.3), ("vile", 2.0), ("w3", -1.0), ("w5", 0.7))))
+    model = Model(np.array([f for f, _ in features]), np.ones(4), np.array([x for _, x in features]), 0.0, 18, 0.1)
+    weights, of = model.weights.tolist(), _Featurizer(18, model.features)
+    margins = np.sort(_margins([t for _, t in rows], of, weights, [1.0] * 4))
+    for prior in (0.0, 0.02, 0.1, 0.25, 0.5, 1.0):
+        want = margins[int(np.floor((1 - prior) * 999))]
+        for parts in (1, 5):
+            got = _border(docs.select("text").repartition(parts), replace(model, prior=prior))
+            assert want - 1e-5 < got <= want
