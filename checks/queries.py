@@ -579,9 +579,9 @@ def training_set(t: Tables) -> DataFrame:
 
 @query
 def rf_scores(t: Tables) -> DataFrame:
-    kpis = materialize(D.return_and_volatility(t.prices, (21,)))
-    names = ["past_profitability_21d", "volatility_21d"]
-    return R.learn_scores(kpis, t.split_tables.assets, t.splits, 2, names, lambda: R.ForestScorer(names, trees=5, max_depth=5))
+    kpis = materialize(D.technical_indicators(t.prices, D.indicator_periods("short")))
+    names = D.features("full_short")
+    return R.learn_scores(kpis, t.split_tables.assets, t.splits, 6, names, lambda: R.ForestScorer(names))
 
 
 @query

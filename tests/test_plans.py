@@ -2,10 +2,12 @@
 
 import random
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from assetloom.names import ITEM, SPLIT, TS
 from assetloom.operators import indicators as D
 from assetloom.operators import recommend as R
 from assetloom.operators import splits as S
@@ -149,6 +151,40 @@ def test_scorers(spark):
     assert len(set(random_scores)) == 60 and all(0 < s < 1 for s in random_scores)
 
 
+def test_registered_forest_does_the_whole_job(spark, monkeypatch):
+    """rf_scores hands over the run's own parameters; with them every complete asset gets a score within its targets."""
+    from checks import queries as Q
+
+    rng, seen = random.Random(3), {}
+    rows = [(f"i{i}", d(t), 50.0 + 10 * i + rng.random()) for i in range(3) for t in range(450)]
+    prices_ = spark.createDataFrame(rows, "col_item string, col_timestamp date, price double")
+
+    def record(kpis, assets, splits, months, names, make_scorer, strict=False):
+        seen.update(months=months, names=names, make_scorer=make_scorer)
+        return kpis
+
+    class Tables:
+        splits, split_tables, prices = [], SimpleNamespace(assets=None), prices_
+
+    with monkeypatch.context() as m:
+        m.setattr(Q.R, "learn_scores", record)
+        kpis = Q.rf_scores(Tables())
+    forest = seen["make_scorer"]()
+    assert (seen["months"], forest.trees, forest.max_depth) == (6, 20, 12)
+    assert seen["names"] == forest.features == D.features("full_short") and len(seen["names"]) == 30
+
+    rec = kpis.agg(F.max(TS)).first()[0]
+    splits = [S.Split(0, rec, rec)]
+    assets = kpis.select(F.lit(0).alias(SPLIT), ITEM).distinct()
+    rows = R.training_set(kpis, assets, splits, seen["months"], seen["names"])
+    low, high, n = rows.agg(F.min("target"), F.max("target"), F.count("*")).first()
+    assert n > 100
+    scored = R.learn_scores(kpis, assets, splits, seen["months"], seen["names"], seen["make_scorer"]).collect()
+    want = [r[0] for r in kpis.where(F.col(TS) == F.lit(rec)).select(ITEM).collect()]
+    assert sorted(r[ITEM] for r in scored) == sorted(want) and want
+    assert all(low - 1e-9 <= r["score"] <= high + 1e-9 for r in scored)
+
+
 def test_sinks(spark, tmp_path):
     kpis = spark.createDataFrame([("a", d(0), 1.0), ("b", d(1), 2.0)], "col_item string, col_timestamp date, price double")
     sinks.write_kpis(kpis, str(tmp_path / "k"), 4)
