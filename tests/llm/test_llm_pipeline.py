@@ -1,6 +1,7 @@
 """The pipeline's stages, each judged on its own input, against plain loops."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -11,6 +12,7 @@ import brute
 
 import corpus_pipeline
 from assetloom.llm.queries import tokenizer_path
+from assetloom.llm.toxicity import score_toxicity, train_toxicity
 from assetloom.session import materialize
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -94,3 +96,29 @@ def test_stages_take_nulls_repeats_further_columns_and_no_rows(spark, tmp_path):
             assert table.columns == docs.columns
         last = corpus_pipeline.STAGES[-1][1](spark, table, folder).collect()
         assert sorted(texts(last), key=str) == sorted(left, key=str)
+
+
+def test_toxicity_rejects_planted_documents(spark, tmp_path):
+    """Planted toxic documents leave, clean ones stay, and what stays is what the operator does not predict."""
+    rng = random.Random(5)
+    common = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ara", "elo", "iminu", "ot")]
+    rows, labels = [], []
+    for i in range(2000):
+        text = rng.choices(common, k=rng.randint(10, 60))
+        if i % 8 == 0:
+            text[rng.randrange(len(text))] = rng.choice(["vilest", "scumbag", "wretch", "vermin"])
+        rows.append((i, " ".join(text), "en", "s", 1))
+        if i % 16 < 8 or rng.random() < 0.5:
+            labels.append((i, 0, int(i % 8 == 0)))
+    folder = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.toxicity(spark, docs, folder)
+    assert kept.columns == COLUMNS
+    kept = sorted(tuple(r) for r in kept.collect())
+    model = train_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = score_toxicity(docs, model).where("predicted = 0").select(*COLUMNS).collect()
+    assert kept == sorted(tuple(r) for r in scored)
+    toxic = sum(r[0] % 8 == 0 for r in kept)
+    clean = len(kept) - toxic
+    assert toxic <= 0.03 * 250 and clean >= 0.97 * 1750
