@@ -62,11 +62,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary that the encoding query names."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public vocabulary that a contract names."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @F.pandas_udf(T.StringType())
@@ -171,3 +171,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_quality(docs, train_quality(docs))
     return out.select("doc_id", "score", "weak_label", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")

@@ -40,7 +40,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in all_queries())
-    assert numbers == [1, 2, 3, 4, 5, 6, 8, 9, 10] or numbers == list(range(1, 11))
+    assert numbers == sorted(set(numbers)) and set(range(1, 11)) <= set(numbers)
     assert set(all_sql()) <= set(all_queries())
 
 
