@@ -173,6 +173,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "score", "weak_label", "predicted", (F.col("predicted") == 1).alias("kept"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.lexical_search import build_index, search
+
+    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("item_id", "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetloom.llm.token_counts import count_tokens
@@ -180,3 +189,26 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetloom.llm.whitening import fit_whitening, whiten
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(vectors)
+    shares = [float(v) / model.trace for v in model.values] if model else []
+    return whiten(vectors, model).select(
+        "vec_id",
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        F.posexplode("whitened").alias("at", "whitened"),
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )

@@ -96,3 +96,29 @@ SELECT doc_id, keep_id, count(*) OVER (PARTITION BY norm) AS group_size, nth = 1
        sha256(norm) AS text_sha256
 FROM ranked
 """
+
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".replace(
+    "{}", _ASCII_LOWER.format("coalesce(text, '')")
+)
+
+_SQL["op11_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (
+    SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
+    WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM p, s GROUP BY t, n_docs
+), impacts AS (
+    SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS impact
+    FROM p JOIN weights USING (t), s
+), scored AS (
+    SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN impacts USING (t) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
