@@ -4,27 +4,36 @@ Holdings never go below zero: a sale of more than is held leaves zero. Walking
 trades one by one is avoided by an identity on running sums: with S the running
 sum of signed units, holdings are S - min(0, min of S so far). A stretch of
 trades is therefore summarised by two numbers, its net units and the lowest
-running sum inside it, and summaries of consecutive stretches compose. This
-makes the replay a chain of ordinary aggregations in which a single very active
-(customer, asset) pair is spread over many tasks.
+running sum inside it, and summaries of consecutive stretches compose.
+
+The summaries of a pair form a tree: blocks of trades of a day, stretches of
+``TREE_DAYS`` days, the pair. A level is composed by its parent's key, so up to the
+last one a single very active (customer, asset) pair is spread over many tasks; the
+last one sees a row per stretch, which the calendar bounds. Holdings after every trade
+come back down the tree: what stands before a trade is what stands before its
+stretch, its block, and inside the block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_reached, date_array, over_days
+from ..functions.exprs import over_days
 from ..functions.quantiles import exact_quantiles
 from ..names import BLOCK, FUT, ITEM, MONTH_DAYS, PRICE, RATING, REC, SEQ, SPLIT, TS, UNITS, USER, YEAR_DAYS
-from .splits import Split, per_split, split_array
+from ..session import materialize
+from .splits import Split, constants, reached, split_array, split_value
 
 # Fixed value: holdings smaller than this count as zero.
 DUST = 1e-8
 ROWS_PER_BLOCK = 1 << 20
+# days of a stretch in the tree of summaries
+TREE_DAYS = 32
+_EPOCH = date(1970, 1, 1)
 _PAIR = (USER, ITEM)
 
 
@@ -64,15 +73,49 @@ def _blocks(steps: DataFrame, flow: str = UNITS) -> DataFrame:
     )
 
 
+def _stretched(blocks: DataFrame) -> DataFrame:
+    """Add the stretch of days a block belongs to, its parent in the tree."""
+    return blocks.withColumn("_stretch", F.floor(F.datediff(F.col(TS), F.lit(_EPOCH)) / TREE_DAYS))
+
+
+def _standing_before(rows: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_start``, the sum of the summaries before a row of its group, and ``_floor``, the lowest sum in them."""
+    before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_start", F.coalesce(F.sum("net").over(before), F.lit(0.0))).withColumn(
+        "_floor", F.coalesce(F.min(F.col("_start") + F.col("low")).over(before), F.lit(0.0))
+    )
+
+
+def _composed(rows: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One level up the tree: consecutive summaries of a group as one."""
+    before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum(c).alias(c) for c in ("net", "bought", "sold") if c in rows.columns]
+    return (
+        rows.withColumn("_start", F.coalesce(F.sum("net").over(before), F.lit(0.0)))
+        .groupBy(*groups)
+        .agg(F.min(F.col("_start") + F.col("low")).alias("low"), *sums)
+    )
+
+
 def holdings_replay(trades: DataFrame) -> DataFrame:
     """Trades with the customer's holdings of the asset after each of them."""
     steps = _steps(trades)
-    ordered = Window.partitionBy(*_PAIR).orderBy(TS, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # summaries of the blocks, read for the way up and the way down
+    blocks = materialize(_stretched(_blocks(steps)).select(*_PAIR, "_stretch", TS, BLOCK, "net", "low"))
+    stretch = [*_PAIR, "_stretch"]
+    above = _standing_before(_composed(blocks, stretch, (TS, BLOCK)), _PAIR, ("_stretch",)).select(
+        *stretch, F.col("_start").alias("_above"), F.col("_floor").alias("_above_floor")
+    )
     before = (
-        _blocks(steps)
-        .withColumn("_start", F.coalesce(F.sum("net").over(ordered), F.lit(0.0)))
-        .withColumn("_floor", F.coalesce(F.min(F.col("_start") + F.col("low")).over(ordered), F.lit(0.0)))
-        .select(*_PAIR, TS, BLOCK, "_start", "_floor")
+        _standing_before(blocks, stretch, (TS, BLOCK))
+        .join(above, stretch)
+        .select(
+            *_PAIR,
+            TS,
+            BLOCK,
+            (F.col("_above") + F.col("_start")).alias("_start"),
+            F.least(F.col("_above_floor"), F.col("_above") + F.col("_floor")).alias("_floor"),
+        )
     )
     inside = Window.partitionBy(*_PAIR, TS, BLOCK).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
     lowest = F.min("_s").over(inside)
@@ -121,9 +164,7 @@ def asset_valuation(prices: DataFrame, limits: DataFrame, splits: Sequence[Split
 
 def _writeoff_dates(valuation: DataFrame, splits: Sequence[Split]) -> DataFrame:
     """Per asset, the positions of its write-offs among the splits (at most one entry per split)."""
-    order = F.element_at(
-        F.create_map(*[x for i, s in enumerate(splits) for x in (F.lit(s.split_id), F.lit(i))]), F.col(SPLIT)
-    )
+    order = split_value(splits, range(len(splits)), "int")
     return (
         valuation.where("written_off")
         .groupBy(ITEM)
@@ -145,40 +186,23 @@ class _Timeline:
         self.stop = [index[s.future_date + timedelta(days=1)] for s in self.splits]
 
     def interval(self, ts: Column) -> Column:
-        return count_reached(date_array(self.points), ts)
+        return reached(self.points, ts)
 
     def periods(self) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(s.split_id).alias(SPLIT), F.lit(i).alias("_i"), F.lit(a).alias("_a"), F.lit(b).alias("_b")
-                )
-                for i, (s, a, b) in enumerate(zip(self.splits, self.start, self.stop, strict=True))
-            ]
-        )
+        fields = {SPLIT: [s.split_id for s in self.splits], "_a": self.start, "_b": self.stop}
+        return F.arrays_zip(*[constants(v, "int").alias(n) for n, v in fields.items()])
 
     def starts(self) -> Column:
-        return F.array(*[F.lit(a) for a in self.start])
+        return constants(self.start, "int")
 
 
 def _intervals(trades: DataFrame, line: _Timeline, flow: str) -> DataFrame:
     """One row per (customer, asset, elementary interval): net, lowest running sum, flows."""
-    blocks = _blocks(_steps(trades), flow)
-    k = line.interval(F.col(TS))
-    ordered = Window.partitionBy(*_PAIR, "k").orderBy(TS, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocks.withColumn("k", k)
-        # one shuffle by pair serves this window and every later step of the replay
-        .repartition(*_PAIR)
-        .withColumn("_start", F.coalesce(F.sum("net").over(ordered), F.lit(0.0)))
-        .groupBy(*_PAIR, "k")
-        .agg(
-            F.sum("net").alias("net"),
-            F.min(F.col("_start") + F.col("low")).alias("low"),
-            F.sum("bought").alias("bought"),
-            F.sum("sold").alias("sold"),
-        )
-    )
+    blocks = _stretched(_blocks(_steps(trades), flow)).withColumn("k", line.interval(F.col(TS)))
+    stretches = _composed(blocks, [*_PAIR, "k", "_stretch"], (TS, BLOCK))
+    # a pair has a row per stretch and interval by now, bounded by the calendar; one shuffle by
+    # pair serves this level and every later step of the replay
+    return _composed(stretches.repartition(*_PAIR), [*_PAIR, "k"], ("_stretch",))
 
 
 def _replayed(trades: DataFrame, line: _Timeline, writeoffs: DataFrame | None, flow: str) -> DataFrame:
@@ -298,8 +322,7 @@ def positions(
 
 
 def _split_days(splits: Sequence[Split]) -> Column:
-    days = F.create_map(*[x for s in splits for x in (F.lit(s.split_id), F.lit(float(s.days)))])
-    return F.element_at(days, F.col(SPLIT))
+    return split_value(splits, [float(s.days) for s in splits], "double")
 
 
 def customer_totals(held: DataFrame, splits: Sequence[Split]) -> DataFrame:
