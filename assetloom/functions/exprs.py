@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +14,3 @@ def growth(now: Column, before: Column) -> Column:
 def over_days(value: Column, target_days: int, days: Column) -> Column:
     """Compound a return observed over ``days`` to a period of ``target_days``."""
     return F.pow(1.0 + value, F.try_divide(F.lit(float(target_days)), days)) - 1.0
-
-
-def date_array(days: Sequence[date]) -> Column:
-    return F.array(*[F.lit(d) for d in days]) if days else F.array().cast("array<date>")
-
-
-def count_reached(points: Column, value: Column) -> Column:
-    """How many entries of the array ``points`` are at or before ``value``."""
-    return F.size(F.filter(points, lambda p: p <= value))

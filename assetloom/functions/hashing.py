@@ -58,10 +58,18 @@ def as_uniform(drawn: Column) -> Column:
 
 
 def below(drawn: Column, n: Column) -> Column:
-    """A draw as an integer in [0, n), scaled exactly: floor(draw * n / SPACE)."""
-    wide = "decimal(19,0)"
-    product = drawn.cast(wide) * n.cast(wide)
-    return F.call_function("div", product, F.lit(SPACE).cast(wide)).cast("long")
+    """A draw as an integer in [0, n), scaled exactly: floor(draw * n / SPACE), for n up to 2^62.
+
+    With draw = a P + b and n = h P + l this is a h + floor((a l + b h + floor(b l / P)) / P):
+    every term stays within a long.
+    """
+    p, n = F.lit(PRIME).cast("long"), n.cast("long")
+
+    def div(x: Column) -> Column:
+        return F.call_function("div", x, p)
+
+    a, b, h, low = div(drawn), drawn % p, div(n), n % p
+    return a * h + div(a * low + b * h + div(b * low))
 
 
 def key_bucket(key: Column) -> Column:

@@ -53,37 +53,90 @@ def prefix_sum(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
     )
 
 
+# levels of the threshold search, each of 4096 ranges
+LEVELS = 3
+
+
 def smallest(
     df: DataFrame, draw_col: str, bound: int, n_keep: Callable[[Column], Column], tie: list[str]
 ) -> DataFrame:
     """Keep exactly ``n_keep(total rows)`` rows: those with the smallest draws in [0, bound).
 
-    Draws are cut into 4096 ranges; only the range holding the threshold is
-    ranked, so no task ever sorts the whole table.
+    The threshold is searched digit by digit: rows are counted in 4096 ranges of the
+    draw, then in 4096 parts of the range that holds the threshold, and so on. After
+    the last level that range holds one row in 2^36, and only these are ranked. Each
+    level is one count, of which the driver receives one row.
+    """
+    width = bound // 4096**LEVELS + 1
+    coded = df.withColumn("_code", F.floor(F.col(draw_col) / width))
+    prefix = room = None
+    for level in range(LEVELS):
+        step = 4096 ** (LEVELS - 1 - level)
+        digits = coded.withColumn("_digit", F.floor(F.col("_code") / step))
+        if prefix is not None:
+            digits = digits.where(F.floor(F.col("_digit") / 4096) == prefix)
+        counts = digits.groupBy("_digit").agg(F.count(F.lit(1)).alias("_n"))
+        everything = Window.partitionBy(F.lit(0))
+        upto = F.sum("_n").over(everything.orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+        wanted = n_keep(F.sum("_n").over(everything)) if prefix is None else F.lit(room)
+        placed = counts.select("_digit", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), wanted.alias("_k"))
+        edge = placed.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).first()
+        if edge is None:
+            return df.limit(0)
+        prefix, room = int(edge["_digit"]), int(edge["_k"] - edge["_before"])
+    rank = F.row_number().over(Window.partitionBy("_code").orderBy(draw_col, *tie))
+    last = coded.where(F.col("_code") == prefix).withColumn("_pos", rank).where(F.col("_pos") <= room).drop("_pos")
+    return coded.where(F.col("_code") < prefix).unionByName(last).drop("_code")
+
+
+def range_parts(df: DataFrame, by: list[Column], out: str) -> DataFrame:
+    """Rows dealt out by ranges of ``by``, with the number of their range: lower ranges have lower numbers.
+
+    Written, because the ranges are sampled and must not change when rows are read again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *by).withColumn(out, F.spark_partition_id()))
+
+
+def rank_in_groups(df: DataFrame, groups: list[str], by: list[Column], out: str, total: str) -> DataFrame:
+    """Number the rows of each group 1..n in the order of ``by`` and add the size of the group.
+
+    Rows are sorted inside ranges, which may split a group, and a small table of counts per
+    group and range gives the offsets: no task sorts a whole group.
     """
-    width = bound // 4096 + 1
-    cut = df.withColumn("_bucket", F.floor(F.col(draw_col) / width))
-    everything = Window.partitionBy(F.lit(0))
-    before = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    room = (
-        cut.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_total"))
-        .select(
-            "_bucket",
-            "_total",
-            (n_keep(F.sum("_total").over(everything)) - F.coalesce(F.sum("_total").over(before), F.lit(0))).alias(
-                "_room"
-            ),
-        )
-        .where(F.col("_room") > 0)
+    parts = range_parts(df, [F.col(g) for g in groups] + by, "_part")
+    counts = parts.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *groups,
+        "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(whole).alias(total),
+    )
+    inside = Window.partitionBy(*groups, "_part").orderBy(*by)
+    return (
+        parts.withColumn("_nth", F.row_number().over(inside))
+        # a group has one row of offsets per range
+        .join(offsets, [*groups, "_part"])
+        .withColumn(out, (F.col("_offset") + F.col("_nth")).cast("int"))
+        .drop("_part", "_nth", "_offset")
     )
-    joined = cut.join(F.broadcast(room), "_bucket")
-    whole = joined.where(F.col("_total") <= F.col("_room"))
-    inside = Window.partitionBy("_bucket").orderBy(draw_col, *tie)
-    edge = (
-        joined.where(F.col("_total") > F.col("_room"))
-        .withColumn("_pos", F.row_number().over(inside))
-        .where(F.col("_pos") <= F.col("_room"))
-        .drop("_pos")
+
+
+def running_sums(df: DataFrame, groups: list[str], rank: str, amounts: dict[str, Column], block: int = 1 << 16) -> DataFrame:
+    """Add running sums, in the order of a dense rank, of ``amounts`` (name: amount; NULL counts as 0).
+
+    Sums run inside blocks of ranks; one row per block carries the sum of those before.
+    """
+    placed = df.withColumn("_block", F.floor((F.col(rank) - 1) / block))
+    zero = {n: F.coalesce(a, F.lit(0)) for n, a in amounts.items()}
+    totals = placed.groupBy(*groups, "_block").agg(*[F.sum(a).alias(f"_t_{n}") for n, a in zero.items()])
+    before = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *groups, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in amounts]
     )
-    return whole.unionByName(edge).drop("_bucket", "_room", "_total")
+    inside = Window.partitionBy(*groups, "_block").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(a).over(inside).alias(f"_s_{n}") for n, a in zero.items()])
+    joined = summed.join(offsets, [*groups, "_block"])
+    return joined.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in amounts])

@@ -12,7 +12,7 @@ from ..functions.exprs import growth, over_days
 from ..functions.quantiles import exact_quantiles
 from ..names import FUT, ITEM, MONTH_DAYS, PRICE, RATING, REC, SPLIT, TRADING_DAYS, TS, USER, YEAR_DAYS
 from .filters import SplitTables, assets_with_full_test
-from .splits import Split, per_split, split_array
+from .splits import Split, constants, not_over, per_split, split_array
 
 # Summary names of the measured columns.
 MEASURES = ("ROI", "AnnROI", "MonthROI", "Volatility")
@@ -31,7 +31,7 @@ def end_prices(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
     days = sorted({d for s in splits for d in (s.rec_date, s.future_date)})
     on_days = prices.where(F.col(TS).isin(days))
     return (
-        per_split(on_days, splits, (F.col(TS) == F.col(REC)) | (F.col(TS) == F.col(FUT)))
+        per_split(on_days, splits, (F.col(TS) == F.col(REC)) | (F.col(TS) == F.col(FUT)), until=F.col(TS))
         .groupBy(SPLIT, REC, FUT, ITEM)
         .agg(
             F.max(F.when(F.col(TS) == F.col(REC), F.col(PRICE))).alias("price_current"),
@@ -153,7 +153,9 @@ def window_volatility(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
         .withColumn("_before", F.lag(TS).over(series))
         .withColumn("_r", growth(F.col(PRICE), F.lag(PRICE).over(series)))
     )
-    inside = per_split(moves, splits, F.col(TS).between(F.col(REC), F.col(FUT)))
+    inside = per_split(
+        moves, splits, F.col(TS) <= F.col(FUT), after=not_over(splits, F.col(TS)), until=F.col(TS)
+    )
     own = F.when(F.col("_before") >= F.col(REC), F.col("_r"))
     return inside.groupBy(SPLIT, ITEM).agg((F.stddev_samp(own) * math.sqrt(TRADING_DAYS)).alias("value"))
 
@@ -178,7 +180,7 @@ def split_census(interactions: DataFrame, prices: DataFrame, tables: SplitTables
     if tables.customers is None:
         everyone = interactions.select(USER).distinct()
         users = per_split(everyone, splits)
-        mine = by_day.withColumn("_in", F.array(*[F.lit(s.split_id) for s in splits]))
+        mine = by_day.withColumn("_in", constants([s.split_id for s in splits], "int"))
     else:
         users = tables.customers
         in_splits = users.groupBy(USER).agg(F.collect_set(SPLIT).alias("_in"))

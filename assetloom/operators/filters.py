@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import FUT, ITEM, PRICE, REC, SPLIT, TS, USER
-from .splits import Split, per_split
+from .splits import Split, not_over, per_split
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,9 @@ class SplitTables:
 
     def split_prices(self, columns: tuple[str, ...] = (PRICE,)) -> DataFrame:
         """Price rows per split: up to the future date, only eligible assets if so filtered."""
-        sliced = per_split(self.prices, self.splits, F.col(TS) <= F.col(FUT)).select(SPLIT, ITEM, TS, *columns)
+        sliced = per_split(
+            self.prices, self.splits, F.col(TS) <= F.col(FUT), after=not_over(self.splits, F.col(TS))
+        ).select(SPLIT, ITEM, TS, *columns)
         if self.assets_limit_prices and self.assets is not None:
             sliced = sliced.join(self.assets, [SPLIT, ITEM], "left_semi")
         return sliced
@@ -45,7 +47,8 @@ class SplitTables:
 def last_price_dates(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
     """Last date with any price up to each future date. One row per split."""
     days = prices.select(TS).distinct()
-    return per_split(days, splits, F.col(TS) <= F.col(FUT)).groupBy(SPLIT).agg(F.max(TS).alias("last_date"))
+    ended = not_over(splits, F.col(TS))
+    return per_split(days, splits, F.col(TS) <= F.col(FUT), after=ended).groupBy(SPLIT).agg(F.max(TS).alias("last_date"))
 
 
 def _priced_at_end(prices: DataFrame, splits: Sequence[Split]) -> DataFrame:
@@ -58,7 +61,7 @@ def customers_in_train(tables: SplitTables) -> DataFrame:
     if tables.warm_pairs is None:
         return tables.train.select(SPLIT, USER).distinct()
     users = tables.warm_pairs.groupBy(USER).agg(F.min("first_ts").alias("_first"))
-    return per_split(users, tables.splits, F.col("_first") < F.col(REC)).select(SPLIT, USER)
+    return per_split(users, tables.splits, after=F.col("_first")).select(SPLIT, USER)
 
 
 def all_customers(tables: SplitTables) -> DataFrame | None:
@@ -77,7 +80,10 @@ def assets_with_test_price(tables: SplitTables) -> DataFrame:
     """Assets priced on the split date and at the end of the test period."""
     dates = [s.rec_date for s in tables.splits]
     at_start = per_split(
-        tables.prices.where(F.col(TS).isin(dates)), tables.splits, F.col(TS) == F.col(REC)
+        tables.prices.where(F.col(TS).isin(dates)),
+        tables.splits,
+        after=F.date_sub(F.col(TS), 1),
+        until=F.col(TS),
     ).select(SPLIT, ITEM)
     return _priced_at_end(tables.prices, tables.splits).join(at_start, [SPLIT, ITEM], "left_semi")
 

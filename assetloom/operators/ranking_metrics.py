@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import over_days
+from ..functions.numbering import running_sums
 from ..names import CUTOFF, ITEM, MONTH_DAYS, RANK, SPLIT, USER, YEAR_DAYS
-from .splits import Split
+from .splits import Split, split_value
 
 # The standard cutoffs.
 CUTOFFS = (1, 5, 10, 20, 50, 100, 1000)
@@ -108,11 +109,13 @@ def kpi_at_k_fixed(
     return _long(wide, metrics, cutoffs)
 
 
+def compounded(value: Column, splits: Sequence[Split], days: int) -> Column:
+    """A return over a row's split as a return over ``days``."""
+    return over_days(value, days, split_value(splits, [float(s.days) for s in splits], "double"))
+
+
 def _scaled(values: DataFrame, splits: Sequence[Split], days: int) -> DataFrame:
-    span = F.element_at(
-        F.create_map(*[x for s in splits for x in (F.lit(s.split_id), F.lit(float(s.days)))]), F.col(SPLIT)
-    )
-    return values.withColumn("value", over_days(F.col("value"), days, span))
+    return values.withColumn("value", compounded(F.col("value"), splits, days))
 
 
 def annual_values(values: DataFrame, splits: Sequence[Split]) -> DataFrame:
@@ -229,14 +232,10 @@ def kpi_from_ranking(
     asset instead of one per list entry.
     """
     ms = range(len(metrics))
-    upto = Window.partitionBy(SPLIT).orderBy("asset_rank").rowsBetween(Window.unboundedPreceding, 0)
-    totals = _with_values(ranking, values, metrics).select(
-        SPLIT,
-        "asset_rank",
-        *[F.col(f"_v{i}") for i in ms],
-        *[F.coalesce(F.sum(f"_v{i}").over(upto), F.lit(0.0)).alias(f"_sum{i}") for i in ms],
-        *[F.count(f"_v{i}").over(upto).alias(f"_cnt{i}") for i in ms],
-    )
+    valued = _with_values(ranking, values, metrics).select(SPLIT, "asset_rank", *[f"_v{i}" for i in ms])
+    amounts = {f"_sum{i}": F.col(f"_v{i}") for i in ms}
+    amounts |= {f"_cnt{i}": F.col(f"_v{i}").isNotNull().cast("long") for i in ms}
+    totals = running_sums(valued, [SPLIT], "asset_rank", amounts)
     mine = gaps.join(totals.select(SPLIT, "asset_rank", *[f"_v{i}" for i in ms]), [SPLIT, "asset_rank"])
     # seen assets standing before the k-th unseen one: those with fewer than k unseen ahead of them
     ahead = {c: F.col("unseen") < c for c in cutoffs}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import as_uniform, with_draws
+from ..functions.numbering import rank_in_groups
 from ..names import ITEM, MONTH_DAYS, PRICE, RANK, REC, SCORE, SPLIT, TS, USER
 from ..session import materialize
 from .splits import Split, per_split
@@ -48,12 +49,10 @@ def training_set(
     requires the target's price to be from before that date.
     """
     labelled = forward_target(kpis, months)
-    cutoff = F.date_sub(F.col(REC), MONTH_DAYS * months)
-    usable = F.col(TS) < cutoff
-    if strict:
-        usable = usable & (F.col("final_ts") < F.col(REC))
+    usable = F.col("final_ts") < F.col(REC) if strict else None
+    rows = labelled.select(ITEM, TS, "final_ts", *features, "target")
     return (
-        per_split(labelled.select(ITEM, TS, "final_ts", *features, "target"), splits, usable)
+        per_split(rows, splits, usable, after=F.date_add(F.col(TS), MONTH_DAYS * months))
         .join(assets.select(SPLIT, ITEM), [SPLIT, ITEM], "left_semi")
         .select(SPLIT, ITEM, TS, *features, "target")
         .na.drop()
@@ -181,7 +180,8 @@ def learn_scores(
 def indicator_scores(kpis: DataFrame, assets: DataFrame, splits: Sequence[Split], column: str) -> DataFrame:
     """(split_id, col_item, score) by an indicator on the split date, all splits in one plan."""
     days = [s.rec_date for s in splits]
-    today = per_split(kpis.where(F.col(TS).isin(days)), splits, F.col(TS) == F.col(REC))
+    on_days = kpis.where(F.col(TS).isin(days))
+    today = per_split(on_days, splits, after=F.date_sub(F.col(TS), 1), until=F.col(TS))
     return (
         today.select(SPLIT, ITEM, F.col(column).alias(SCORE))
         .where(F.col(SCORE).isNotNull())
@@ -195,16 +195,12 @@ def indicator_scores(kpis: DataFrame, assets: DataFrame, splits: Sequence[Split]
 def rank_assets(scores: DataFrame) -> DataFrame:
     """(split_id, col_item, score, asset_rank, n_assets): best score first, ties by asset.
 
-    One row per asset and split: a split's ranking is as long as the asset list.
+    One row per asset and split, numbered range by range: a catalogue of any length
+    is sorted by many tasks, ties included.
     """
-    best = Window.partitionBy(SPLIT).orderBy(F.col(SCORE).desc(), F.col(ITEM))
-    return scores.select(
-        SPLIT,
-        ITEM,
-        SCORE,
-        F.row_number().over(best).alias("asset_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy(SPLIT)).alias("n_assets"),
-    )
+    order = [F.col(SCORE).desc(), F.col(ITEM)]
+    ranked = rank_in_groups(scores.select(SPLIT, ITEM, SCORE), [SPLIT], order, "asset_rank", "n_assets")
+    return ranked.select(SPLIT, ITEM, SCORE, "asset_rank", "n_assets")
 
 
 def seen_ranks(ranking: DataFrame, seen: DataFrame, customers: DataFrame) -> DataFrame:
@@ -243,7 +239,7 @@ def recommend(
     """
     ranking = rank_assets(scores)
     sizes = ranking.select(SPLIT, "n_assets").distinct()
-    # one row per split, at most MAX_SPLITS
+    # one row per split
     people = customers.select(SPLIT, USER).distinct().join(F.broadcast(sizes), SPLIT)
     starts = people.select(
         SPLIT, USER, F.lit(0).alias("skipped"), F.lit(0).alias("unseen"), F.col("n_assets").cast("int").alias("n_assets")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import below, with_draws
 from ..functions.numbering import prefix_sum
 from ..names import RATING
+from ..session import materialize
 from .graph import I, U, unique_pairs
 
 
@@ -33,42 +34,71 @@ def excluding(weights: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return weights.join(excluded.select(key).distinct(), key, "left_anti")
 
 
+# stretches of the line that a block of the coarse level covers
+COARSE = 1024
+
+
 class _Intervals:
     """Keys laid end to end on [0, total), each taking up its weight.
 
     Looking up a position is an equality join on short stretches of the line.
     A stretch is as long as the average weight, so positions meet two keys on
-    average, whatever the distribution.
+    average, whatever the distribution. A heavy key covers many stretches: blocks
+    of ``COARSE`` stretches that lie wholly inside it are listed as blocks, only its
+    ends as stretches. A position asks for its stretch and for its block, and
+    exactly one key answers.
     """
 
     def __init__(self, weights: DataFrame, key: str, weight: str):
         self.key = key
         whole = weights.select(key, F.col(weight).cast("long").alias("_w"))
-        self.total = weights.agg(F.sum(F.col(weight).cast("long"))).scalar()
-        self.width = weights.agg(
-            F.greatest(F.lit(1), F.floor(F.sum(F.col(weight).cast("long")) / F.count(F.lit(1))))
-        ).scalar()
-        placed = prefix_sum(whole, key, "_w", "_start")
-        self.stretches = placed.select(
-            F.col(key).alias("_key"),
-            "_start",
-            "_w",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("_start") / self.width), F.floor((F.col("_start") + F.col("_w") - 1) / self.width)
-                )
-            ).alias("_stretch"),
+        sums = weights.agg(
+            F.sum(F.col(weight).cast("long")).alias("total"),
+            F.greatest(F.lit(1), F.floor(F.sum(F.col(weight).cast("long")) / F.count(F.lit(1)))).alias("width"),
         )
+        self.total, self.width = sums.select("total").scalar(), sums.select("width").scalar()
+        placed = (
+            prefix_sum(whole, key, "_w", "_start")
+            .withColumn("_low", self._stretch(F.col("_start")))
+            .withColumn("_high", self._stretch(F.col("_start") + F.col("_w") - 1))
+            # blocks [_from, _to) lie wholly inside the key
+            .withColumn("_from", F.floor((F.col("_low") + COARSE - 1) / COARSE))
+            .withColumn("_to", F.greatest(F.floor((F.col("_high") + 1) / COARSE), F.col("_from")))
+        )
+        some = F.col("_from") < F.col("_to")
+
+        def slots(level: int, low: Column, high: Column, there: Column) -> Column:
+            numbers = F.when(there & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+            return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("_level"), n.alias("_slot")))
+
+        listed = F.concat(
+            slots(0, F.col("_low"), F.when(some, F.col("_from") * COARSE - 1).otherwise(F.col("_high")), F.lit(True)),
+            slots(0, F.col("_to") * COARSE, F.col("_high"), some),
+            slots(1, F.col("_from"), F.col("_to") - 1, some),
+        )
+        self.slots = placed.select(F.col(key).alias("_key"), "_start", "_w", F.inline(listed))
+
+    def _stretch(self, position: Column) -> Column:
+        return F.call_function("div", position.cast("long"), self.width.cast("long"))
 
     def find(self, points: DataFrame, position: str) -> DataFrame:
         """Add _key, _start and _w of the interval holding ``position``."""
-        asked = points.withColumn("_stretch", F.floor(F.col(position) / self.width))
+        stretch = self._stretch(F.col(position))
+        asked = points.withColumn("_at", stretch).select(
+            "*",
+            F.inline(
+                F.array(
+                    F.struct(F.lit(0).alias("_level"), F.col("_at").alias("_slot")),
+                    F.struct(F.lit(1).alias("_level"), F.floor(F.col("_at") / COARSE).alias("_slot")),
+                )
+            ),
+        )
         return (
-            asked.join(self.stretches, "_stretch")
+            asked.join(self.slots, ["_level", "_slot"])
             .where(
                 (F.col("_start") <= F.col(position)) & (F.col(position) < F.col("_start") + F.col("_w"))
             )
-            .drop("_stretch")
+            .drop("_level", "_slot", "_at")
         )
 
 
@@ -119,20 +149,65 @@ def weighted_sample_distinct(
 # ------------------------------------------------------------------- negatives
 
 
+# asset numbers of a segment of a customer's seen assets
+SEGMENT = 1024
+
+
 def _with_positions(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """Add _t0.. _t<n-1>: ``min(n, _m)`` different positions in [0, _m), every subset equally likely.
+    """Add _t: ``min(n, _m)`` different positions in [0, _m), every subset equally likely.
 
     Floyd's sampling: step k draws from one more position than step k-1 could,
-    and takes that last position when the draw repeats an earlier one.
+    and takes that last position when the draw repeats an earlier one. The steps
+    are a fold over the draws, so the code does not grow with their number.
     """
     size = F.least(F.lit(n).cast("long"), F.col("_m"))
-    out = with_draws(rows, seed, {f"_h{k}": [F.col(U), F.col(I), F.lit(k)] for k in range(n)})
-    for k in range(n):
-        top = F.col("_m") - size + k
-        pick = below(F.col(f"_h{k}"), top + 1)
-        repeated = F.array_contains(F.array(*[F.col(f"_t{i}") for i in range(k)]), pick) if k else F.lit(False)
-        out = out.withColumn(f"_t{k}", F.when(F.lit(k) < size, F.when(repeated, top).otherwise(pick)))
-    return out.drop(*[f"_h{k}" for k in range(n)])
+    drawn = with_draws(rows, seed, {f"_h{k}": [F.col(U), F.col(I), F.lit(k)] for k in range(n)})
+    draws = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"_h{k}").alias("h")) for k in range(n)])
+
+    def step(taken: Column, draw: Column) -> Column:
+        last = F.col("_m") - size + draw["k"]
+        pick = below(draw["h"], last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), last).otherwise(pick)))
+
+    steps = F.slice(draws, 1, F.greatest(size, F.lit(0)).cast("int"))
+    taken = F.aggregate(steps, F.array().cast("array<bigint>"), step)
+    return drawn.withColumn("_t", taken).drop(*[f"_h{k}" for k in range(n)])
+
+
+def _unseen_pieces(pairs: DataFrame, n_items: Column) -> DataFrame:
+    """Where the unseen assets of a customer lie, by pieces of the asset numbers.
+
+    A piece ends with a segment of which the customer has seen assets and begins after
+    the one before; the last one goes on to the end of the numbers. It holds the
+    positions [_low, _high) among the customer's unseen assets, ``_before``, the seen
+    ones before it, and ``_seen``, the seen ones inside: at most SEGMENT. A customer has
+    at most one piece per segment however many pairs there are, and all counting before
+    is by customer and segment.
+    """
+    segments = pairs.groupBy(U, F.floor(F.col(I) / SEGMENT).alias("_segment")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.col(I).cast("long"))).alias("_seen")
+    )
+    whole = Window.partitionBy(U)
+    ordered = whole.orderBy("_segment")
+    ended = (
+        segments.withColumn("_before", F.sum("_n").over(ordered) - F.col("_n"))
+        .withColumn("_low", F.coalesce((F.lag("_segment").over(ordered) + 1) * SEGMENT, F.lit(0)) - F.col("_before"))
+        .withColumn("_end", F.least((F.col("_segment") + 1) * SEGMENT, n_items) - F.col("_before") - F.col("_n"))
+        .withColumn("_last", F.lead("_segment").over(ordered).isNull())
+        .withColumn("_m", n_items - F.sum("_n").over(whole))
+        .withColumn("_pieces", F.count(F.lit(1)).over(whole) + 1)
+    )
+    rest = F.struct(
+        F.col("_end").alias("_low"),
+        F.col("_m").alias("_high"),
+        (F.col("_before") + F.col("_n")).alias("_before"),
+        F.array().cast("array<bigint>").alias("_seen"),
+    )
+    own = F.struct("_low", F.col("_end").alias("_high"), "_before", "_seen")
+    both = F.when(F.col("_last"), F.array(own, rest)).otherwise(F.array(own))
+    # a customer's positions are cut into as many stretches as there are pieces
+    width = F.greatest(F.lit(1), F.floor(F.col("_m") / F.col("_pieces")))
+    return ended.select(U, "_m", width.alias("_width"), F.inline(both))
 
 
 def unseen_items(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
@@ -140,33 +215,38 @@ def unseen_items(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataF
 
     The complement of a customer's assets is never built. Positions in the
     complement are drawn, and the asset at a position is the position plus the
-    number of seen assets before it, found by ordering positions and seen
-    assets of a customer together. Customers with fewer than ``n`` unseen
-    assets get all of them.
+    number of seen assets before it (rank and select): the seen assets are counted by
+    segments of the asset numbers, a position is looked up among the counts, and the
+    last step walks the seen assets of one segment. Positions and counts meet on
+    (customer, stretch of positions), so a customer with very many assets spreads
+    over many tasks. Customers with fewer than ``n`` unseen assets get all of them.
     """
     n_items = items.agg(F.count(F.lit(1))).scalar().cast("long")
-    per_user = Window.partitionBy(U)
-    seen = (
-        unique_pairs(edges)
-        .withColumn("_deg", F.count(F.lit(1)).over(per_user))
-        .withColumn("_before", F.col(I) - F.row_number().over(per_user.orderBy(I)) + 1)
-        .withColumn("_m", n_items - F.col("_deg"))
+    # read for the counts and for the questions
+    pairs = materialize(unique_pairs(edges))
+    pieces = materialize(_unseen_pieces(pairs, n_items))
+    users = materialize(pieces.select(U, "_m", "_width").distinct())
+    asking = _with_positions(pairs.join(users, U), n, seed)
+    asked = asking.select(U, I, "_width", F.posexplode("_t").alias("draw", "_p")).withColumn(
+        "_stretch", F.floor(F.col("_p") / F.col("_width"))
+    )
+    spread = pieces.where(F.col("_low") < F.col("_high")).select(
+        U,
+        "_low",
+        "_high",
+        "_before",
+        "_seen",
+        F.explode(
+            F.sequence(F.floor(F.col("_low") / F.col("_width")), F.floor((F.col("_high") - 1) / F.col("_width")))
+        ).alias("_stretch"),
     )
-    # each seen asset is a marker; each pair asks for positions
-    asking = _with_positions(seen, n, seed)
-    entries = F.array(
-        F.struct(F.col("_before").cast("long").alias("_p"), F.lit(-1).alias("draw")),
-        *[F.struct(F.col(f"_t{k}").alias("_p"), F.lit(k).alias("draw")) for k in range(n)],
+    found = asked.drop("_width").join(spread, [U, "_stretch"]).where(
+        (F.col("_low") <= F.col("_p")) & (F.col("_p") < F.col("_high"))
     )
-    events = asking.select(U, I, F.inline(entries)).where(F.col("_p").isNotNull())
-    # markers sort before questions at the same position
-    order = Window.partitionBy(U).orderBy("_p", "draw").rowsBetween(Window.unboundedPreceding, 0)
-    marker = F.when(F.col("draw") < 0, 1).otherwise(0)
-    return (
-        events.withColumn("neg_idx", F.col("_p") + F.sum(marker).over(order))
-        .where(F.col("draw") >= 0)
-        .select(U, I, "draw", "neg_idx")
+    item = F.aggregate(
+        F.col("_seen"), F.col("_p") + F.col("_before"), lambda at, seen: at + F.when(seen <= at, 1).otherwise(0)
     )
+    return found.select(U, I, "draw", item.cast("long").alias("neg_idx"))
 
 
 def pointwise_pairs(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:

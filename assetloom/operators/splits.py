@@ -1,8 +1,11 @@
 """Split dates and temporal train / validation / test sets.
 
-All splits are computed together: ``split_id`` is a column. Split dates are a
-handful of literals (one per requested split), so membership in a split is an
-expression on the row and never a join.
+All splits are computed together: ``split_id`` is a column. The splits are a small
+table in the order of their recommendation dates, and an index by day tells how many
+of them have begun. A row is given to a range of that table, found by looking up
+its dates, so it is repeated only for splits it may belong to; nothing depends on the
+number of splits but the size of the table itself. Both are constants in the plan, made
+from one string each, so a few thousand splits neither slow planning down nor need a join.
 """
 
 from __future__ import annotations
@@ -15,14 +18,9 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_reached, date_array
 from ..names import FUT, ITEM, RATING, REC, SPLIT, TS, USER
 from ..session import materialize
 
-# A grid is a list of literals in the plan; far more splits than any study uses.
-MAX_SPLITS = 2000
-
-
 @dataclass(frozen=True)
 class Split:
     split_id: int
@@ -49,8 +47,6 @@ def date_grid(prices: DataFrame, first: date, last: date, num_split: int, num_fu
         raise ValueError("num_split and num_future must be positive")
     whole, part = int(math.floor(num_future)), num_future - math.floor(num_future)
     steps = num_split + math.ceil(num_future)
-    if steps > MAX_SPLITS:
-        raise ValueError(f"at most {MAX_SPLITS} grid steps")
 
     # at most one row per calendar day of the range
     days = prices.where(F.col(TS).between(F.lit(first), F.lit(last))).select(TS).distinct()
@@ -88,7 +84,7 @@ def date_grid(prices: DataFrame, first: date, last: date, num_split: int, num_fu
 
 
 def collect_splits(grid: DataFrame) -> list[Split]:
-    """Bring a grid to the driver. Grids are bounded by MAX_SPLITS rows when they are made."""
+    """Bring a grid to the driver: one row per split that was asked for."""
     rows = grid.select(SPLIT, REC, FUT).orderBy(SPLIT).collect()
     return [Split(r[SPLIT], r[REC], r[FUT]) for r in rows]
 
@@ -106,20 +102,75 @@ def lookback(split: Split, days: int) -> date:
     return split.rec_date - timedelta(days=days)
 
 
+def constants(values: Sequence[object], kind: str) -> Column:
+    """A constant array, written as one string however long it is."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def split_array(splits: Sequence[Split]) -> Column:
-    if not 0 < len(splits) <= MAX_SPLITS:
-        raise ValueError(f"between 1 and {MAX_SPLITS} splits are needed")
-    return F.array(
-        *[
-            F.struct(F.lit(s.split_id).alias(SPLIT), F.lit(s.rec_date).alias(REC), F.lit(s.future_date).alias(FUT))
-            for s in splits
-        ]
+    """The splits as a constant array of (split_id, rec_date, future_date), by recommendation date."""
+    if not splits:
+        raise ValueError("at least one split is needed")
+    ordered = sorted(splits, key=lambda s: s.rec_date)
+    fields = {
+        SPLIT: constants([s.split_id for s in ordered], "int"),
+        REC: constants([s.rec_date for s in ordered], "date"),
+        FUT: constants([s.future_date for s in ordered], "date"),
+    }
+    return F.arrays_zip(*[c.alias(n) for n, c in fields.items()])
+
+
+def split_value(splits: Sequence[Split], values: Sequence[object], kind: str) -> Column:
+    """A constant of a row's split, one per split in the order of ``splits``."""
+    return F.try_element_at(
+        F.map_from_arrays(constants([s.split_id for s in splits], "int"), constants(values, kind)), F.col(SPLIT)
+    )
+
+
+def reached(days: Sequence[date], value: Column) -> Column:
+    """How many of ``days`` are at or before ``value``, looked up by day; NULL for no value."""
+    if not days:
+        return F.when(value.isNotNull(), F.lit(0))
+    points = sorted(days)
+    first, counts, at = points[0], [], 0
+    for k in range((points[-1] - first).days + 1):
+        while at < len(points) and points[at] <= first + timedelta(days=k):
+            at += 1
+        counts.append(at)
+    offset = F.datediff(value, F.lit(first))
+    return (
+        F.when(offset < 0, F.lit(0))
+        .when(offset >= len(counts), F.lit(len(points)))
+        .when(offset.isNotNull(), F.get(constants(counts, "int"), offset))
     )
 
 
-def per_split(df: DataFrame, splits: Sequence[Split], keep: Column | None = None) -> DataFrame:
-    """Repeat rows for the splits for which ``keep`` holds; adds split_id, rec_date, future_date."""
-    repeated = df.select("*", F.inline(split_array(splits)))
+def not_over(splits: Sequence[Split], ts: Column) -> Column:
+    """For ``per_split(after=...)``: splits that begin by then have ended before ``ts``."""
+    return F.date_sub(ts, max(s.days for s in splits) + 1)
+
+
+def per_split(
+    df: DataFrame,
+    splits: Sequence[Split],
+    keep: Column | None = None,
+    after: Column | None = None,
+    until: Column | None = None,
+) -> DataFrame:
+    """Repeat rows for the splits for which ``keep`` holds; adds split_id, rec_date, future_date.
+
+    ``after`` and ``until`` are dates of the row: only splits with after < rec_date <=
+    until are looked at. A NULL date gives no split.
+    """
+    table = split_array(splits)
+    if after is not None or until is not None:
+        days = [s.rec_date for s in splits]
+        low = F.lit(0) if after is None else reached(days, after)
+        high = F.lit(len(splits)) if until is None else reached(days, until)
+        table = F.slice(table, low + 1, F.greatest(high - low, F.lit(0)))
+    repeated = df.select("*", F.inline(table))
     return repeated if keep is None else repeated.where(keep)
 
 
@@ -151,7 +202,7 @@ def _bought(before: Column) -> Column:
 
 
 def train_pairs(pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
-    seen = per_split(pairs, splits, F.col("first_ts") < F.col(REC))
+    seen = per_split(pairs, splits, after=F.col("first_ts"))
     return seen.select(
         SPLIT, USER, ITEM, _bought(F.col("first_buy_ts") < F.col(REC)).alias(RATING), F.col("first_ts").alias(TS)
     )
@@ -159,13 +210,8 @@ def train_pairs(pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
 
 def novel_test_pairs(warm_pairs: DataFrame, splits: Sequence[Split]) -> DataFrame:
     """New pairs of the test period whose user and asset are both known from train."""
-    new = per_split(
-        warm_pairs,
-        splits,
-        F.col("first_ts").between(F.col(REC), F.col(FUT))
-        & (F.col("user_first_ts") < F.col(REC))
-        & (F.col("item_first_ts") < F.col(REC)),
-    )
+    known = F.greatest("user_first_ts", "item_first_ts")
+    new = per_split(warm_pairs, splits, F.col("first_ts") <= F.col(FUT), after=known, until=F.col("first_ts"))
     return new.select(
         SPLIT, USER, ITEM, _bought(F.col("first_buy_ts") <= F.col(FUT)).alias(RATING), F.col("first_ts").alias(TS)
     )
@@ -217,27 +263,27 @@ def windowed_split(interactions: DataFrame, windows: Sequence[Window3], repeated
     sees train and test rows of a pair side by side, so dropping pairs already
     in train needs no join.
     """
-    if not 0 < len(windows) <= MAX_SPLITS:
-        raise ValueError(f"between 1 and {MAX_SPLITS} windows are needed")
+    if not windows:
+        raise ValueError("at least one window is needed")
     points = sorted({d for w in windows for d in (w.start, w.middle, w.end + timedelta(days=1))})
     index = {d: i + 1 for i, d in enumerate(points)}
-    bounds = F.array(
-        *[
-            F.struct(
-                F.lit(w.split_id).alias(SPLIT),
-                F.lit(index[w.start]).alias("_from"),
-                F.lit(index[w.middle]).alias("_mid"),
-                F.lit(index[w.end + timedelta(days=1)]).alias("_to"),
-            )
-            for w in windows
-        ]
-    )
+    # by their ends, so that an interval looks only at the windows that end after it
+    ordered = sorted(windows, key=lambda w: w.end)
+    bounds = {
+        SPLIT: [w.split_id for w in ordered],
+        "_from": [index[w.start] for w in ordered],
+        "_mid": [index[w.middle] for w in ordered],
+        "_to": [index[w.end + timedelta(days=1)] for w in ordered],
+    }
+    table = F.arrays_zip(*[constants(v, "int").alias(n) for n, v in bounds.items()])
+    ended = reached([w.end + timedelta(days=1) for w in ordered], F.col("_ts"))
     folded = (
         interactions.where(F.col(TS).between(F.lit(points[0]), F.lit(points[-1])))
-        .groupBy(USER, ITEM, count_reached(date_array(points), F.col(TS)).alias("_k"))
+        .groupBy(USER, ITEM, reached(points, F.col(TS)).alias("_k"))
         .agg(F.min(TS).alias("_ts"), F.max(F.when(F.col(RATING) > 0, 1.0).otherwise(0.0)).alias("_buy"))
     )
-    placed = folded.select("*", F.inline(bounds)).where(
+    rest = F.slice(table, ended + 1, F.greatest(F.lit(len(ordered)) - ended, F.lit(0)))
+    placed = folded.select("*", F.inline(rest)).where(
         (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))
     )
     early = F.col("_k") < F.col("_mid")

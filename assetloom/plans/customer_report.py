@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from ..names import REC, SPLIT, UNITS
 from ..operators.portfolio import asset_valuation, customer_summary, customer_totals, positions
-from ..operators.splits import Split
+from ..operators.splits import Split, split_value
 from ..session import materialize
 from ..sources.sinks import write_by_date, write_summary
 
 
 def _rec_dates(splits: Sequence[Split]) -> Column:
-    dates = F.create_map(*[x for s in splits for x in (F.lit(s.split_id), F.lit(s.rec_date))])
-    return F.element_at(dates, F.col(SPLIT))
+    return split_value(splits, [s.rec_date for s in splits], "date")
 
 
 def customer_report(

@@ -15,6 +15,7 @@ from ..operators.splits import (
     Split,
     Window3,
     lookback,
+    not_over,
     pair_history,
     per_split,
     novel_test_pairs,
@@ -97,7 +98,8 @@ def split_dataset_with_valid(
 
 def split_kpis(tables: SplitTables) -> DataFrame:
     """Indicator rows per split, up to the future date."""
-    return per_split(tables.kpis, tables.splits, F.col(TS) <= F.col(FUT))
+    ended = not_over(tables.splits, F.col(TS))
+    return per_split(tables.kpis, tables.splits, F.col(TS) <= F.col(FUT), after=ended)
 
 
 def with_kpis(tables: SplitTables, kpis: DataFrame) -> SplitTables:

@@ -5,30 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..names import FUT, ITEM, PRICE, REC, SPLIT, TS, USER
+from ..names import ITEM, MONTH_DAYS, PRICE, RATING, SPLIT, TS, USER, YEAR_DAYS
 from ..operators.assets import profitability, window_volatility
 from ..operators.cleaning import positive_assets
 from ..operators.filters import DataFilter, SplitTables, assets_with_test_price
 from ..operators.indicators import features, indicator_periods, technical_indicators
 from ..operators.ranking_metrics import (
     CUTOFFS,
-    annual_values,
+    compounded,
     eligible_customers,
     hits_from_ranking,
     kpi_at_k,
     kpi_from_ranking,
     mean_over_customers,
     metrics_wide,
-    monthly_values,
     ndcg_at_k,
     ndcg_from_hits,
 )
 from ..operators.recommend import ForestScorer, learn_scores, rank_assets, recommend, run_name, seen_ranks
 from ..operators.splits import Split
 from ..session import materialize
+from ..sources.runs import RunStore, fingerprint
 from ..sources.sinks import path_exists, read_kpis, write_kpis, write_metrics
 from .dataset import split_dataset
 
@@ -52,29 +52,26 @@ def priced_at_both_ends() -> DataFilter:
 
 
 def asset_values(prices: DataFrame, tables: SplitTables) -> DataFrame:
-    """Every eligible asset of every split with a column per metric; 0 where an asset has no value."""
-    roi, vol = profitability(prices, tables.splits), window_volatility(prices, tables.splits)
-    parts = {
-        "profitability": roi,
-        "annualized_prof": annual_values(roi, tables.splits),
-        "monthly_prof": monthly_values(roi, tables.splits),
-        "volatility": vol,
-    }
-    stacked = None
-    for name, part in parts.items():
-        one = part.select(SPLIT, ITEM, F.lit(name).alias("metric"), "value")
-        stacked = one if stacked is None else stacked.unionByName(one)
-    mine = stacked.join(tables.assets, [SPLIT, ITEM], "left_semi")
-    known = mine.groupBy(SPLIT, ITEM).agg(
-        *[
-            # a row without a value stays NULL, no row means 0
-            F.when(F.count(F.when(F.col("metric") == m, 1)) == 0, 0.0)
-            .otherwise(F.max(F.when(F.col("metric") == m, F.col("value"))))
-            .alias(m)
-            for m in parts
-        ]
+    """Every eligible asset of every split with a column per metric; 0 where an asset has no value.
+
+    Annual and monthly returns follow from the return, so they are columns of its row.
+    """
+    roi = profitability(prices, tables.splits).withColumn("_has_roi", F.lit(True))
+    vol = window_volatility(prices, tables.splits).select(SPLIT, ITEM, F.col("value").alias("_vol"), F.lit(True).alias("_has_vol"))
+    both = roi.join(vol, [SPLIT, ITEM], "full").join(tables.assets, [SPLIT, ITEM], "left_semi")
+
+    def known(value: Column, there: str) -> Column:
+        # a row without a value stays NULL, no row means 0
+        return F.when(F.col(there), value).otherwise(0.0)
+
+    return both.select(
+        SPLIT,
+        ITEM,
+        known(F.col("value"), "_has_roi").alias("profitability"),
+        known(compounded(F.col("value"), tables.splits, YEAR_DAYS), "_has_roi").alias("annualized_prof"),
+        known(compounded(F.col("value"), tables.splits, MONTH_DAYS), "_has_roi").alias("monthly_prof"),
+        known(F.col("_vol"), "_has_vol").alias("volatility"),
     )
-    return known
 
 
 def evaluate_lists(
@@ -128,10 +125,12 @@ def run_recommendation(
 ) -> str | None:
     """Fit, recommend, evaluate and write everything under ``folder/<run>``.
 
-    The run's name holds all parameters. Dates that the run has finished are skipped
-    and only the others are computed; outputs are partitioned by split, and the table
-    ``done`` tells the dates. Indicators are kept by kind and by the prices they come
-    from. Returns the run's folder, or None when all its dates were there already.
+    A run is named by all its parameters and by the contents of both input tables, so
+    other trades or prices are another run. Dates, with their horizon, that the run has
+    committed are skipped and only the others are computed; see ``RunStore`` for how results
+    are kept. Its tables are ``recs``, ``customer_metrics``, ``metrics`` and, as text,
+    ``metrics_text``. Indicators are kept by kind and by the prices they come from.
+    Returns the run's folder, or None when all its dates were there already.
     """
     name = run_name(
         trees,
@@ -143,12 +142,12 @@ def run_recommendation(
         max_depth=max_depth,
         seed=seed,
     )
-    prices = materialize(prices)
-    data = prices.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(ITEM, TS, PRICE))).first()
-    source = f"{data[0]:x}_{(data[1] or 0) % 2**64:x}"
-    out = f"{folder}/{name}_{source}"
-    done = f"{out}/done"
-    finished = {(r[REC], r[FUT]) for r in spark.read.parquet(done).collect()} if path_exists(spark, done) else set()
+    prices, interactions = materialize(prices), materialize(interactions)
+    source = fingerprint(prices.select(ITEM, TS, PRICE))
+    traded = fingerprint(interactions.select(USER, ITEM, RATING, TS))
+    out = f"{folder}/{name}_{source}_{traded}"
+    store = RunStore(spark, out)
+    finished = store.finished()
     todo = [s for s in splits if (s.rec_date, s.future_date) not in finished]
     if not todo:
         return None
@@ -170,22 +169,13 @@ def run_recommendation(
         )
     )
     evaluation = evaluate_scores(scores, prices, tables, cutoffs)
-    days = {s.split_id: s.rec_date.isoformat() for s in todo}
-
-    def dated(df: DataFrame) -> DataFrame:
-        day = F.coalesce(*[F.when(F.col(SPLIT) == k, F.lit(d)) for k, d in days.items()])
-        return df.withColumn(REC, day)
-
-    # a date that was broken off is written again; the others stay
-    def write(df: DataFrame, path: str) -> None:
-        writer = dated(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(REC, SPLIT).parquet(f"{out}/{path}")
-
-    write(recommend(scores, evaluation.eligible, tables.train, list_length).hint("rebalance", SPLIT), "recs")
     per_user = materialize(evaluation.per_user)
-    write(metrics_wide(per_user, METRICS, cutoffs), "customer_metrics")
-    write(mean_over_customers(per_user, evaluation.eligible), "metrics")
-    write_metrics(spark.read.parquet(f"{out}/metrics"), f"{out}/metrics_text")
-    rows = [(s.split_id, s.rec_date, s.future_date) for s in todo]
-    spark.createDataFrame(rows, f"{SPLIT} int, {REC} date, {FUT} date").coalesce(1).write.mode("append").parquet(done)
+    results = {
+        "recs": recommend(scores, evaluation.eligible, tables.train, list_length).hint("rebalance", SPLIT),
+        "customer_metrics": metrics_wide(per_user, METRICS, cutoffs),
+        "metrics": mean_over_customers(per_user, evaluation.eligible),
+    }
+    part = store.write(results, todo)
+    mine = spark.read.parquet(f"{out}/metrics/part={part}")
+    write_metrics(mine, f"{out}/metrics_text/part={part}")
     return out

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..names import CUTOFF, ITEM, REC, SCORE, SPLIT, TS, USER
+from ..names import CUTOFF, FUT, ITEM, REC, SCORE, SPLIT, TS, USER
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,15 +57,16 @@ def write_recommendations(recs: DataFrame, path: str, mode: str = "overwrite") -
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tab-separated ``metric@k`` and value, one folder per split."""
+    """Tab-separated ``metric@k`` and value, one folder per split, under its dates where the table has them."""
+    folders = [c for c in (REC, FUT, SPLIT) if c in metrics.columns]
     (
         metrics.select(
-            SPLIT,
+            *folders,
             F.concat(F.col("metric"), F.lit("@"), F.col(CUTOFF).cast("string")).alias("metric"),
             F.col("value").cast("string").alias("value"),
         )
         .write.mode(mode)
-        .partitionBy(SPLIT)
+        .partitionBy(*folders)
         .option("sep", "\t")
         .csv(path)
     )

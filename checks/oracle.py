@@ -7,7 +7,8 @@ operators.
 
 from __future__ import annotations
 
-from checks.queries import CUTOFFS, DROP, EARLY, FIRST, HALF_UP, LAST, LATER, LATEST, MIDDLE, NEGATIVES, NUM_FUTURE, NUM_SPLIT, SEED
+from assetloom.operators.indicators import features
+from checks.queries import CUTOFFS, DROP, EARLY, FIRST, HALF_UP, LAST, LATER, LATEST, LOOKBACK, MIDDLE, NEGATIVES, NUM_FUTURE, NUM_SPLIT, SEED
 
 LONG, SHORT = (21, 63, 126, 189), (21, 63, 126)
 PRIME = 2147483647
@@ -88,6 +89,11 @@ def add(name: str, ctes: str, body: str) -> None:
     _SQL[name] = f"WITH RECURSIVE {ctes}\n{body}" if ctes else body
 
 
+def add_plain(name: str, ctes: str, body: str) -> None:
+    """Without recursion, every intermediate table computed once."""
+    _SQL[name] = f"WITH {ctes.replace(' AS (', ' AS MATERIALIZED (')}\n{body}"
+
+
 # ------------------------------------------------------------------ A sources
 add("src_interactions", TRADES, "SELECT col_user, col_item, col_rating, col_timestamp FROM trades")
 add("src_prices", DAILY, f"SELECT col_item, col_timestamp, {r('price', 4)} AS price FROM prices")
@@ -150,7 +156,13 @@ FRESH = """fresh AS (
   WHERE (split_id, col_user) IN (SELECT split_id, col_user FROM train)
     AND (split_id, col_user, col_item) NOT IN (SELECT split_id, col_user, col_item FROM train))"""
 SPLIT_COLUMNS = f"split_id, {RATING_COLUMNS}"
-add("flt_ratings_not_in_train", f"{FULL}, {FRESH}", f"SELECT {SPLIT_COLUMNS} FROM fresh")
+add_plain(
+    "flt_ratings_not_in_train",
+    FULL,
+    f"""SELECT {SPLIT_COLUMNS} FROM warm
+  SEMI JOIN (SELECT DISTINCT split_id, col_user FROM train) u USING (split_id, col_user)
+  ANTI JOIN train a USING (split_id, col_user, col_item)""",
+)
 add(
     "data_filter",
     f"{FULL}, {FRESH}",
@@ -236,16 +248,33 @@ def chain(bounds: list, names: list[str]) -> str:
 
 add("split_valid", TRADES, chain([MIDDLE, LATER], ["train", "valid"]))
 add("split_three_way", TRADES, chain([MIDDLE, LATER, LATEST], ["train", "valid", "test"]))
-add(
+add_plain(
     "split_dataset",
     FULL,
     """SELECT 'prices' AS part, split_id, col_item, CAST(NULL AS BIGINT) AS col_user, col_timestamp
-FROM prices JOIN splits ON col_timestamp <= future_date JOIN full_test USING (split_id, col_item)
+FROM full_test JOIN splits USING (split_id) JOIN prices USING (col_item) WHERE col_timestamp <= future_date
 UNION ALL SELECT 'train', split_id, col_item, col_user, col_timestamp FROM train
 UNION ALL SELECT 'test', split_id, col_item, col_user, col_timestamp FROM test""",
 )
 
 
+add_plain(
+    "split_lookback",
+    f"""{BASE}, {TRADES},
+bounded AS (
+  SELECT split_id, col_user, col_item, col_timestamp < rec_date AS early, max(col_rating) AS col_rating,
+         min(col_timestamp) AS col_timestamp
+  FROM trades JOIN splits ON col_timestamp >= rec_date - {LOOKBACK} AND col_timestamp <= future_date
+  GROUP BY 1, 2, 3, 4),
+train AS (SELECT * FROM bounded WHERE early)""",
+    f"""SELECT 'train' AS part, {SPLIT_COLUMNS} FROM train
+UNION ALL SELECT 'test', {SPLIT_COLUMNS} FROM (SELECT * FROM bounded WHERE NOT early)
+  SEMI JOIN (SELECT DISTINCT split_id, col_user FROM train) u USING (split_id, col_user)
+  SEMI JOIN (SELECT DISTINCT split_id, col_item FROM train) i USING (split_id, col_item)
+  ANTI JOIN train a USING (split_id, col_user, col_item)""",
+)
+
+
 def window_set(name: str, low: str, high: str) -> str:
     return f"""{name} AS (
   SELECT split_id, col_user, col_item, max(col_rating) AS col_rating, min(col_timestamp) AS col_timestamp
@@ -406,7 +435,7 @@ add(
 )
 
 
-def kpis(periods: tuple[int, ...]) -> tuple[str, list[str]]:
+def kpis(periods: tuple[int, ...], base: str = DAILY) -> tuple[str, list[str]]:
     columns = {
         **{f"avg_price_{t}d": guarded("avg", "price", t) for t in periods},
         **{f"past_profitability_{t}d": ret(t) for t in (1, *periods)},
@@ -423,7 +452,7 @@ def kpis(periods: tuple[int, ...]) -> tuple[str, list[str]]:
     names = ["price", *columns]
     wide = ", ".join(f"{v} AS {k}" for k, v in columns.items())
     smooth = ", ".join(f"{guarded('avg', n, 5)} AS {n}" for n in names)
-    ctes = f"""{DAILY}, {RETURNS1}, {MOVES},
+    ctes = f"""{base}, {RETURNS1}, {MOVES},
 wide AS (SELECT col_item, col_timestamp, price, {wide} FROM strength),
 smooth AS (SELECT col_item, col_timestamp, {smooth} FROM wide)"""
     return ctes, names
@@ -685,15 +714,25 @@ add(
     DAILY,
     table([f"{r(LEAD, 4)} AS final_price", f"{r(f'({LEAD} - price) / price', 6)} AS target"]),
 )
-LEAD2 = f"lead(price, 42) OVER ({SERIES})"
+COMPLETE, KPI_NAMES = kpis(SHORT, FULL)
+LABELLED = f"""{COMPLETE},
+complete AS (SELECT * FROM smooth WHERE {' AND '.join(f'{n} IS NOT NULL' for n in KPI_NAMES)}),
+labelled AS (SELECT *, ({LEAD} - price) / price AS target FROM complete)"""
 add(
     "training_set",
-    f"""{FULL}, {basic((21,))},
-labelled AS (SELECT *, ({LEAD2} - price) / price AS target FROM kpis)""",
-    f"""SELECT split_id, col_item, col_timestamp, {r('past_profitability_21d', 6)} AS past_profitability_21d,
-  {r('volatility_21d', 6)} AS volatility_21d, {r('target', 6)} AS target
-FROM labelled JOIN splits ON col_timestamp < rec_date - 60 JOIN priced USING (split_id, col_item)
-WHERE past_profitability_21d IS NOT NULL AND volatility_21d IS NOT NULL AND target IS NOT NULL""",
+    LABELLED,
+    f"""SELECT split_id, col_item, col_timestamp, {', '.join(f'{r(n, 4)} AS {n}' for n in features('full_short'))},
+  {r('target', 4)} AS target
+FROM labelled JOIN splits ON col_timestamp < rec_date - 180 JOIN priced USING (split_id, col_item)
+WHERE price > 0 AND target IS NOT NULL""",
+)
+add(
+    "rf_scored_assets",
+    LABELLED,
+    """SELECT split_id, col_item, TRUE AS finite, TRUE AS within_targets FROM complete
+JOIN splits ON col_timestamp = rec_date JOIN priced USING (split_id, col_item)
+JOIN (SELECT DISTINCT split_id FROM labelled JOIN splits ON col_timestamp < rec_date - 180
+      JOIN priced USING (split_id, col_item) WHERE target IS NOT NULL) fitted USING (split_id)""",
 )
 RECS = f"""scores AS (
   SELECT split_id, col_item, score

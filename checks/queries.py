@@ -33,6 +33,7 @@ CUTOFFS = (1, 5, 10, 20, 50, 100, 1000)
 SEED = 7
 NEGATIVES = 3
 DROP = 0.2
+LOOKBACK = 200
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -187,11 +188,12 @@ def novel_test(t: Tables) -> DataFrame:
     return C.novel_only(test, train).select(USER, ITEM, RATING, TS)
 
 
+def _windows(t: Tables, days: int) -> list[S.Window3]:
+    return [S.Window3(s.split_id, S.lookback(s, days), s.rec_date, s.future_date) for s in t.splits]
+
+
 def _lookback_sets(t: Tables, repeated: bool) -> FL.SplitTables:
-    windows = [
-        S.Window3(s.split_id, S.lookback(s, DS.LOOKBACK_DAYS), s.rec_date, s.future_date) for s in t.splits
-    ]
-    both = materialize(S.windowed_split(t.ratings, windows, repeated))
+    both = materialize(S.windowed_split(t.ratings, _windows(t, DS.LOOKBACK_DAYS), repeated))
     return FL.SplitTables(
         tuple(t.splits),
         t.prices,
@@ -307,6 +309,13 @@ def split_dataset(t: Tables) -> DataFrame:
     return sets[0].unionByName(sets[1]).unionByName(sets[2])
 
 
+@query
+def split_lookback(t: Tables) -> DataFrame:
+    """A look-back that binds: trades from before it count for nothing."""
+    columns = ("part", SPLIT, USER, ITEM, RATING, TS)
+    return S.windowed_split(t.ratings, _windows(t, LOOKBACK)).select(*columns)
+
+
 @query
 def split_with_valid(t: Tables) -> DataFrame:
     later = t.splits[1:]
@@ -568,22 +577,44 @@ def forward_target(t: Tables) -> DataFrame:
     return rnd(R.forward_target(t.daily, 6).drop("final_ts"), price=4, final_price=4, target=6)
 
 
+def _indicators(t: Tables) -> DataFrame:
+    return materialize(D.technical_indicators(t.prices, D.indicator_periods("short")))
+
+
 @query
 def training_set(t: Tables) -> DataFrame:
-    kpis = D.return_and_volatility(t.prices, (21,))
-    rows = R.training_set(
-        kpis, t.split_tables.assets, t.splits, 2, ["past_profitability_21d", "volatility_21d"]
-    )
-    return rnd(rows, _=6)
+    rows = R.training_set(_indicators(t), t.split_tables.assets, t.splits, 6, D.features("full_short"))
+    return rnd(rows, _=4)
 
 
-@query
-def rf_scores(t: Tables) -> DataFrame:
-    kpis = materialize(D.technical_indicators(t.prices, D.indicator_periods("short")))
+def _forest_scores(t: Tables, kpis: DataFrame) -> DataFrame:
     names = D.features("full_short")
     return R.learn_scores(kpis, t.split_tables.assets, t.splits, 6, names, lambda: R.ForestScorer(names))
 
 
+@query
+def rf_scores(t: Tables) -> DataFrame:
+    return _forest_scores(t, _indicators(t))
+
+
+@query
+def rf_scored_assets(t: Tables) -> DataFrame:
+    """What holds for the forest's scores whatever its trees: who is scored, and within which bounds.
+
+    A forest's score is a mean of targets it has learnt from. Splits without any to learn from
+    get random scores and are left out.
+    """
+    kpis = _indicators(t)
+    scores = materialize(_forest_scores(t, kpis))
+    learnt = R.training_set(kpis, t.split_tables.assets, t.splits, 6, D.features("full_short"))
+    bounds = learnt.groupBy(SPLIT).agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    # one row per split
+    judged = scores.join(F.broadcast(bounds), SPLIT)
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    within = F.col("score").between(F.col("low") - 1e-9, F.col("high") + 1e-9)
+    return judged.select(SPLIT, ITEM, finite.alias("finite"), within.alias("within_targets"))
+
+
 @query
 def recommend_cross(t: Tables) -> DataFrame:
     pairs = R.recommend_by_pairs(t.scores, t.eligible, t.split_tables.train)

@@ -16,7 +16,7 @@ from assetloom.plans import dataset as DS
 from assetloom.plans import recommendation as RUN
 from assetloom.plans.asset_report import write_asset_report
 from assetloom.plans.customer_report import write_customer_report
-from assetloom.sources import csvfiles, sinks
+from assetloom.sources import csvfiles, runs, sinks
 
 DAY = date(2019, 1, 1)
 
@@ -112,13 +112,62 @@ def test_runs_resume_by_date_and_differ_by_parameters(spark, folder, tmp_path):
     # the other date is added to the same run, and the first one stays
     assert RUN.run_recommendation(spark, trades, prices, splits, str(tmp_path), **args) == first
     assert spark.read.parquet(f"{first}/metrics").select("split_id").distinct().count() == 2
-    assert spark.read.parquet(f"{first}/done").count() == 2
+    assert runs.RunStore(spark, first).commits().count() == 2
     # other parameters or indicators never reuse its results
     other = RUN.run_recommendation(spark, trades, prices, splits[:1], str(tmp_path), **(args | {"seed": 5}))
     kind = RUN.run_recommendation(spark, trades, prices, splits[:1], str(tmp_path), **(args | {"kpi_kind": "long"}))
     assert len({first, other, kind}) == 3
 
 
+def test_runs_keep_every_horizon_and_every_input(spark, folder, tmp_path):
+    prices = clean_prices(csvfiles.read_close_prices(spark, f"{folder}/close_prices.csv"))
+    trades = csvfiles.read_transactions(spark, f"{folder}/transactions.csv")
+    near, far = [S.Split(0, d(270), d(290))], [S.Split(0, d(270), d(320))]
+    args = dict(months=1, trees=2, feature_set="basic_short", kpi_kind="short", cutoffs=(1, 5), max_depth=2)
+
+    def run(which, table=trades):
+        return RUN.run_recommendation(spark, table, prices, which, str(tmp_path), **args)
+
+    def rows(out, name, which):
+        kept = runs.RunStore(spark, out).read(name, F.col("future_date") == F.lit(which[0].future_date))
+        return sorted(map(str, kept.collect()))
+
+    out = run(near)
+    before = {n: rows(out, n, near) for n in ("recs", "metrics", "customer_metrics")}
+    assert all(before.values())
+    # the same date and number with another horizon: added, and nothing of the first is touched
+    assert run(far) == out
+    assert {n: rows(out, n, near) for n in before} == before
+    assert rows(out, "metrics", far) and rows(out, "metrics", far) != before["metrics"]
+    assert run(near) is None and run(far) is None
+    text = spark.read.csv(f"{out}/metrics_text", sep="\t")
+    assert text.select("rec_date", "future_date").distinct().count() == 2 and text.count() == 2 * 5 * 2
+    # other trades, even one repeated row, are another run; the first stays
+    more = trades.unionByName(trades.limit(1))
+    other = run(near, more)
+    assert other not in (None, out) and rows(other, "metrics", near)
+    assert {n: rows(out, n, near) for n in before} == before
+    # rows in another order are the same input
+    assert run(near, trades.repartition(7)) is None
+
+
+def test_a_part_without_commit_is_not_read(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "run"))
+    assert store.finished() == set()
+    one, two = S.Split(0, d(0), d(10)), S.Split(1, d(5), d(15))
+    table = spark.createDataFrame([(0, 1.0), (1, 2.0)], "split_id int, value double")
+    store.write({"t": table}, [one, two])
+    # broken off before its commit
+    table.withColumns({"rec_date": F.lit(d(0)), "future_date": F.lit(d(10))}).write.partitionBy(
+        "rec_date", "future_date", "split_id"
+    ).parquet(f"{store.folder}/t/part=broken")
+    assert sorted(r["value"] for r in store.read("t").collect()) == [1.0, 2.0]
+    # computed twice at the same time: one of the two counts
+    store.write({"t": table.where("split_id = 0")}, [one])
+    assert sorted(r["value"] for r in store.read("t").collect()) == [1.0, 2.0]
+    assert store.finished() == {(d(0), d(10)), (d(5), d(15))}
+
+
 def test_evaluation_with_and_without_lists_agrees(spark, folder):
     prices = clean_prices(csvfiles.read_close_prices(spark, f"{folder}/close_prices.csv"))
     trades = csvfiles.read_transactions(spark, f"{folder}/transactions.csv")
