@@ -1,4 +1,4 @@
-"""Suffix-array dedup with a logarithmic family of indexes.
+"""Removal of repeated byte strings with a logarithmic family of anchor indexes.
 
 Every byte is removed that lies in a string of ``length`` bytes which starts
 anywhere else, too. Suffixes are sampled: of each ``length`` bytes, the suffix whose
@@ -6,16 +6,23 @@ first ``ANCHOR`` bytes hash lowest is taken (an anchor). The choice depends on t
 bytes alone, so two equal strings choose the same place and no repeat is missed,
 while only about one suffix in a hundred is kept.
 
-A batch's suffix array is the sorted run of its anchors. It is merge-scanned against
-the levels that exist for anchors that occur there (or twice in the batch), and
-becomes a level; two levels of equal size are merged into one of twice the size
-before the next batch, so a batch meets a logarithmic number of levels.
+No suffix array is built. A batch's run is the table of its anchors in the order of a
+64-bit hash of their bytes, not of the bytes themselves. It is joined with the levels
+that exist for anchors that occur there (or twice in the batch), and becomes a level;
+two levels of equal size are merged into one of twice the size before the next batch,
+so a batch meets a logarithmic number of levels. Suffixes in the order of their bytes
+would need their first hundred bytes in every run, about as much as the text itself.
 
 Only matched anchors are looked at closer. Their surroundings, from ``length -
 ANCHOR`` bytes before to ``length`` bytes after, decide all strings that hold the
-anchor. Where the whole surroundings repeat, all of these do. Surroundings that
-differ are compared string by string, per anchor, in numpy; anchors with very many
-different surroundings are counted by a distributed grouped sum instead.
+anchor. Where the whole surroundings repeat (64-bit hashes of the anchor and of all
+of it), all of these do. Surroundings that differ are compared string by string, per
+anchor, by two 64-bit hashes, in numpy; anchors with very many different surroundings
+are counted by a distributed grouped sum instead.
+
+Memory: texts longer than a shard are hashed in overlapping pieces. Every stage has at
+most one Python step, because each such step has a worker of its own per core: texts
+are tested against the Bloom filter in the step that reads or cuts them.
 """
 
 from __future__ import annotations
@@ -26,11 +33,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.bloom import may_hold
+from assetloom.llm.bloom import build_filter, passes
 from assetloom.llm.common import narrow_batches, same, text_of
 from assetloom.llm.numtext import (
     BASES,
@@ -51,9 +59,13 @@ LENGTH = 400
 BATCHES = 4
 SHARD_BYTES = 1 << 20
 # different surroundings of one anchor that a task compares by itself
-GROUP_ROWS = 20_000
+GROUP_ROWS = 8_000
 # rows of surroundings that are compared at once, if their anchors allow
 COMPARED_ROWS = 2_000
+# rows of surroundings whose running hashes are held at once
+GRID_ROWS = 500
+# bytes of text that are cut at once
+CUT_BYTES = 4 << 20
 OUTPUTS = ("n_bytes", "spans", "kept_bytes")
 
 _INT, _LONG = T.IntegerType(), T.LongType()
@@ -100,6 +112,23 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     return doc, places - starts[doc], high - places, value[places].astype(np.int64), around.astype(np.int64)
 
 
+def piece_anchors(data: np.ndarray, offsets: np.ndarray, length: int, piece: int):
+    """``find_anchors`` of texts of which a long one is alone: it is taken in pieces that overlap.
+
+    A piece's own places need ``length`` bytes on both sides, whatever lies further off.
+    """
+    if len(data) <= 2 * piece:
+        return find_anchors(data, offsets, length)
+    found = []
+    for low in range(0, len(data), piece):
+        start, stop = max(0, low - length), min(len(data), low + piece + length)
+        doc, pos, *rest = find_anchors(data[start:stop], np.array([0, stop - start]), length)
+        pos = pos + start
+        own = (pos >= low) & (pos < low + piece)
+        found.append([doc[own], pos[own], *(x[own] for x in rest)])
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """(id, digest, anchors) of documents (id, digest, text)."""
 
@@ -108,7 +137,8 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         kind = pa.struct([("pos", pa.int32()), ("tail", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
         for part in text_slices(batches, "text", SHARD_BYTES):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
-            doc, pos, tail, h, c = find_anchors(data, offsets, length)
+            long = part.num_rows == 1
+            doc, pos, tail, h, c = piece_anchors(data, offsets, length, SHARD_BYTES if long else len(data) + 1)
             values = pa.StructArray.from_arrays(
                 [pa.array(pos.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(c)],
                 fields=list(kind),
@@ -122,6 +152,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 ],
                 ["id", "digest", "anchors"],
             )
+        tidy()
 
     kind = docs.schema["id"].dataType
     schema = T.StructType(_fields(id=kind, digest=_LONG, anchors=_ANCHORS))
@@ -153,7 +184,7 @@ class SuffixIndex:
 _ENTRY = _fields(doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType())
 
 
-def _strings(left: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _strings(left: np.ndarray, around: pa.Array, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all strings of surroundings, one column per distance from their start to the anchor.
 
     Only hashes of one column can be compared. The second array tells which exist.
@@ -162,9 +193,9 @@ def _strings(left: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarra
     data, offsets = utf8(around.cast(pa.large_binary()))
     sizes = np.diff(offsets)
     hashes = np.empty((len(left), reach + 1), U64)
-    weights = powers(BASES[1], reach + length)
-    for low in range(0, len(left), COMPARED_ROWS):
-        rows = slice(low, low + COMPARED_ROWS)
+    weights = powers(base, reach + length)
+    for low in range(0, len(left), GRID_ROWS):
+        rows = slice(low, low + GRID_ROWS)
         n = sizes[rows]
         grid = np.zeros((len(n), reach + length + 1), U64)
         row = np.repeat(np.arange(len(n)), n)
@@ -184,15 +215,17 @@ def _resolve(entries: pa.Table, length: int) -> pa.RecordBatch:
     left = entries.column("left").to_numpy().astype(np.int64)
     h = entries.column("h").to_numpy().astype(np.int64)
     around = pa.concat_arrays([x.cast(pa.large_binary()) for x in entries.column("around").chunks])
-    hashes, there = _strings(left, around, length)
+    hashes, there = _strings(left, around, length, BASES[1])
+    second, _ = _strings(left, around, length, BASES[0])
     salt = mix(h.astype(U64))
     hit = np.zeros(there.shape, dtype=bool)
     for distance in range(hashes.shape[1]):
         rows = np.flatnonzero(there[:, distance])
         key = mix(hashes[rows, distance] ^ salt[rows])
-        order = np.argsort(key)
+        order = np.lexsort((second[rows, distance], key))
         rows, key = rows[order], key[order]
         equal = (key[1:] == key[:-1]) & (h[rows[1:]] == h[rows[:-1]])
+        equal &= second[rows[1:], distance] == second[rows[:-1], distance]
         hit[rows[1:][equal], distance] = True
         hit[rows[:-1][equal], distance] = True
     hit[~entries.column("once").to_numpy(zero_copy_only=False)] = False
@@ -214,38 +247,71 @@ def _resolve(entries: pa.Table, length: int) -> pa.RecordBatch:
 
 def _name(id_col: str, digest_col: str) -> Column:
     """A document's 64-bit name, for Bloom filters alone."""
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{digest_col}`")).alias("name")
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{digest_col}`"))
+
+
+def _only(docs: DataFrame, name: Column, words: Broadcast, hit: bool) -> DataFrame:
+    """Rows of ``docs`` whose name may be in a Bloom filter, or (``hit`` false) surely is not, in one Python step."""
+    fields = docs.schema.fields
+    own, bits = _unused(docs.columns, "name"), _unused(docs.columns, "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for batch in batches:
+            digests, spread = (batch.column(batch.schema.names.index(c)).to_numpy() for c in (own, bits))
+            kept = batch.filter(pa.array(passes(words.value, digests, spread) == hit))
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(fields)], kept.schema.names[: len(fields)])
+
+    named = docs.withColumn(own, name)
+    return narrow_batches(named.withColumn(bits, F.xxhash64(own))).mapInArrow(run, T.StructType(fields))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column bears it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _filter(names: DataFrame) -> Broadcast:
+    """Bloom filter of a column ``name``; its size is bounded."""
+    return names.sparkSession.sparkContext.broadcast(build_filter(names, "name"))
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once."""
     anchor, reach = anchor_bytes(length), length - anchor_bytes(length)
-    # only texts that may be wanted are shuffled
-    maybe = docs.where(may_hold(wanted.select(_name("wanted_id", "wanted_digest")), "name", _name("id", "digest")))
-    joined = maybe.join(wanted, same(maybe, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
+    # only texts that may be wanted are shuffled; the join is never a broadcast, so that no stage has two Python steps
+    words = _filter(wanted.select(_name("wanted_id", "wanted_digest").alias("name")))
+    maybe = _only(docs, _name("id", "digest"), words, True)
+    joined = maybe.join(wanted.hint("merge"), same(maybe, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
+        weights = powers(BASES[0], anchor)
         for part in text_slices(batches, "text", SHARD_BYTES // 4):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
             codes = part.column("codes")
-            doc = np.repeat(np.arange(part.num_rows), codes.value_lengths().to_numpy(zero_copy_only=False))
-            code = codes.flatten().to_numpy()
-            at = offsets[doc] + (code >> 1)
-            low, high = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
-            h = range_hash(prefix_hash(data, BASES[0]), at, at + anchor, BASES[0]) | U64(1)
-            around = pa.array([data[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
-            columns = [
-                part.column("doc").take(pa.array(doc)),
-                pa.array((code >> 1).astype(np.int32)),
-                pa.array((at - low).astype(np.int32)),
-                pa.array(h.astype(np.int64)),
-                pa.array((code & 1).astype(bool)),
-                around,
-            ]
-            whole = pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
-            for k in range(0, whole.num_rows, COMPARED_ROWS):
-                yield whole.slice(k, COMPARED_ROWS)
+            docs_of = np.repeat(np.arange(part.num_rows), codes.value_lengths().to_numpy(zero_copy_only=False))
+            all_codes = codes.flatten().to_numpy()
+            for k in range(0, len(all_codes), COMPARED_ROWS):
+                doc, code = docs_of[k : k + COMPARED_ROWS], all_codes[k : k + COMPARED_ROWS]
+                at = offsets[doc] + (code >> 1)
+                low, high = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
+                bytes_ = data[at[:, None] + np.arange(anchor)].astype(U64) + U64(1)
+                h = mix((bytes_ * weights[:anchor]).sum(axis=1, dtype=U64)) | U64(1)
+                around = pa.array([data[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
+                columns = [
+                    part.column("doc").take(pa.array(doc)),
+                    pa.array((code >> 1).astype(np.int32)),
+                    pa.array((at - low).astype(np.int32)),
+                    pa.array(h.astype(np.int64)),
+                    pa.array((code & 1).astype(bool)),
+                    around,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
+        tidy()
 
     return narrow_batches(joined.select("doc", "text", "codes")).mapInArrow(run, T.StructType(_ENTRY))
 
@@ -272,6 +338,8 @@ def _compare(entries: DataFrame, length: int) -> DataFrame:
                 rows += part.num_rows
         if held:
             yield _resolve(pa.Table.from_batches(held), length)
+        held = []
+        tidy()
 
     sorted_ = entries.repartition("h").sortWithinPartitions("h")
     return narrow_batches(sorted_).mapInArrow(run, T.StructType(_fields(doc=_LONG, lo=_INT, hi=_INT)))
@@ -284,7 +352,8 @@ def _count(entries: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, np.ones(batch.num_rows), COMPARED_ROWS):
                 left = part.column("left").to_numpy().astype(np.int64)
-                hashes, there = _strings(left, part.column("around"), length)
+                hashes, there = _strings(left, part.column("around"), length, BASES[1])
+                second, _ = _strings(left, part.column("around"), length, BASES[0])
                 row, distance = np.nonzero(there)
                 lo = part.column("pos").to_numpy().astype(np.int64)[row] - distance
                 take = pa.array(row)
@@ -295,30 +364,29 @@ def _count(entries: DataFrame, length: int) -> DataFrame:
                         part.column("h").take(take),
                         pa.array(distance.astype(np.int32)),
                         pa.array(hashes[row, distance].astype(np.int64)),
+                        pa.array(second[row, distance].astype(np.int64)),
                     ],
-                    ["doc", "lo", "h", "distance", "string"],
+                    ["doc", "lo", "h", "distance", "string", "second"],
                 )
 
-    schema = T.StructType(_fields(doc=_LONG, lo=_INT, h=_LONG, distance=_INT, string=_LONG))
+    schema = T.StructType(_fields(doc=_LONG, lo=_INT, h=_LONG, distance=_INT, string=_LONG, second=_LONG))
     strings = narrow_batches(entries).mapInArrow(explode, schema)
-    key = ["h", "distance", "string"]
+    key = ["h", "distance", "string", "second"]
     twice = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*key)
     return strings.join(twice, key, "left_semi").select("doc", "lo", (F.col("lo") + F.lit(length)).alias("hi"))
 
 
-@F.pandas_udf(_SPANS)
-def _joined(spans: pd.Series) -> pd.Series:
-    """Spans of a document as maximal runs."""
-    out = []
-    for items in spans:
-        merged: list[dict] = []
-        for lo, hi in sorted((int(x["lo"]), int(x["hi"])) for x in items):
-            if merged and lo <= merged[-1]["hi"]:
-                merged[-1]["hi"] = max(merged[-1]["hi"], hi)
-            else:
-                merged.append({"lo": lo, "hi": hi})
-        out.append(merged)
-    return pd.Series(out)
+def _joined(spans: DataFrame) -> DataFrame:
+    """(doc, spans): the spans (doc, lo, hi) of a document as maximal runs, in order."""
+    by_start = Window.partitionBy("doc").orderBy("lo", "hi")
+    reached = F.max("hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reached.isNull() | (F.col("lo") > reached), 1).otherwise(0)
+    runs = spans.withColumn("new", apart).withColumn(
+        "run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = runs.groupBy("doc", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    listed = merged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    return listed.select("doc", F.col("spans").cast(_SPANS).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
@@ -368,9 +436,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     partly = _compare(surroundings(wanted.where(~F.col("hot"))), length)
     if not wanted.where("hot").isEmpty():
         partly = partly.unionByName(_count(surroundings(wanted.where("hot")), length))
-    spans = whole.unionByName(partly).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("all"))
-    spans = spans.join(names, "doc").select(
-        F.col("wanted_id").alias("id"), F.col("wanted_digest").alias("digest"), _joined("all").alias("spans")
+    found = materialize(whole.unionByName(partly).distinct())
+    spans = _joined(found).join(names, "doc").select(
+        F.col("wanted_id").alias("id"), F.col("wanted_digest").alias("digest"), "spans"
     )
     # rows that repeat an id and a text have the same spans
     return materialize(spans.dropDuplicates(["id", "digest"]))
@@ -397,35 +465,53 @@ def remove_repeats(
     digest = F.xxhash64(text_of(text_col))
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), text_of(text_col).alias("text"))
     spans = repeated_spans(plain, length, batches)
-    spans = spans.select(F.col("id").alias("_llm_id"), F.col("digest").alias("_llm_digest"), "spans")
     base = docs.drop(*[c for c in OUTPUTS if c not in (text_col, id_col)])
-    names = [F.col(f"`{c}`") for c in base.columns]
-    hit = may_hold(spans.select(_name("_llm_id", "_llm_digest")), "name", _name(id_col, "_llm_own"))
-    base = base.withColumn("_llm_own", digest).withColumn("_llm_hit", hit)
-    none = F.array().cast(_SPANS).alias("spans")
-    some = base.where("_llm_hit")
-    some = some.join(spans, same(some, spans, {id_col: "_llm_id", "_llm_own": "_llm_digest"}), "left")
-    # a document that surely has no span is not shuffled
-    joined = some.select(*names, F.coalesce("spans", none).alias("spans")).unionByName(
-        base.where(~F.col("_llm_hit")).select(*names, none)
-    )
+    words = _filter(spans.select(_name("id", "digest").alias("name")))
+    name = F.xxhash64(F.col(f"`{id_col}`"), digest)
+    own = _unused([*base.columns, *OUTPUTS], "own")
+    wanted_id, wanted_digest = (_unused([*base.columns, *OUTPUTS], f"wanted_{c}") for c in ("id", "digest"))
+    wanted = spans.select(F.col("id").alias(wanted_id), F.col("digest").alias(wanted_digest), "spans")
+    some = _only(base, name, words, True).withColumn(own, digest)
+    # a document that surely has no span is not shuffled; the join is never a broadcast, for one Python step a stage
+    some = some.join(wanted.hint("merge"), same(some, wanted, {id_col: wanted_id, own: wanted_digest}), "left")
+    some = some.drop(own, wanted_id, wanted_digest)
+    more = [T.StructField("n_bytes", T.LongType()), T.StructField("kept_bytes", T.BinaryType())]
+    schema = T.StructType([*base.schema.fields, T.StructField("spans", _SPANS), *more])
+    width = len(base.columns)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def cut(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        data, offsets = utf8(part.column(part.schema.names.index(text_col)).cast(pa.large_string()))
+        kept = []
+        for k, spans in enumerate(found):
+            text = data[offsets[k] : offsets[k + 1]].tobytes()
+            at, pieces = 0, []
+            for x in spans or ():
+                pieces.append(text[at : x["lo"]])
+                at = x["hi"]
+            kept.append(b"".join([*pieces, text[at:]]))
+        columns = [pa.array([x or [] for x in found], kind), pa.array(np.diff(offsets)), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays([*part.columns[:width], *columns], schema.names)
+
+    def with_spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for part in text_slices(parts, text_col, CUT_BYTES):
+            yield cut(part, part.column(width).to_pylist())
+        tidy()
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def without(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for part in text_slices(parts, text_col, CUT_BYTES):
+            digests, spread = (part.column(width + k).to_numpy() for k in (0, 1))
+            rest = part.filter(pa.array(~passes(words.value, digests, spread)))
+            if rest.num_rows:
+                yield cut(rest, [None] * rest.num_rows)
         tidy()
-        for part in text_slices(parts, text_col, 8 << 20):
-            data, offsets = utf8(part.column(part.schema.names.index(text_col)).cast(pa.large_string()))
-            kept = []
-            for k, spans in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                at, pieces = 0, []
-                for x in spans:
-                    pieces.append(text[at : x["lo"]])
-                    at = x["hi"]
-                kept.append(b"".join([*pieces, text[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(np.diff(offsets)), pa.array(kept, pa.binary())],
-                [*part.schema.names, "n_bytes", "kept_bytes"],
-            )
 
-    more = [T.StructField("n_bytes", T.LongType()), T.StructField("kept_bytes", T.BinaryType())]
-    return narrow_batches(joined).mapInArrow(run, T.StructType([*joined.schema.fields, *more]))
+    bits = _unused([*base.columns, own], "bits")
+    plain = base.withColumn(own, name).withColumn(bits, F.xxhash64(own))
+    return (
+        narrow_batches(some)
+        .mapInArrow(with_spans, schema)
+        .unionByName(narrow_batches(plain).mapInArrow(without, schema))
+    )
