@@ -17,8 +17,12 @@ Only matched anchors are looked at closer. Their surroundings, from ``length -
 ANCHOR`` bytes before to ``length`` bytes after, decide all strings that hold the
 anchor. Where the whole surroundings repeat (64-bit hashes of the anchor and of all
 of it), all of these do. Surroundings that differ are compared string by string, per
-anchor, by two 64-bit hashes, in numpy; anchors with very many different surroundings
-are counted by a distributed grouped sum instead.
+anchor, by two 64-bit hashes, in numpy. A string reaches either half of the bytes before
+its anchor or half of those after it. Anchors with very many different surroundings are
+therefore split: by the anchor with half of the bytes before it, for strings that hold
+these, and by the anchor with half of the bytes after it, for all others. Only
+surroundings that share these, too, in very large numbers are counted by a distributed
+grouped sum instead.
 
 Memory: texts longer than a shard are hashed in overlapping pieces. Every stage has at
 most one Python step, because each such step has a worker of its own per core: texts
@@ -181,7 +185,23 @@ class SuffixIndex:
         return materialize(found)
 
 
-_ENTRY = _fields(doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType())
+_ENTRY = _fields(
+    doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType(), side=_INT
+)
+# which strings an entry stands for: all, those that hold half of the bytes before the anchor, or the others
+ALL, BEFORE, AFTER = 0, 1, 2
+
+
+def _halves(length: int) -> tuple[int, int]:
+    """Bytes before and after an anchor of which every string around it holds one or the other."""
+    reach = length - anchor_bytes(length)
+    return reach // 2, reach - reach // 2
+
+
+def _of_side(there: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings that exist, those an entry stands for. Columns are distances from the start to the anchor."""
+    before = np.arange(there.shape[1]) >= _halves(length)[0]
+    return there & ((side == ALL)[:, None] | ((side == BEFORE)[:, None] == before))
 
 
 def _strings(left: np.ndarray, around: pa.Array, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +237,7 @@ def _resolve(entries: pa.Table, length: int) -> pa.RecordBatch:
     around = pa.concat_arrays([x.cast(pa.large_binary()) for x in entries.column("around").chunks])
     hashes, there = _strings(left, around, length, BASES[1])
     second, _ = _strings(left, around, length, BASES[0])
+    there = _of_side(there, entries.column("side").to_numpy(), length)
     salt = mix(h.astype(U64))
     hit = np.zeros(there.shape, dtype=bool)
     for distance in range(hashes.shape[1]):
@@ -279,17 +300,25 @@ def _filter(names: DataFrame) -> Broadcast:
     return names.sparkSession.sparkContext.broadcast(build_filter(names, "name"))
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once."""
+def _surroundings(docs: DataFrame, wanted: DataFrame, length: int, split: bool) -> DataFrame:
+    """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once.
+
+    With ``split`` a place has an entry for each side, whose key is the hash of that side and the anchor.
+    """
     anchor, reach = anchor_bytes(length), length - anchor_bytes(length)
+    lead, trail = _halves(length)
     # only texts that may be wanted are shuffled; the join is never a broadcast, so that no stage has two Python steps
     words = _filter(wanted.select(_name("wanted_id", "wanted_digest").alias("name")))
     maybe = _only(docs, _name("id", "digest"), words, True)
     joined = maybe.join(wanted.hint("merge"), same(maybe, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
 
+    def hashed(data: np.ndarray, start: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
+        bytes_ = data[start[:, None] + np.arange(width)].astype(U64) + U64(1)
+        return mix((bytes_ * weights[:width]).sum(axis=1, dtype=U64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        weights = powers(BASES[0], anchor)
+        weights = powers(BASES[0], length)
         for part in text_slices(batches, "text", SHARD_BYTES // 4):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
             codes = part.column("codes")
@@ -299,8 +328,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 doc, code = docs_of[k : k + COMPARED_ROWS], all_codes[k : k + COMPARED_ROWS]
                 at = offsets[doc] + (code >> 1)
                 low, high = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
-                bytes_ = data[at[:, None] + np.arange(anchor)].astype(U64) + U64(1)
-                h = mix((bytes_ * weights[:anchor]).sum(axis=1, dtype=U64)) | U64(1)
+                h = hashed(data, at, anchor, weights) | U64(1)
                 around = pa.array([data[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
                 columns = [
                     part.column("doc").take(pa.array(doc)),
@@ -309,8 +337,21 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     pa.array(h.astype(np.int64)),
                     pa.array((code & 1).astype(bool)),
                     around,
+                    pa.array(np.full(len(at), ALL, np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
+                whole = pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
+                if not split:
+                    yield whole
+                    continue
+                for side, begin, width, there in (
+                    (BEFORE, at - lead, lead + anchor, at - low >= lead),
+                    (AFTER, at, anchor + trail, high - at >= anchor + trail),
+                ):
+                    rows = np.flatnonzero(there)
+                    key = mix(hashed(data, begin[rows], width, weights) ^ (h[rows] * U64(2 * side + 1)))
+                    some = whole.take(pa.array(rows))
+                    some = some.set_column(3, "h", pa.array(key.astype(np.int64)))
+                    yield some.set_column(6, "side", pa.array(np.full(len(rows), side, np.int32)))
         tidy()
 
     return narrow_batches(joined.select("doc", "text", "codes")).mapInArrow(run, T.StructType(_ENTRY))
@@ -354,6 +395,7 @@ def _count(entries: DataFrame, length: int) -> DataFrame:
                 left = part.column("left").to_numpy().astype(np.int64)
                 hashes, there = _strings(left, part.column("around"), length, BASES[1])
                 second, _ = _strings(left, part.column("around"), length, BASES[0])
+                there = _of_side(there, part.column("side").to_numpy(), length)
                 row, distance = np.nonzero(there)
                 lo = part.column("pos").to_numpy().astype(np.int64)[row] - distance
                 take = pa.array(row)
@@ -429,13 +471,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     )
     names = anchors.select("doc", F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"))
 
-    def surroundings(codes: DataFrame) -> DataFrame:
+    def surroundings(codes: DataFrame, split: bool) -> DataFrame:
         by_doc = codes.groupBy("doc").agg(F.collect_list("code").alias("codes"))
-        return _surroundings(docs, materialize(by_doc.join(names, "doc")), length)
+        return _surroundings(docs, materialize(by_doc.join(names, "doc")), length, split)
 
-    partly = _compare(surroundings(wanted.where(~F.col("hot"))), length)
+    partly = _compare(surroundings(wanted.where(~F.col("hot")), False), length)
     if not wanted.where("hot").isEmpty():
-        partly = partly.unionByName(_count(surroundings(wanted.where("hot")), length))
+        sides = materialize(surroundings(wanted.where("hot"), True))
+        sizes = sides.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+        sized = materialize(sides.join(sizes, "h"))
+        partly = partly.unionByName(_compare(sized.where(F.col("rows") <= GROUP_ROWS).drop("rows"), length))
+        many = sized.where(F.col("rows") > GROUP_ROWS).drop("rows")
+        if not many.isEmpty():
+            partly = partly.unionByName(_count(many, length))
     found = materialize(whole.unionByName(partly).distinct())
     spans = _joined(found).join(names, "doc").select(
         F.col("wanted_id").alias("id"), F.col("wanted_digest").alias("digest"), "spans"

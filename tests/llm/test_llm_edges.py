@@ -21,7 +21,7 @@ from assetloom.llm.pii import KINDS, find_personal_data
 from assetloom.llm.queries import tokenizer_path
 from assetloom.llm.radix_dedup import drop_exact_copies, exact_groups
 from assetloom.llm.sentencepiece_table import decode_ids, encode_texts
-from assetloom.llm.suffix_dedup import remove_repeats
+from assetloom.llm.suffix_dedup import find_anchors, piece_anchors, remove_repeats
 from assetloom.llm.toxicity import (
     Model,
     Settings,
@@ -62,7 +62,7 @@ def docs(spark):
 def clashing(docs, *names):
     """The rows with further columns that bear names of outputs and internals."""
     out = docs.withColumn("lang", F.lit("xx"))
-    for name in (*names, "id", "digest", "n", "row", "gid", "h", "key"):
+    for name in (*names, "id", "digest", "n", "row", "gid", "h", "key", "bits", "own", "wanted_id"):
         out = out.withColumn(name, F.lit("mine"))
     return out
 
@@ -101,6 +101,16 @@ def test_clashing_names_and_every_row(spark, docs, name):
     assert sorted(map(key, plain.select(*columns).collect())) == sorted(map(key, clash.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("name", ["bytes", "lines", "near"])
+def test_names_of_internal_columns_may_occur(spark, docs, name):
+    operator, outputs = OPERATORS[name]
+    internal = [f"_llm_{x}" for x in ("own", "id", "digest", "drop", "lines", "stays", "found")]
+    out = operator(docs.withColumns({c: F.lit("mine") for c in internal}))
+    assert out.columns == ["doc_id", "text", *internal, *[c for c in out.columns if c in outputs]]
+    assert [tuple(r) for r in out.select(*internal).distinct().collect()] == [("mine",) * len(internal)]
+    assert out.count() == len(ROWS)
+
+
 def test_lines(docs):
     got = [(r["doc_id"], r["kept_text"]) for r in dedup_lines(docs).collect()]
     order = [(d if d is not None else 10**9, t) for d, t in ROWS]
@@ -171,6 +181,34 @@ def test_bytes(docs, length):
     assert sorted(got, key=str) == sorted(brute.repeated_bytes(rows, length), key=str)
 
 
+def test_pieces_of_a_long_text_have_the_anchors_of_the_whole():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 101, 40_000).astype(np.uint8)
+    data[30_000:31_000] = data[5_000:6_000]
+    offsets = np.array([0, len(data)])
+    for length in (40, 400):
+        whole = find_anchors(data, offsets, length)
+        for piece in (1_000, 7_777, 19_999):
+            parts = piece_anchors(data, offsets, length, piece)
+            for a, b in zip(whole, parts, strict=True):
+                assert np.array_equal(a, b)
+
+
+def test_bytes_of_one_text_far_beyond_a_shard(spark):
+    """30 MB in one row: only what was planted repeats."""
+    rng = np.random.default_rng(9)
+    text = bytearray(rng.integers(33, 127, 30_000_000).astype(np.uint8).tobytes())
+    text[20_000_000:20_001_000] = text[1_000_000:1_001_000]
+    text[29_999_000:30_000_000] = text[500:1_500]
+    rows = [(1, text.decode()), (2, "short"), (3, text[9_000_000:9_000_700].decode())]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).drop("text").collect()}
+    spans = [(s["lo"], s["hi"]) for s in got[1]["spans"]]
+    want = [(500, 1_500), (1_000_000, 1_001_000), (9_000_000, 9_000_700), (20_000_000, 20_001_000)]
+    assert spans == [*want, (29_999_000, 30_000_000)]
+    assert len(got[1]["kept_bytes"]) == 30_000_000 - sum(b - a for a, b in spans)
+    assert got[3]["kept_bytes"] == b"" and got[2]["kept_bytes"] == b"short"
+
+
 def test_bytes_of_long_texts(docs):
     got = {r["doc_id"]: (r["n_bytes"], len(r["kept_bytes"])) for r in remove_repeats(docs.where("doc_id in (6, 7)")).collect()}
     assert got[6][0] == len(LONG) and got[6][1] == 0
@@ -233,6 +271,13 @@ def test_contamination_in_blocks(spark, docs):
     assert whole == parts
 
 
+def test_contamination_counts_repeated_items_once(spark, docs):
+    items = [(1, " ".join(LONG.split()[100:140]))] * 50 + [(2, "other words here")]
+    whole = find_contamination(docs, spark.createDataFrame(items[-2:], BENCH)).collect()
+    again = find_contamination(docs, spark.createDataFrame(items, BENCH), block_bytes=2000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, whole))
+
+
 def test_contamination_empty(spark, docs):
     none = find_contamination(docs, spark.createDataFrame([], BENCH)).collect()
     assert len(none) == len(ROWS) and not any(r["contaminated"] for r in none)
