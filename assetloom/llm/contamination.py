@@ -8,9 +8,11 @@ is empty. The depth reached is the longest verbatim match, the interval holds it
 places. Words are compared by two independent 64-bit hashes: the array is ordered
 by the first, places found are confirmed with the second.
 
-The benchmark reaches the tasks in blocks of a bounded size, one broadcast each; a
-larger benchmark means more blocks, never a larger broadcast. Documents are not
-shuffled at all.
+The benchmark reaches the tasks in blocks of a bounded size. A single block is one
+broadcast, and documents are not shuffled at all. A larger benchmark means more blocks:
+each is broadcast, its findings are written, without the texts, and the broadcast is
+destroyed before the next one, so the driver and the tasks never hold more than one.
+Findings of all blocks are then put together by document.
 """
 
 from __future__ import annotations
@@ -19,28 +21,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm.common import narrow_batches
 from assetloom.llm.numtext import U64, text_slices, tidy, utf8, words
+from assetloom.session import materialize
 
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 OUTPUTS = ("n_words", "hits", "items", "longest", "contaminated")
 
 
-def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_bytes: int) -> Iterator[list]:
-    """The benchmark in parts of about ``block_bytes``, one at a time."""
+def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_bytes: int) -> tuple[int, Iterator[list]]:
+    """How many parts of about ``block_bytes`` the distinct items make, and the parts, one at a time."""
     items = benchmark.select(
         F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    ).where(F.col("text").isNotNull())
+    )
+    items = items.where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     n = int(total // block_bytes) + 1
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["id"] if r["id"] is not None else "", r["text"]) for r in part.collect()]
+
+    def parts() -> Iterator[list]:
+        for k in range(n):
+            part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
+            yield [(r["id"] if r["id"] is not None else "", r["text"]) for r in part.collect()]
+
+    return n, parts()
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -178,14 +187,56 @@ def _shard(batch: pa.RecordBatch, name: str, suffixes: Suffixes) -> dict[str, li
     return {"n_words": np.diff(counts).tolist(), "hits": hits, "items": items, "longest": reach.tolist()}
 
 
-def _join_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("hits", T.ArrayType(_SPAN)),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("longest", T.IntegerType()),
+    ]
+)
+_KINDS = [
+    pa.int64(),
+    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
+    pa.list_(pa.string()),
+    pa.int32(),
+]
+
+
+def _searched(docs: DataFrame, text_col: str, block: Broadcast, window: int, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the findings of one block of items."""
+    names = [f.name for f in _FOUND.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        suffixes = Suffixes(block.value, window)
+        for part in text_slices(batches, text_col, SHARD_BYTES):
+            found = _shard(part, text_col, suffixes)
+            found["hits"] = [[{"start": s, "end": e} for s, e in x] for x in found["hits"]]
+            found["items"] = [sorted(set(x)) for x in found["items"]]
+            columns = [pa.array(found[n], kind) for n, kind in zip(names, _KINDS, strict=True)]
+            kept = [part.column(part.schema.names.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *names])
+
+    schema = T.StructType([*[docs.schema[c] for c in keep], *_FOUND.fields])
+    return narrow_batches(docs).mapInArrow(run, schema)
+
+
+def _united(spans: Column) -> Column:
+    """Spans of several blocks as maximal runs, in order."""
+
+    def add(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (span["start"] <= last["end"])
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(joins, F.concat(rest, F.array(longer))).otherwise(
+            F.concat(done, F.array(span))
+        )
+
+    empty = F.array().cast(T.ArrayType(_SPAN))
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def find_contamination(
@@ -207,56 +258,36 @@ def find_contamination(
     words of an item, or all words of a shorter one.
 
     NULL and empty texts have no words and no hits. Items without words have no
-    window; NULL item ids are reported as the empty string; items that repeat an id
-    count once. Rows are independent, so repeated documents are all returned; an
+    window; NULL item ids are reported as the empty string; rows that repeat an item are one
+    item, and items that repeat an id count once. Rows are independent, so repeated documents are all returned; an
     empty benchmark hits nothing. Columns that bear an output's name are replaced.
     """
     sc = docs.sparkSession.sparkContext
     base = docs.drop(*[c for c in OUTPUTS if c != text_col])
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    added = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("hits", T.ArrayType(span)),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("longest", T.IntegerType()),
-        ]
+    n, parts = _blocks(benchmark, item_text_col, item_id_col, block_bytes)
+    if n == 1:
+        out = _searched(base, text_col, sc.broadcast(next(parts)), window, base.columns)
+        return out.withColumn("contaminated", F.size("hits") > 0)
+    row = "row"
+    while row in base.columns:
+        row += "_"
+    numbered = materialize(base.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for part in parts:
+        block = sc.broadcast(part)
+        some = materialize(_searched(numbered.select(row, text_col), text_col, block, window, [row]))
+        block.destroy()
+        found = some if found is None else found.unionByName(some)
+    whole = found.groupBy(row).agg(
+        F.max("n_words").alias("n_words"),
+        _united(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"),
     )
-    kinds = [
-        pa.int64(),
-        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-        pa.list_(pa.string()),
-        pa.int32(),
-    ]
-    names = [f.name for f in added.fields]
-    schema = T.StructType([*base.schema.fields, *added.fields])
-    out = base
-    for k, block in enumerate(_blocks(benchmark, item_text_col, item_id_col, block_bytes)):
-        shared = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
-            tidy()
-            suffixes = Suffixes(shared.value, window)
-            for part in text_slices(batches, text_col, SHARD_BYTES):
-                found = _shard(part, text_col, suffixes)
-                old = part.num_columns - (0 if first else len(names))
-                if not first:
-                    before = [part.column(old + i).to_pylist() for i in range(len(names))]
-                    found["hits"] = [
-                        _join_spans(a, [(x["start"], x["end"]) for x in b])
-                        for a, b in zip(found["hits"], before[1], strict=True)
-                    ]
-                    found["items"] = [[*a, *b] for a, b in zip(found["items"], before[2], strict=True)]
-                    found["longest"] = [max(x) for x in zip(found["longest"], before[3], strict=True)]
-                found["hits"] = [[{"start": s, "end": e} for s, e in x] for x in found["hits"]]
-                found["items"] = [sorted(set(x)) for x in found["items"]]
-                columns = [pa.array(found[n], kind) for n, kind in zip(names, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:old], *columns], [*part.schema.names[:old], *names]
-                )
-
-        out = narrow_batches(out).mapInArrow(run, schema)
-    return out.withColumn("contaminated", F.size("hits") > 0)
+    # in the order of the input, as with one block
+    out = numbered.join(whole, row).orderBy(row)
+    columns = [numbered[f"`{c}`"] for c in base.columns] + [whole[f.name] for f in _FOUND.fields]
+    return out.select(*columns).withColumn("contaminated", F.size(whole["hits"]) > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
