@@ -42,6 +42,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
+def own_prefix(df: DataFrame) -> str:
+    """Begins the names of an operator's own columns: no column of ``df`` begins like it."""
+    prefix = "_llm"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def id_order(name: str) -> Column:
     """Orders rows by id with NULL last; two NULL ids are equal."""
     return F.struct(F.col(f"`{name}`").isNull().alias("none"), F.col(f"`{name}`").alias("id"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import WHITE, ascii_lower, broadcast_if_small, id_order, same, text_of
+from assetloom.llm.common import WHITE, ascii_lower, broadcast_if_small, id_order, own_prefix, same, text_of
 from assetloom.session import materialize
 
 OUTPUTS = ("kept_text", "n_lines", "n_dropped")
@@ -36,6 +36,7 @@ def dedup_lines(
     document that comes after all others. Every row is returned, repeated ones as
     often as they came. Columns that bear an output's name are replaced.
     """
+    own = own_prefix(docs)
     digest = F.xxhash64(text_of(text_col))
     lines = (
         docs.select(
@@ -58,29 +59,29 @@ def dedup_lines(
     drops = materialize(
         lines.join(repeated, ["h1", "h2"])
         .where(document != F.col("first"))
-        .groupBy(F.col("id").alias("_llm_id"), F.col("digest").alias("_llm_digest"))
-        .agg(F.collect_set("pos").alias("_llm_drop"))
+        .groupBy(F.col("id").alias(f"{own}_id"), F.col("digest").alias(f"{own}_digest"))
+        .agg(F.collect_set("pos").alias(f"{own}_drop"))
     )
-    base = docs.drop(*[c for c in OUTPUTS if c != text_col and c != id_col]).withColumn("_llm_own", digest)
-    small = broadcast_if_small(drops, F.size("_llm_drop") * 4 + 48)
+    base = docs.drop(*[c for c in OUTPUTS if c != text_col and c != id_col]).withColumn(f"{own}_own", digest)
+    small = broadcast_if_small(drops, F.size(f"{own}_drop") * 4 + 48)
     joined = base.join(
-        small, same(base, small, {id_col: "_llm_id", "_llm_own": "_llm_digest"}), "left"
-    ).withColumn("_llm_lines", F.split(text_of(text_col), "\n"))
+        small, same(base, small, {id_col: f"{own}_id", f"{own}_own": f"{own}_digest"}), "left"
+    ).withColumn(f"{own}_lines", F.split(text_of(text_col), "\n"))
     # positions are integers, so array_except is a hash lookup: linear in the number of lines
     stays = F.array_except(
-        F.sequence(F.lit(0), F.size("_llm_lines") - 1), F.coalesce("_llm_drop", F.array().cast("array<int>"))
+        F.sequence(F.lit(0), F.size(f"{own}_lines") - 1), F.coalesce(f"{own}_drop", F.array().cast("array<int>"))
     )
     return (
-        joined.withColumn("_llm_stays", stays)
+        joined.withColumn(f"{own}_stays", stays)
         .withColumn(
             "kept_text",
-            F.when(F.col("_llm_drop").isNull(), text_of(text_col)).otherwise(
+            F.when(F.col(f"{own}_drop").isNull(), text_of(text_col)).otherwise(
                 F.array_join(
-                    F.transform("_llm_stays", lambda i: F.element_at(F.col("_llm_lines"), i + 1)), "\n"
+                    F.transform(f"{own}_stays", lambda i: F.element_at(F.col(f"{own}_lines"), i + 1)), "\n"
                 )
             ),
         )
-        .withColumn("n_lines", F.size("_llm_lines").cast("long"))
-        .withColumn("n_dropped", (F.size("_llm_lines") - F.size("_llm_stays")).cast("long"))
-        .drop("_llm_id", "_llm_digest", "_llm_own", "_llm_drop", "_llm_lines", "_llm_stays")
+        .withColumn("n_lines", F.size(f"{own}_lines").cast("long"))
+        .withColumn("n_dropped", (F.size(f"{own}_lines") - F.size(f"{own}_stays")).cast("long"))
+        .drop(f"{own}_id", f"{own}_digest", f"{own}_own", f"{own}_drop", f"{own}_lines", f"{own}_stays")
     )

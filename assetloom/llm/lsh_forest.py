@@ -3,9 +3,11 @@
 A document is its set of word shingles. Documents with the same set form a class
 and are compared once. A class has a MinHash signature, dealt to ``TREES`` tries of
 depth ``DEPTH``. Two classes are candidates when they share a path from the root of
-a trie. Starting from full depth, the path asked for is shortened until a pair at
-the threshold is found with the target recall; longer paths lie within shorter ones,
-so one grouping by the final prefix, kept in trie order, holds all earlier rounds.
+a trie. How far prefixes have to be shortened is known beforehand: a pair at the
+threshold must be found with the target recall, whatever the data. Longer prefixes lie
+within shorter ones, so the rounds in between would find no other pair, and one grouping
+by the final prefix does; no trie is sorted or walked. A threshold that no
+prefix serves is refused.
 
 Members of a trie node are compared in blocks, so a large node becomes many tasks of
 bounded size. A pair is taken up in the first trie that joins it. Signatures first
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import broadcast_if_small, id_order, narrow_batches, same, text_of
+from assetloom.llm.common import broadcast_if_small, id_order, narrow_batches, own_prefix, same, text_of
 from assetloom.llm.components import components
 from assetloom.llm.numtext import BASES, U64, mix, powers, text_slices, tidy, utf8, words
 from assetloom.session import materialize
@@ -49,7 +51,7 @@ def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int
     for d in range(depth, 0, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
-    return 1
+    raise ValueError(f"{trees} trees do not find pairs at {threshold} with recall {recall}: ask for less recall")
 
 
 def _family(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,26 +360,27 @@ def near_duplicates(
     )
     grouped = materialize(grouped)
     firsts = grouped.groupBy("label").agg(F.min("first").alias("least"))
+    own = own_prefix(docs)
     result = (
         sets.where(F.col("size") > 0)
         .select("id", "digest", "f1", "f2")
         .distinct()
         .join(grouped.join(firsts, "label"), ["f1", "f2"])
         .select(
-            F.col("id").alias("_llm_id"),
-            F.col("digest").alias("_llm_digest"),
+            F.col("id").alias(f"{own}_id"),
+            F.col("digest").alias(f"{own}_digest"),
             F.col("least.id").alias("class_id"),
             (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.lit(True).alias("_llm_found"),
+            F.lit(True).alias(f"{own}_found"),
         )
     )
     result = broadcast_if_small(materialize(result), 48)
     base = docs.drop(*[c for c in OUTPUTS if c not in (text_col, id_col)])
     names = base.columns
-    base = base.withColumn("_llm_own", digest)
-    out = base.join(result, same(base, result, {id_col: "_llm_id", "_llm_own": "_llm_digest"}), "left")
+    base = base.withColumn(f"{own}_own", digest)
+    out = base.join(result, same(base, result, {id_col: f"{own}_id", f"{own}_own": f"{own}_digest"}), "left")
     return out.select(
         *[F.col(f"`{c}`") for c in names],
-        F.when(F.col("_llm_found"), F.col("class_id")).otherwise(F.col(f"`{id_col}`")).alias("class_id"),
+        F.when(F.col(f"{own}_found"), F.col("class_id")).otherwise(F.col(f"`{id_col}`")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )

@@ -118,7 +118,28 @@ def test_intersections():
 
 
 def test_prefixes_are_shortened_until_the_recall_is_reached():
-    assert prefix_depth(0.8, 0.0) == 6 and prefix_depth(0.8, 0.99999) == 4 and prefix_depth(0.3, 0.999999) == 1
+    assert prefix_depth(0.8, 0.0) == 6 and prefix_depth(0.8, 0.99999) == 4 and prefix_depth(0.4, 0.999) == 1
+    # a target that no prefix reaches is refused, not missed silently
+    with pytest.raises(ValueError):
+        prefix_depth(0.3, 0.999999)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8])
+def test_recall_at_the_threshold(spark, threshold):
+    """Pairs that are exactly as similar as asked for, or just not."""
+    n, rows = 400, []
+    for pair in range(n):
+        # sets of 60 words with k in common: similarity k / (120 - k)
+        k = int(np.ceil(120 * threshold / (1 + threshold) - 1e-9)) - (pair % 4 == 3)
+        first = [f"p{pair}w{i}" for i in range(60)]
+        second = first[:k] + [f"p{pair}x{i}" for i in range(60 - k)]
+        rows += [(2 * pair, " ".join(first)), (2 * pair + 1, " ".join(second))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(docs, n=1, threshold=threshold).collect()}
+    for pair in range(n):
+        linked = pair % 4 != 3
+        assert got[2 * pair] == (2 * pair, int(linked))
+        assert got[2 * pair + 1] == (2 * pair + (not linked), int(linked))
 
 
 def test_forest_finds_all_links_of_a_large_group(spark):
