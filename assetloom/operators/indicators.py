@@ -198,15 +198,8 @@ def smooth_complete(table: DataFrame, rows: int = SMOOTHING, smooth_price: bool
     return averaged.where(F.col("_rows") == rows).drop("_rows")
 
 
-def technical_indicators(
-    prices: DataFrame, periods: Sequence[int] = LONG, smoothing: int = SMOOTHING, smooth_price: bool = True
-) -> DataFrame:
-    """All indicators, smoothed, complete rows only.
-
-    Same-shaped work is done together: one pass of lags, one of short frames,
-    one of exponential sums. The plan has a single shuffle, by asset.
-    """
-    base = prices.select(ITEM, TS, PRICE)
+def framed_indicators(base: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """Lags and rolling frames of (asset, date, price), and gains and losses, before exponential means."""
     lags = base.select(
         "*",
         *[growth(F.col(PRICE), _back(t)).alias(f"past_profitability_{t}d") for t in (1, *periods)],
@@ -228,18 +221,24 @@ def technical_indicators(
             *[Rolling(kind, PRICE, t, f"{kind}_{t}d") for t in periods for kind in ("min", "max")],
         ],
     )
+    return _annualized(rolled, [f"volatility_{t}d" for t in periods])
+
+
+def exponential_specs(periods: Sequence[int]) -> list[Ewm]:
+    """The exponential means that all indicators together need."""
     fast, slow = MACD_SPANS
-    weighted = ewm(
-        _annualized(rolled, [f"volatility_{t}d" for t in periods]),
-        [
-            Ewm(PRICE, fast, False, "_fast"),
-            Ewm(PRICE, slow, False, "_slow"),
-            Ewm("_gain", RSI_SPAN, False, "_up"),
-            Ewm("_loss", RSI_SPAN, False, "_down"),
-            *[Ewm(PRICE, t, True, f"exp_mean_{t}d") for t in periods],
-        ],
-    )
-    everything = weighted.select(
+    return [
+        Ewm(PRICE, fast, False, "_fast"),
+        Ewm(PRICE, slow, False, "_slow"),
+        Ewm("_gain", RSI_SPAN, False, "_up"),
+        Ewm("_loss", RSI_SPAN, False, "_down"),
+        *[Ewm(PRICE, t, True, f"exp_mean_{t}d") for t in periods],
+    ]
+
+
+def assembled_indicators(weighted: DataFrame, periods: Sequence[int], *more: str) -> DataFrame:
+    """All indicators from frames and exponential means; columns in ``more`` come along."""
+    return weighted.select(
         ITEM,
         TS,
         PRICE,
@@ -253,7 +252,20 @@ def technical_indicators(
         (F.col("_mid") - F.col("_sma")).alias(f"dco_{DCO_ROWS}"),
         *[_sharpe(t) for t in periods],
         *[f"{kind}_{t}d" for t in periods for kind in ("min", "max", "exp_mean")],
+        *more,
     )
+
+
+def technical_indicators(
+    prices: DataFrame, periods: Sequence[int] = LONG, smoothing: int = SMOOTHING, smooth_price: bool = True
+) -> DataFrame:
+    """All indicators, smoothed, complete rows only.
+
+    Same-shaped work is done together: one pass of lags, one of short frames,
+    one of exponential sums. The plan has a single shuffle, by asset.
+    """
+    framed = framed_indicators(prices.select(ITEM, TS, PRICE), periods)
+    everything = assembled_indicators(ewm(framed, exponential_specs(periods)), periods)
     return smooth_complete(everything, smoothing, smooth_price)
 
 
