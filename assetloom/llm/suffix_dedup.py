@@ -17,12 +17,11 @@ Only matched anchors are looked at closer. Their surroundings, from ``length -
 ANCHOR`` bytes before to ``length`` bytes after, decide all strings that hold the
 anchor. Where the whole surroundings repeat (64-bit hashes of the anchor and of all
 of it), all of these do. Surroundings that differ are compared string by string, per
-anchor, by two 64-bit hashes, in numpy. A string reaches either half of the bytes before
-its anchor or half of those after it. Anchors with very many different surroundings are
-therefore split: by the anchor with half of the bytes before it, for strings that hold
-these, and by the anchor with half of the bytes after it, for all others. Only
-surroundings that share these, too, in very large numbers are counted by a distributed
-grouped sum instead.
+anchor, by two 64-bit hashes, in numpy. Anchors with very many different surroundings
+are split by the distances at which a string may start before them: strings of one half of
+the distances all hold some further bytes before or after the anchor, so only surroundings
+with equal such bytes need to meet. Of those that agree on all bytes of the half's strings
+one goes on. This is repeated with halves of halves until groups are small.
 
 Memory: texts longer than a shard are hashed in overlapping pieces. Every stage has at
 most one Python step, because each such step has a worker of its own per core: texts
@@ -31,8 +30,10 @@ are tested against the Bloom filter in the step that reads or cuts them.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -185,23 +186,10 @@ class SuffixIndex:
         return materialize(found)
 
 
+# an anchor's place with its surroundings, for strings that start ``lo`` up to ``hi`` bytes before it
 _ENTRY = _fields(
-    doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType(), side=_INT
+    doc=_LONG, pos=_INT, left=_INT, h=_LONG, once=T.BooleanType(), around=T.BinaryType(), lo=_INT, hi=_INT
 )
-# which strings an entry stands for: all, those that hold half of the bytes before the anchor, or the others
-ALL, BEFORE, AFTER = 0, 1, 2
-
-
-def _halves(length: int) -> tuple[int, int]:
-    """Bytes before and after an anchor of which every string around it holds one or the other."""
-    reach = length - anchor_bytes(length)
-    return reach // 2, reach - reach // 2
-
-
-def _of_side(there: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
-    """Of the strings that exist, those an entry stands for. Columns are distances from the start to the anchor."""
-    before = np.arange(there.shape[1]) >= _halves(length)[0]
-    return there & ((side == ALL)[:, None] | ((side == BEFORE)[:, None] == before))
 
 
 def _strings(left: np.ndarray, around: pa.Array, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +225,9 @@ def _resolve(entries: pa.Table, length: int) -> pa.RecordBatch:
     around = pa.concat_arrays([x.cast(pa.large_binary()) for x in entries.column("around").chunks])
     hashes, there = _strings(left, around, length, BASES[1])
     second, _ = _strings(left, around, length, BASES[0])
-    there = _of_side(there, entries.column("side").to_numpy(), length)
+    distances = np.arange(there.shape[1])
+    there &= distances >= entries.column("lo").to_numpy()[:, None]
+    there &= distances < entries.column("hi").to_numpy()[:, None]
     salt = mix(h.astype(U64))
     hit = np.zeros(there.shape, dtype=bool)
     for distance in range(hashes.shape[1]):
@@ -300,25 +290,17 @@ def _filter(names: DataFrame) -> Broadcast:
     return names.sparkSession.sparkContext.broadcast(build_filter(names, "name"))
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, length: int, split: bool) -> DataFrame:
-    """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once.
-
-    With ``split`` a place has an entry for each side, whose key is the hash of that side and the anchor.
-    """
+def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Bytes around anchors. ``wanted`` holds, per document, codes: twice the place, plus one if it occurs once."""
     anchor, reach = anchor_bytes(length), length - anchor_bytes(length)
-    lead, trail = _halves(length)
     # only texts that may be wanted are shuffled; the join is never a broadcast, so that no stage has two Python steps
     words = _filter(wanted.select(_name("wanted_id", "wanted_digest").alias("name")))
     maybe = _only(docs, _name("id", "digest"), words, True)
     joined = maybe.join(wanted.hint("merge"), same(maybe, wanted, {"id": "wanted_id", "digest": "wanted_digest"}))
 
-    def hashed(data: np.ndarray, start: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
-        bytes_ = data[start[:, None] + np.arange(width)].astype(U64) + U64(1)
-        return mix((bytes_ * weights[:width]).sum(axis=1, dtype=U64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        weights = powers(BASES[0], length)
+        weights = powers(BASES[0], anchor)[:anchor]
         for part in text_slices(batches, "text", SHARD_BYTES // 4):
             data, offsets = utf8(part.column("text").cast(pa.large_string()))
             codes = part.column("codes")
@@ -328,7 +310,8 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int, split: bool)
                 doc, code = docs_of[k : k + COMPARED_ROWS], all_codes[k : k + COMPARED_ROWS]
                 at = offsets[doc] + (code >> 1)
                 low, high = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
-                h = hashed(data, at, anchor, weights) | U64(1)
+                bytes_ = data[at[:, None] + np.arange(anchor)].astype(U64) + U64(1)
+                h = mix((bytes_ * weights).sum(axis=1, dtype=U64)) | U64(1)
                 around = pa.array([data[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
                 columns = [
                     part.column("doc").take(pa.array(doc)),
@@ -337,21 +320,10 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int, split: bool)
                     pa.array(h.astype(np.int64)),
                     pa.array((code & 1).astype(bool)),
                     around,
-                    pa.array(np.full(len(at), ALL, np.int32)),
+                    pa.array(np.zeros(len(at), np.int32)),
+                    pa.array(np.full(len(at), reach + 1, np.int32)),
                 ]
-                whole = pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
-                if not split:
-                    yield whole
-                    continue
-                for side, begin, width, there in (
-                    (BEFORE, at - lead, lead + anchor, at - low >= lead),
-                    (AFTER, at, anchor + trail, high - at >= anchor + trail),
-                ):
-                    rows = np.flatnonzero(there)
-                    key = mix(hashed(data, begin[rows], width, weights) ^ (h[rows] * U64(2 * side + 1)))
-                    some = whole.take(pa.array(rows))
-                    some = some.set_column(3, "h", pa.array(key.astype(np.int64)))
-                    yield some.set_column(6, "side", pa.array(np.full(len(rows), side, np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in _ENTRY])
         tidy()
 
     return narrow_batches(joined.select("doc", "text", "codes")).mapInArrow(run, T.StructType(_ENTRY))
@@ -386,36 +358,74 @@ def _compare(entries: DataFrame, length: int) -> DataFrame:
     return narrow_batches(sorted_).mapInArrow(run, T.StructType(_fields(doc=_LONG, lo=_INT, hi=_INT)))
 
 
-def _count(entries: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many surroundings for one task: all strings, counted by Spark."""
+def _halved(entries: DataFrame, length: int) -> DataFrame:
+    """Two entries for one, each for half of its distances; those without any such string are left out.
+
+    ``h`` becomes the hash of the bytes that all strings of a half hold, ``cover`` that of the bytes
+    that any of them holds.
+    """
+    anchor, reach = anchor_bytes(length), length - anchor_bytes(length)
+
+    def digest(data: bytes, *numbers: int) -> int:
+        name = struct.pack(f"<{len(numbers)}q", *numbers)
+        whole = blake2b(data + name, digest_size=8).digest()
+        return int.from_bytes(whole, "little", signed=True)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in _ENTRY]
         for batch in batches:
             for part in slices(batch, np.ones(batch.num_rows), COMPARED_ROWS):
-                left = part.column("left").to_numpy().astype(np.int64)
-                hashes, there = _strings(left, part.column("around"), length, BASES[1])
-                second, _ = _strings(left, part.column("around"), length, BASES[0])
-                there = _of_side(there, part.column("side").to_numpy(), length)
-                row, distance = np.nonzero(there)
-                lo = part.column("pos").to_numpy().astype(np.int64)[row] - distance
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc").take(take),
-                        pa.array(lo.astype(np.int32)),
-                        part.column("h").take(take),
-                        pa.array(distance.astype(np.int32)),
-                        pa.array(hashes[row, distance].astype(np.int64)),
-                        pa.array(second[row, distance].astype(np.int64)),
-                    ],
-                    ["doc", "lo", "h", "distance", "string", "second"],
-                )
-
-    schema = T.StructType(_fields(doc=_LONG, lo=_INT, h=_LONG, distance=_INT, string=_LONG, second=_LONG))
-    strings = narrow_batches(entries).mapInArrow(explode, schema)
-    key = ["h", "distance", "string", "second"]
-    twice = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*key)
-    return strings.join(twice, key, "left_semi").select("doc", "lo", (F.col("lo") + F.lit(length)).alias("hi"))
+                out: list[list] = [[] for _ in range(5)]
+                columns = [part.column(c).to_pylist() for c in ("left", "h", "around", "lo", "hi")]
+                for k, (left, h, around, lo, hi) in enumerate(zip(*columns, strict=True)):
+                    middle = (lo + hi) // 2
+                    for a, b in ((lo, middle), (middle, hi)):
+                        begin, end = left - a, left + anchor + reach - b + 1
+                        if a >= b or begin < 0 or end > len(around):
+                            continue
+                        low, high = max(0, left - b + 1), min(len(around), left + anchor + reach - a)
+                        cover = digest(around[low:high], a, b, left - low)
+                        for column, x in zip(out, (k, digest(around[begin:end], h, a, b), a, b, cover), strict=True):
+                            column.append(x)
+                some = part.take(pa.array(out[0], pa.int64()))
+                some = some.set_column(names.index("h"), "h", pa.array(out[1], pa.int64()))
+                some = some.set_column(names.index("lo"), "lo", pa.array(out[2], pa.int32()))
+                some = some.set_column(names.index("hi"), "hi", pa.array(out[3], pa.int32()))
+                yield some.append_column("cover", pa.array(out[4], pa.int64()))
+
+    schema = T.StructType([*_ENTRY, T.StructField("cover", _LONG)])
+    return narrow_batches(entries.select(*[f.name for f in _ENTRY])).mapInArrow(run, schema)
+
+
+def _split(entries: DataFrame, length: int) -> DataFrame:
+    """Spans (doc, lo, hi) of entries whose anchors have too many different surroundings for one task."""
+    found = []
+    while True:
+        halves = materialize(_halved(entries, length))
+        kinds = materialize(
+            halves.groupBy("h", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("one"))
+        )
+        # the same bytes all over: every string of this half repeats
+        again = halves.join(kinds.where(F.col("n") > 1).select("h", "cover"), ["h", "cover"], "left_semi")
+        furthest = F.least(F.col("hi") - 1, F.col("left"))
+        nearest = F.greatest(F.col("lo"), F.lit(length) - (F.octet_length("around") - F.col("left")))
+        found.append(
+            again.where("once").select(
+                "doc", (F.col("pos") - furthest).alias("lo"), (F.col("pos") - nearest + length).alias("hi")
+            )
+        )
+        # different ones: through one place each
+        met = kinds.join(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1), "h")
+        ones = (
+            halves.join(met, ["h", "cover"])
+            .where(F.struct("doc", "pos") == F.col("one"))
+            .withColumn("once", F.col("once") & (F.col("n") == 1))
+        )
+        ones = materialize(ones.select("rows", *[f.name for f in _ENTRY]))
+        found.append(_compare(ones.where(F.col("rows") <= GROUP_ROWS).drop("rows"), length))
+        entries = ones.where(F.col("rows") > GROUP_ROWS).drop("rows")
+        if entries.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def _joined(spans: DataFrame) -> DataFrame:
@@ -471,19 +481,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     )
     names = anchors.select("doc", F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"))
 
-    def surroundings(codes: DataFrame, split: bool) -> DataFrame:
+    def surroundings(codes: DataFrame) -> DataFrame:
         by_doc = codes.groupBy("doc").agg(F.collect_list("code").alias("codes"))
-        return _surroundings(docs, materialize(by_doc.join(names, "doc")), length, split)
+        return _surroundings(docs, materialize(by_doc.join(names, "doc")), length)
 
-    partly = _compare(surroundings(wanted.where(~F.col("hot")), False), length)
+    partly = _compare(surroundings(wanted.where(~F.col("hot"))), length)
     if not wanted.where("hot").isEmpty():
-        sides = materialize(surroundings(wanted.where("hot"), True))
-        sizes = sides.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-        sized = materialize(sides.join(sizes, "h"))
-        partly = partly.unionByName(_compare(sized.where(F.col("rows") <= GROUP_ROWS).drop("rows"), length))
-        many = sized.where(F.col("rows") > GROUP_ROWS).drop("rows")
-        if not many.isEmpty():
-            partly = partly.unionByName(_count(many, length))
+        partly = partly.unionByName(_split(surroundings(wanted.where("hot")), length))
     found = materialize(whole.unionByName(partly).distinct())
     spans = _joined(found).join(names, "doc").select(
         F.col("wanted_id").alias("id"), F.col("wanted_digest").alias("digest"), "spans"
