@@ -227,9 +227,9 @@ def unseen_items(edges: DataFrame, items: DataFrame, n: int, seed: int) -> DataF
     pieces = materialize(_unseen_pieces(pairs, n_items))
     users = materialize(pieces.select(U, "_m", "_width").distinct())
     asking = _with_positions(pairs.join(users, U), n, seed)
-    asked = asking.select(U, I, "_width", F.posexplode("_t").alias("draw", "_p")).withColumn(
-        "_stretch", F.floor(F.col("_p") / F.col("_width"))
-    )
+    # the plain explode would filter by the size of the array first, and so draw twice
+    listed = asking.select(U, I, "_width", F.posexplode_outer("_t").alias("draw", "_p"))
+    asked = listed.where(F.col("_p").isNotNull()).withColumn("_stretch", F.floor(F.col("_p") / F.col("_width")))
     spread = pieces.where(F.col("_low") < F.col("_high")).select(
         U,
         "_low",
