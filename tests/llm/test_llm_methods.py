@@ -64,8 +64,8 @@ def test_every_string_holds_an_anchor():
         assert chosen.setdefault(text[i : i + length], inside[0]) in inside
 
 
-@pytest.mark.parametrize("rows_at_once", [2, 7])
-def test_hot_anchors_are_split_by_distances(spark, monkeypatch, rows_at_once):
+@pytest.mark.parametrize(("rows_at_once", "length"), [(2, 40), (7, 60)])
+def test_hot_anchors_are_split_by_distances(spark, monkeypatch, rows_at_once, length):
     """Nested passages: shared by all texts, by many and by few, some at the ends of texts, some repeated inside one."""
     from assetloom.llm import suffix_dedup
 
@@ -80,13 +80,12 @@ def test_hot_anchors_are_split_by_distances(spark, monkeypatch, rows_at_once):
         outer = (rng.choice(far) if i % 3 else "") + inner + (rng.choice(far) if i % 4 else "")
         rows.append((i, (some(rng.randrange(9)) + outer) * (2 if i % 10 == 0 else 1) + some(rng.randrange(9))))
     rows += [(100, core), (101, core + after[0]), (102, rows[3][1]), (103, None)]
-    for length in (40, 60):
-        out = remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length).collect()
-        got = sorted(
-            (r["doc_id"], r["n_bytes"], sum(s["hi"] - s["lo"] for s in r["spans"]), len(r["spans"]), bytes(r["kept_bytes"]))
-            for r in out
-        )
-        assert got == sorted(brute.repeated_bytes(rows, length))
+    out = remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length).collect()
+    got = sorted(
+        (r["doc_id"], r["n_bytes"], sum(s["hi"] - s["lo"] for s in r["spans"]), len(r["spans"]), bytes(r["kept_bytes"]))
+        for r in out
+    )
+    assert got == sorted(brute.repeated_bytes(rows, length))
 
 
 def test_many_surroundings_are_counted_alike(spark, monkeypatch):
