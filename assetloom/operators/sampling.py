@@ -36,6 +36,8 @@ def excluding(weights: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
 
 # stretches of the line that a block of the coarse level covers
 COARSE = 1024
+# dependent draws of one plan
+DRAWS_PER_PLAN = 4
 
 
 class _Intervals:
@@ -83,21 +85,23 @@ class _Intervals:
 
     def find(self, points: DataFrame, position: str) -> DataFrame:
         """Add _key, _start and _w of the interval holding ``position``."""
-        stretch = self._stretch(F.col(position))
-        asked = points.withColumn("_at", stretch).select(
+        at = self._stretch(F.col(position))
+        # what the join compares leaves the generator: a filter inferred from the join would
+        # otherwise be pushed below it and evaluate the draws once per use of the position
+        asked = points.select(
             "*",
-            F.inline(
+            F.inline_outer(
                 F.array(
-                    F.struct(F.lit(0).alias("_level"), F.col("_at").alias("_slot")),
-                    F.struct(F.lit(1).alias("_level"), F.floor(F.col("_at") / COARSE).alias("_slot")),
+                    F.struct(F.lit(0).alias("_level"), at.alias("_slot"), F.col(position).alias("_at")),
+                    F.struct(
+                        F.lit(1).alias("_level"), F.floor(at / COARSE).alias("_slot"), F.col(position).alias("_at")
+                    ),
                 )
             ),
         )
         return (
             asked.join(self.slots, ["_level", "_slot"])
-            .where(
-                (F.col("_start") <= F.col(position)) & (F.col(position) < F.col("_start") + F.col("_w"))
-            )
+            .where((F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_start") + F.col("_w")))
             .drop("_level", "_slot", "_at")
         )
 
@@ -120,12 +124,15 @@ def weighted_sample_distinct(
     """``count`` different keys per request: each draw is proportional to the weights not drawn yet.
 
     A draw picks a position on the line with the drawn intervals cut out, so no
-    draw is ever rejected. Every request carries at most ``count`` intervals.
+    draw is ever rejected. Every request carries at most ``count`` intervals. They are
+    written after every ``DRAWS_PER_PLAN`` draws, so the plan does not grow with ``count``.
     """
     size = weights.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if count > size:
         raise ValueError(f"cannot draw {count} different keys from {size}")
     line = _Intervals(weights, key, weight)
+    # every draw reads them
+    line.slots = materialize(line.slots)
     taken_type = f"array<struct<_start:bigint,_w:bigint,_key:{dict(weights.dtypes)[key]}>>"
     state = requests.select(request, F.array().cast(taken_type).alias("_taken"))
     for j in range(count):
@@ -141,6 +148,8 @@ def weighted_sample_distinct(
         state = line.find(asked, "_p").select(
             request, F.concat("_taken", F.array(F.struct("_start", "_w", "_key"))).cast(taken_type).alias("_taken")
         )
+        if j % DRAWS_PER_PLAN == DRAWS_PER_PLAN - 1:
+            state = materialize(state)
     return state.select(request, F.posexplode("_taken").alias("draw", "_t")).select(
         request, "draw", F.col("_t._key").alias(key)
     )

@@ -221,6 +221,34 @@ def test_weighted_sampling(spark):
         N.weighted_sample_distinct(weights, requests, 4, 3, "k", "req")
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_not_evaluated_in_filters(spark):
+    weights = spark.createDataFrame([("a", 60), ("b", 30), ("c", 10)], "k string, n long")
+    requests = spark.range(10).withColumnRenamed("id", "req")
+    plan = _plan(N.weighted_sample(weights, requests, 2, 3, "k", "req"))
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert filters and not any("2147483647" in line for line in filters)
+
+
+def test_plan_of_distinct_draws_does_not_grow(spark):
+    weights = spark.createDataFrame([(k, 1 + k * k) for k in range(12)], "k int, n long")
+    requests = spark.range(50).withColumnRenamed("id", "req")
+    few, all_ = (N.weighted_sample_distinct(weights, requests, n, 3, "k", "req") for n in (4, 12))
+    assert len(_plan(all_).splitlines()) == len(_plan(few).splitlines())
+    rows = defaultdict(dict)
+    for r in all_.collect():
+        rows[r["req"]][r["draw"]] = r["k"]
+    assert len(rows) == 50
+    assert all(sorted(v) == list(range(12)) and sorted(v.values()) == list(range(12)) for v in rows.values())
+    # draws do not depend on how many follow
+    assert {(r["req"], r["draw"], r["k"]) for r in few.collect()} == {
+        (req, d, k) for req, v in rows.items() for d, k in v.items() if d < 4
+    }
+
+
 def test_exclusion_and_probabilities(spark):
     p = spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 0.25), (3, 0.0)], "k int, p double")
     weights = N.excluding(N.integer_weights(p, "k", "p"), spark.createDataFrame([(0,)], "k int"), "k")
