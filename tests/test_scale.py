@@ -254,6 +254,14 @@ def test_smallest_keeps_exactly(spark):
         assert got == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:keep]}
 
 
+def test_dropout_reads_written_draws(spark):
+    rows = spark.range(3000).select((F.col("id") % 60).alias("user_idx"), F.floor(F.col("id") / 60).alias("item_idx"))
+    kept = G.drop_edges(rows, 0.2, 7)
+    # the modulus of a draw is in no filter of the result
+    assert str(PRIME) not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 2400
+
+
 def test_negatives_of_a_heavy_customer(spark, spread):
     rng = random.Random(6)
     n_items = 5000
