@@ -297,3 +297,25 @@ def test_random_features_look_normal(spark):
     mean = sum(flat) / len(flat)
     var = sum((v - mean) ** 2 for v in flat) / len(flat)
     assert abs(mean) < 0.04 and abs(var - 1) < 0.05
+
+
+def test_list_rows_do_not_move_for_metrics(spark):
+    """Lists dealt by customer are neither sorted for the eligible customers nor shuffled for the positives."""
+    recs = spark.range(60).selectExpr(
+        "cast(id % 2 as int) split_id", "id % 6 col_user", "concat('a', id % 10) col_item", "cast(id % 10 + 1 as int) rank"
+    )
+    values = spark.createDataFrame([(0, "a1", 0.5), (1, "a2", 0.1)], "split_id int, col_item string, value double")
+    eligible = recs.where("col_user < 4").select("split_id", "col_user").distinct()
+    positives = recs.where("rank < 4").select("split_id", "col_user", "col_item").distinct()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kpis = M.kpi_at_k(recs, values, (1, 5), eligible)
+        assert "LeftSemi" not in kpis._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["col_user"] for r in kpis.select("col_user").collect()} == {0, 1, 2, 3}
+        ndcg = M.ndcg_at_k(recs, positives, eligible, (1, 5))
+        plan = ndcg._jdf.queryExecution().executedPlan().toString()
+        lists = [line for line in plan.splitlines() if "Join" in line and "col_item" in line and "LeftSemi" not in line]
+        assert lists == [] and "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
