@@ -142,3 +142,15 @@ def test_total_return_includes_customers_without_cost(spark):
     assert row["profitabilitytotal_prof"] == pytest.approx(1.0)
     assert row["month_profittotal_prof"] == pytest.approx(1.0)
     assert row["profitabilitymean"] == 0.5 and row["profitabilityperc_profit"] == 1.0
+
+
+def test_splits_are_replayed_inside_pairs(spark):
+    """Nothing is sorted or summed per customer, asset and split: rows repeated per split only pass by."""
+    _, _, tdf, pdf = make(spark, 6, n=100)
+    splits = [Split(i, d(20 + 10 * i), d(35 + 10 * i)) for i in range(5)]
+    value = P.asset_valuation(pdf, limit_prices(pdf), splits)
+    for rows in (P.positions(tdf, value, splits), P.holdings_at_splits(tdf, splits, value)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Generate inline")]
+        assert "Window" not in above and "Aggregate" not in above
+        assert not any("Window" in line and "split_id" in line for line in plan.splitlines())
