@@ -196,3 +196,12 @@ def test_column_counts(spark):
         ("col_timestamp", 3, 2),
         ("col_user", 2, 1),
     ]
+
+
+def test_windows_are_answered_inside_pairs(spark):
+    """Rows repeated per window are not shuffled."""
+    df = ratings(spark, [("u", "a", 1, 1), ("v", "a", 1, 2), ("u", "b", 1, 12)])
+    sets = S.windowed_split(df, [S.Window3(0, d(0), d(10), d(20)), S.Window3(1, d(0), d(12), d(20))])
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(split_id" not in plan and "hashpartitioning(col_user" not in plan.split("Generate")[0]
+    assert got(sets.where("part = 'test'"), "split_id", "col_user", "col_item") == []
