@@ -109,6 +109,47 @@ def test_many_surroundings_are_counted_alike(spark, monkeypatch):
     assert got() == want
 
 
+def test_rows_of_a_heavy_key_are_not_gathered(spark, monkeypatch):
+    """One key has nearly all rows: it is joined where its rows lie, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 50)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_KEYS", 2)
+    # 1 is heavy, 2 to 4 have 60 rows of which one goes beyond the limit of keys, the others are light or without a key
+    key = F.when(F.col("id") < 3_800, 1).when(F.col("id") < 3_980, 2 + F.col("id") % 3).otherwise(F.col("id"))
+    rows = spark.range(0, 4_000, 1, 8).withColumn("h", key.cast("long"))
+    keys = suffix_dedup.materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("h != 3990"))
+    plain = rows.join(keys.hint("merge"), ["h"])
+    dealt = suffix_dedup._dealt(rows, keys, ["h"], "n")
+    assert dealt.columns == plain.columns
+    assert sorted(dealt.collect()) == sorted(plain.collect())
+
+    def most(joined):
+        return joined.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+    assert most(plain) >= 3_800
+    assert most(dealt) <= 500
+
+
+def test_a_copied_periodic_text_is_dealt_out(spark, monkeypatch):
+    """One anchor in many places, most with equal surroundings: the same bytes as by plain loops."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 50)
+    joins = []
+    dealt = suffix_dedup._dealt
+
+    def watched(rows, keys, on, weight):
+        joins.append((on, keys.where(F.col(weight) > 50).count()))
+        return dealt(rows, keys, on, weight)
+
+    monkeypatch.setattr(suffix_dedup, "_dealt", watched)
+    rows = [(i, "abcdefg" * 60) for i in range(30)] + [(100 + i, f"{i} " + "xyz" * 40) for i in range(3)]
+    out = remove_repeats(spark.createDataFrame(rows, SCHEMA), length=60).collect()
+    got = sorted(
+        (r["doc_id"], r["n_bytes"], sum(s["hi"] - s["lo"] for s in r["spans"]), len(r["spans"]), bytes(r["kept_bytes"]))
+        for r in out
+    )
+    assert got == sorted(brute.repeated_bytes(rows, 60))
+    assert any(on == ["h", "c"] and heavy for on, heavy in joins)
+
+
 def test_levels_grow_geometrically(spark):
     index = suffix_dedup.SuffixIndex()
     found = []
