@@ -1,8 +1,9 @@
 """Ranked lexical search by range-maximum tables over posting lists.
 
-``build_index`` writes one row per shard, a few thousand documents in the order of their
+``build_index`` writes one row per shard, some thousand documents in the order of their
 ids: terms, posting lists, frequencies and lengths. Shards are made where the texts are
-read, without a shuffle, and hold every document and term.
+read, without a shuffle, and hold every document and term. A few shards make a row group
+of the files, so neither writing nor reading them holds more, however much text a task reads.
 
 A search first counts, in Spark, in how many documents each asked term occurs. Then
 every shard is searched by itself. The impacts of its asked posting lists get a sparse
@@ -10,8 +11,8 @@ table, so the largest impact of any stretch of a list is two look-ups away. An i
 starts with one interval, all documents of the shard, bounded by the sum of its lists'
 largest impacts. Best intervals come first: the document with the largest impact in it
 is scored, the interval is split there, and both sides get the sum of their own
-maxima as bound. Intervals bounded below the tenth best score are dropped. All items of a
-block advance together in numpy, each with its best intervals, more of them each round.
+maxima as bound. Intervals bounded below the tenth best score are dropped. Items of some
+thousand terms advance together in numpy, each with its best intervals, more of them each round.
 
 Scores found in a few shards first give every item a score that ten documents reach.
 It only saves work: any ten documents' scores bound the tenth best from below. The same
@@ -40,13 +41,15 @@ from pyspark.sql import types as T
 
 from assetloom.llm.common import broadcast_if_small, narrow_batches
 from assetloom.llm.numtext import text_slices, tidy
-from assetloom.session import materialize
+from assetloom.session import materialize, setting
 
 BEST = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20  # of a row group of the index, about, or one shard: what its writer and its readers hold at once
 BLOCK_BYTES = 2 << 20  # terms of the items of a block, about
-PROBED_SHARDS = 24  # searched first for a bound on the tenth best score, about, and a quarter at most
+PROBED_SHARDS = 48  # searched first for a bound on the tenth best score, about, and a quarter at most
 PIECE_BYTES = 1 << 20
+ITEM_TERMS = 1 << 13  # terms of the items that are searched together, about
 OUTPUTS = ("rank", "score")
 
 # upper case becomes lower, everything that belongs to no term a blank
@@ -137,7 +140,11 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
             if made is not None:
                 yield made
 
-    shards = materialize(narrow_batches(plain).mapInArrow(run, schema))
+    # a task may make any number of shards; left to itself, the writer looks at the size after a hundred rows
+    bounded = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    # vectored reads of a local file hold each column of a row group a second time
+    with setting(docs.sparkSession, "parquet.hadoop.vectored.io.enabled", "false"):
+        shards = materialize(narrow_batches(plain).mapInArrow(run, schema), bounded)
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)
     sums = shards.agg(F.sum(F.size("ids")).alias("n"), F.sum(total).alias("l")).first()
     return LexicalIndex(shards, sums["n"] or 0, sums["l"] or 0, kind)
@@ -278,6 +285,17 @@ def search_shard(shard: _Shard, items: list[list[int]], least: np.ndarray, k: in
     return best
 
 
+def _together(items: list[list[int]]) -> list[slice]:
+    """Consecutive items of at most ``ITEM_TERMS`` terms or one item."""
+    starts, held = [0], 0
+    for i, terms in enumerate(items):
+        if held and held + len(terms) > ITEM_TERMS:
+            starts.append(i)
+            held = 0
+        held += len(terms)
+    return [slice(a, b) for a, b in zip(starts, [*starts[1:], len(items)], strict=True)]
+
+
 def _weights(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     """(term, weight) of asked terms (term) that occur; without those that weigh nothing."""
     listed = index.shards.select(F.inline(F.arrays_zip("terms", "sizes")))
@@ -301,11 +319,14 @@ def _search(index: LexicalIndex, shards: DataFrame, block: list, least: list[int
         floor = np.array(least, dtype=np.int64)
         tops = np.zeros((len(items), 0), dtype=np.int64)  # best scores of the task so far
         names = np.array(names, dtype=np.int64)
+        together = _together(items)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: c[i].values for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 shard = _Shard(row, weights, n_docs, n_terms)
-                item, score, doc = search_shard(shard, items, floor, k)
+                parts = [(s.start, search_shard(shard, items[s], floor[s], k)) for s in together]
+                item = np.concatenate([start + part[0] for start, part in parts])
+                score, doc = (np.concatenate([part[n] for _, part in parts]) for n in (1, 2))
                 found = np.zeros((len(items), k), dtype=np.int64)
                 heads = _heads(item)
                 nth = np.arange(len(item)) - np.repeat(heads, np.diff(np.append(heads, len(item))))

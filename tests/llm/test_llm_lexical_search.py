@@ -132,3 +132,40 @@ def test_splits_fewer_than_documents(monkeypatch):
     want = sorted(((-s, d) for d, s in enumerate(total.tolist())))[:10]
     assert [(-s, d) for s, d in zip(score.tolist(), doc.tolist(), strict=True)] == want
     assert scored < 2000
+
+
+def test_the_index_is_bounded_however_much_a_task_reads(spark, monkeypatch):
+    """Writers and readers hold a row group: a few shards of it, not all that a task has made."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical_search, "SHARD_BYTES", 8 << 10)
+    monkeypatch.setattr(lexical_search, "GROUP_BYTES", 32 << 10, raising=False)
+    texts = [(i, " ".join(f"w{i * 31 + j}" for j in range(60))) for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    index = build_index(docs)
+    files = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in index.shards.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 30
+    assert max(g.num_rows for g in groups) <= 8
+    found = search(index, spark.createDataFrame([(1, "w310 w340 w27899")], "item_id long, text string")).collect()
+    want = {i for i, t in texts if set(t.split()) & {"w310", "w340", "w27899"}}
+    assert {r["doc_id"] for r in found} == want
+
+
+def test_items_are_searched_some_at_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(3, 25)))) for i in range(200)]
+    items = [(i, " ".join(f"w{rng.randrange(45)}" for _ in range(rng.randrange(0, 9)))) for i in range(30)]
+
+    def found():
+        index = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+        rows = search(index, spark.createDataFrame(items, "item_id long, text string"))
+        return sorted(tuple(r) for r in rows.select("item_id", "rank", "doc_id", "score").collect())
+
+    assert lexical_search._together([[1] * 5, [], [1] * 3, [1] * 9]) == [slice(0, 4)]
+    want = found()
+    monkeypatch.setattr(lexical_search, "ITEM_TERMS", 7)
+    assert lexical_search._together([[1] * 5, [], [1] * 3, [1] * 9]) == [slice(0, 2), slice(2, 3), slice(3, 4)]
+    assert found() == want == sorted(brute(docs, items))
